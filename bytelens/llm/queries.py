@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .scratch import load
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import report
+
+    return report(load(spark, sf_dir, "documents"))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import components_of
 
@@ -25,4 +31,4 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(load(spark, sf_dir, "documents")).drop("source")
 
 
-QUERIES = {f.__name__: f for f in (op8_ngram_jaccard, op9_decontaminate, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op8_ngram_jaccard, op9_decontaminate, op10_mix_sources)}
