@@ -13,6 +13,30 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(load(spark, sf_dir, "documents"))
 
 
+def op2_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_crf import report
+
+    return report(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def op3_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .unit_dedup import remove_later
+
+    return remove_later(load(spark, sf_dir, "documents"))
+
+
+def op6_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media_sequences import report
+
+    return report(load(spark, sf_dir, "documents"))
+
+
+def op7_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_collapse import collapse
+
+    return collapse(load(spark, sf_dir, "conversations"))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import components_of
 
@@ -31,4 +55,4 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(load(spark, sf_dir, "documents")).drop("source")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op8_ngram_jaccard, op9_decontaminate, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_crf, op3_unit_dedup, op6_media_sequences, op7_chat_collapse, op8_ngram_jaccard, op9_decontaminate, op10_mix_sources)}

@@ -69,4 +69,17 @@ SELECT g.doc_id, CAST(len(g.g) AS BIGINT) AS n_shingles, m.c AS component_id
 FROM grams g JOIN (SELECT d, min(r) AS c FROM reach GROUP BY d) m ON g.doc_id = m.d
 """
 
-ORACLES = {"op8_ngram_jaccard": OP8, "op9_decontaminate": OP9, "op10_mix_sources": OP10}
+OP7 = """
+WITH turns AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+chats AS (
+  SELECT conv_id, list({r: coalesce('=' || role, 'null'), t: coalesce('=' || text, 'null')} ORDER BY turn NULLS LAST, role NULLS FIRST, text NULLS FIRST) AS ts,
+    string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY turn NULLS LAST, role NULLS FIRST, text NULLS FIRST) AS chat
+  FROM turns GROUP BY conv_id
+), inner_prefixes AS (
+  SELECT DISTINCT ts[1 : n] AS pre FROM (SELECT ts, unnest(range(1, len(ts))) AS n FROM chats)
+)
+SELECT min(conv_id) AS conv_id, CAST(len(ts) AS BIGINT) AS n_turns, count(*) AS n_equal, arg_min(chat, conv_id) AS chat
+FROM chats WHERE ts NOT IN (SELECT pre FROM inner_prefixes) GROUP BY ts
+"""
+
+ORACLES = {"op7_chat_collapse": OP7, "op8_ngram_jaccard": OP8, "op9_decontaminate": OP9, "op10_mix_sources": OP10}
