@@ -25,6 +25,12 @@ def op3_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_later(load(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import report
+
+    return report(load(spark, sf_dir, "documents"))
+
+
 def op6_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media_sequences import report
 
@@ -55,4 +61,4 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(load(spark, sf_dir, "documents")).drop("source")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_crf, op3_unit_dedup, op6_media_sequences, op7_chat_collapse, op8_ngram_jaccard, op9_decontaminate, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_crf, op3_unit_dedup, op4_line_dedup, op6_media_sequences, op7_chat_collapse, op8_ngram_jaccard, op9_decontaminate, op10_mix_sources)}

@@ -82,4 +82,31 @@ SELECT min(conv_id) AS conv_id, CAST(len(ts) AS BIGINT) AS n_turns, count(*) AS
 FROM chats WHERE ts NOT IN (SELECT pre FROM inner_prefixes) GROUP BY ts
 """
 
-ORACLES = {"op7_chat_collapse": OP7, "op8_ngram_jaccard": OP8, "op9_decontaminate": OP9, "op10_mix_sources": OP10}
+OP4 = """
+WITH split AS (SELECT coalesce(doc_id, 9223372036854775807) AS rank, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+lines AS (SELECT rank, ls, unnest(range(0, len(ls))) AS no FROM split),
+sets AS (
+  SELECT rank, no, list_sort(list_distinct(list_filter(string_split(translate(lower(ls[no + 1]), chr(9) || chr(13) || chr(11) || chr(12), '    '), ' '), lambda t: t != ''))) AS ts FROM lines
+), ents AS (
+  SELECT row_number() OVER (ORDER BY rank, no) AS ent, ts, rank, no FROM (SELECT ts, rank, no, row_number() OVER (PARTITION BY ts ORDER BY rank, no) AS k FROM sets WHERE len(ts) > 0) WHERE k = 1
+), toks AS (SELECT ent, len(ts) AS n, unnest(ts) AS t FROM ents),
+df AS (SELECT t, count(*) AS df FROM toks GROUP BY t),
+pre AS (
+  SELECT ent, n, t FROM (SELECT ent, n, t, row_number() OVER (PARTITION BY ent ORDER BY df, t) AS pos FROM toks JOIN df USING (t)) WHERE pos <= n - ceil(n * 80 / 100.0) + 1
+), cand AS (
+  SELECT DISTINCT a.ent AS a, b.ent AS b FROM pre a JOIN pre b ON a.t = b.t AND a.ent < b.ent AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 80
+), links AS (
+  SELECT a, b FROM (SELECT a, b, x.ts AS p, y.ts AS q, len(list_intersect(x.ts, y.ts)) AS c FROM cand JOIN ents x ON x.ent = a JOIN ents y ON y.ent = b)
+  WHERE c * 100 >= (len(p) + len(q) - c) * 80
+), best AS (
+  SELECT ent, min(first) AS first FROM (SELECT ent, ent AS first FROM ents UNION ALL SELECT b, a FROM links) GROUP BY ent
+), gone AS (
+  SELECT s.rank, s.no FROM sets s JOIN ents e ON s.ts = e.ts JOIN best USING (ent) JOIN ents f ON f.ent = best.first
+  WHERE s.rank > f.rank OR (s.rank = f.rank AND s.no > f.no)
+), lost AS (SELECT rank, list(DISTINCT no) AS nos FROM gone GROUP BY rank)
+SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END AS n_lines, CASE WHEN text IS NULL THEN 0 ELSE coalesce(len(nos), 0) END AS n_removed,
+  array_to_string([x for x, i in string_split(text, chr(10)) if NOT list_contains(coalesce(nos, []), i - 1)], chr(10)) AS text
+FROM documents LEFT JOIN lost ON lost.rank = coalesce(doc_id, 9223372036854775807)
+"""
+
+ORACLES = {"op4_line_dedup": OP4, "op7_chat_collapse": OP7, "op8_ngram_jaccard": OP8, "op9_decontaminate": OP9, "op10_mix_sources": OP10}
