@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import prepare
+from .scratch import aside, prepare
 from .textops import ALNUM, column, folded, inside, part, slices, utf8, window_hashes, words
 
 WINDOW = 13
@@ -183,8 +183,9 @@ def cut_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, remove: str = "documents") -> DataFrame:
     """Drop contaminated documents (`documents`), or cut every hit span out of its text (`spans`)."""
-    found = find_hits(docs, benchmark, window)
+    plain, back = aside(docs, "text")
+    found = find_hits(plain, benchmark, window)
     if remove == "documents":
-        return found.filter(~contaminated(F.col("n_hit"), F.col("n_words"))).select(*docs.columns)
-    kept = found.select(*docs.columns, "spans")
-    return kept.mapInArrow(cut_spans, kept.schema).select(*docs.columns)
+        return back(found.filter(~contaminated(F.col("n_hit"), F.col("n_words"))))
+    kept = found.select(*plain.columns, "spans")
+    return back(kept.mapInArrow(cut_spans, kept.schema))

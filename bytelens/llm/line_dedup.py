@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import sweep, table
+from .scratch import aside, sweep, table
 
 THRESHOLD = (80, 100)
 #: Buckets of the rarity sketch; its size is fixed, and any order of tokens gives the same result.
@@ -175,9 +175,10 @@ def report(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame
 
 def drop_lines(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """`docs` without the lines that go, and without the documents of which nothing stays."""
-    rows = with_removed(docs, threshold)
+    plain, back = aside(docs, "doc_id", "text", "n_chars")
+    rows = with_removed(plain, threshold)
     text = F.when(F.col("_gone") > 0, F.array_join("_kept", "\n")).otherwise(F.col("text"))
     rows = rows.filter(F.col("text").isNull() | (F.size("_kept") > 0)).withColumn("text", text)
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.col("_gone") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+    return back(rows)

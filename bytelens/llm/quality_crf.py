@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import prepare
+from .scratch import aside, prepare
 from .textops import NOT_SPACE, column, folded, part, slices, utf8, words
 
 TRAIN_DOCS = 6000
@@ -247,4 +247,5 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents whose score reaches the threshold."""
-    return with_score(docs, labels).filter(F.col("quality_score") >= threshold).select(*docs.columns)
+    plain, back = aside(docs, "doc_id", "text")
+    return back(with_score(plain, labels).filter(F.col("quality_score") >= threshold))

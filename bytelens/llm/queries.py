@@ -31,6 +31,12 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(load(spark, sf_dir, "documents"))
 
 
+def op5_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pseudo_lm import score
+
+    return score(load(spark, sf_dir, "documents"))
+
+
 def op6_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media_sequences import report
 
@@ -61,4 +67,4 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(load(spark, sf_dir, "documents")).drop("source")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_crf, op3_unit_dedup, op4_line_dedup, op6_media_sequences, op7_chat_collapse, op8_ngram_jaccard, op9_decontaminate, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_crf, op3_unit_dedup, op4_line_dedup, op5_pseudo_likelihood, op6_media_sequences, op7_chat_collapse, op8_ngram_jaccard, op9_decontaminate, op10_mix_sources)}

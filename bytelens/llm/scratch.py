@@ -42,6 +42,16 @@ def table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def aside(docs: DataFrame, *keep: str):
+    """`docs` with all columns but `keep` renamed, so that none clashes, and a function that undoes it."""
+    names = [c if c in keep else f"_c{i}" for i, c in enumerate(docs.columns)]
+
+    def back(df: DataFrame) -> DataFrame:
+        return df.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))
+
+    return docs.toDF(*names), back
+
+
 def sweep(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of finished steps."""
     gc.collect()
