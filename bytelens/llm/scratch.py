@@ -39,7 +39,17 @@ def table(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{root(spark)}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._bytelens_path = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete tables that no later step reads."""
+    for df in written:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._bytelens_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def aside(docs: DataFrame, *keep: str):

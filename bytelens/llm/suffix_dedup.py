@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import bitmap, prepare, seen, sweep, table
+from .scratch import bitmap, discard, prepare, seen, sweep, table
 from .textops import byte_values, column, mix, part, powers, prefix_sums, slices, utf8
 
 LENGTH = 200
@@ -245,6 +245,8 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     whole = whole.distinct().select("tk", (F.col("pos") - side).alias("lo"), (F.col("pos") + length).alias("hi"))
     words = bitmap(per.select(spot_column().alias("k")), "k")
     sweep(spark)
+    whole = table(whole)
+    discard(hits, found)
     sizes = per.groupBy("h").agg(F.count("*").alias("d"))
     around = texts.mapInArrow(surroundings(length, gram, words), "h long, tk long, pos int, left binary, right binary")
     around = around.join(per.select("h", "tk", "pos"), ["h", "tk", "pos"], "left_semi").dropDuplicates(["h", "tk", "pos"])
@@ -257,78 +259,83 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     large = large.join(twice, "wh").select("tk", F.col("at").alias("lo"), (F.col("at") + length).alias("hi"))
     both = whole.unionByName(small).unionByName(large)
     spans = table(both.groupBy("tk").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")))
+    discard(whole, around, per)
     sweep(spark)
     return spans
 
 
-def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Add the maximal removed spans (byte ranges) and the bytes that are left."""
-    for batch in batches:
-        data, offsets = utf8(column(batch, "text"))
-        raw = data.tobytes()
-        out_spans, kept, sizes = [], [], []
-        for i, spans in enumerate(column(batch, "spans").to_pylist()):
-            text = raw[offsets[i] : offsets[i + 1]]
-            runs: list[list[int]] = []
-            for lo, hi in sorted((max(0, s["lo"]), min(len(text), s["hi"])) for s in spans or ()):
-                if runs and lo <= runs[-1][1]:
-                    runs[-1][1] = max(runs[-1][1], hi)
-                else:
-                    runs.append([lo, hi])
-            pieces, at = [], 0
-            for lo, hi in runs:
-                pieces.append(text[at:lo])
-                at = hi
-            out_spans.append([{"lo": a, "hi": b} for a, b in runs])
-            kept.append(b"".join([*pieces, text[at:]]))
-            sizes.append(len(text))
-        batch = batch.drop_columns(["text", "spans"])
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns, pa.array(sizes, pa.int64()), pa.array(out_spans, pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))), pa.array(kept, pa.binary())],
-            names=[*batch.schema.names, "n_bytes", "removed", "kept"],
-        )
-
-
-def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """doc_id, n_bytes, the maximal removed spans (byte ranges) and the bytes that are left."""
+    data, offsets = utf8(column(batch, "text"))
+    raw = data.tobytes()
+    out_spans, kept, sizes = [], [], []
+    spans_of = column(batch, "spans") if "spans" in batch.schema.names else pa.nulls(batch.num_rows)
+    for i, spans in enumerate(spans_of):
+        text = raw[offsets[i] : offsets[i + 1]]
+        runs: list[list[int]] = []
+        for lo, hi in sorted((max(0, s["lo"]), min(len(text), s["hi"])) for s in spans.as_py() or ()):
+            if runs and lo <= runs[-1][1]:
+                runs[-1][1] = max(runs[-1][1], hi)
+            else:
+                runs.append([lo, hi])
+        pieces, at = [], 0
+        for lo, hi in runs:
+            pieces.append(text[at:lo])
+            at = hi
+        out_spans.append([{"lo": a, "hi": b} for a, b in runs])
+        kept.append(b"".join([*pieces, text[at:]]))
+        sizes.append(len(text))
+    return pa.RecordBatch.from_arrays(
+        [column(batch, "doc_id"), pa.array(sizes, pa.int64()), pa.array(out_spans, pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))), pa.array(kept, pa.binary())],
+        names=["doc_id", "n_bytes", "removed", "kept"],
+    )
+
+
+def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
     """The contract's columns from the operator's."""
-    for batch in cut(batches):
-        spans = column(batch, "removed").to_pylist()
-        yield pa.RecordBatch.from_arrays(
-            [
-                column(batch, "doc_id"), column(batch, "n_bytes"), pa.array([sum(s["hi"] - s["lo"] for s in x) for x in spans], pa.int64()),
-                pa.array([len(x) for x in spans], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in column(batch, "kept").to_pylist()]),
-            ],
-            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
-        )
+    batch = cut(batch)
+    spans = column(batch, "removed").to_pylist()
+    return pa.RecordBatch.from_arrays(
+        [
+            column(batch, "doc_id"), column(batch, "n_bytes"), pa.array([sum(s["hi"] - s["lo"] for s in x) for x in spans], pa.int64()),
+            pa.array([len(x) for x in spans], pa.int64()), pa.array([hashlib.sha256(x.as_py()).hexdigest() for x in column(batch, "kept")]),
+        ],
+        names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+    )
 
 
-def flagged(words: np.ndarray, want: bool):
-    """The rows whose text key may be (or isn't) in the bitmap."""
+def each(finish, words: np.ndarray | None = None, want: bool = True):
+    """`finish` on every batch; with a bitmap, on the rows whose text key may be (or isn't) in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(seen(words, column(batch, "tk").to_numpy()) == want))
+            if words is not None:
+                batch = batch.filter(pa.array(seen(words, column(batch, "tk").to_numpy()) == want))
+            yield finish(batch)
 
     return run
 
 
-def with_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, text and its repeated ranges, null where none; only texts that may have some are moved."""
+def itself(batch: pa.RecordBatch) -> pa.RecordBatch:
+    return batch
+
+
+def finished(docs: DataFrame, finish, ddl: str, length: int, gram: int) -> DataFrame:
+    """`finish` on every document and its repeated ranges; only texts that may have some are moved."""
     prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumn("tk", F.xxhash64("text"))
     spans = repeated_ranges(docs, length, gram)
     words = bitmap(spans, "tk")
-    moved = docs.mapInArrow(flagged(words, True), docs.schema).join(spans, "tk", "left")
-    still = docs.mapInArrow(flagged(words, False), docs.schema).withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
-    return moved.select("doc_id", "text", "spans").unionByName(still.select("doc_id", "text", "spans"))
+    moved = docs.mapInArrow(each(itself, words, True), docs.schema).join(spans, "tk", "left").select("doc_id", "text", "spans").mapInArrow(each(finish), ddl)
+    return moved.unionByName(docs.mapInArrow(each(finish, words, False), ddl))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, removed (maximal byte ranges), kept (the remaining bytes)."""
-    return with_spans(docs, length, gram).mapInArrow(cut, "doc_id long, n_bytes long, removed array<struct<lo:int,hi:int>>, kept binary")
+    return finished(docs, cut, "doc_id long, n_bytes long, removed array<struct<lo:int,hi:int>>, kept binary", length, gram)
 
 
 def report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    return with_spans(docs, length, gram).mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return finished(docs, digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", length, gram)

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text worked on at once; a longer document is a slice of its own.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 BASE = 0x9E3779B97F4A7C15
