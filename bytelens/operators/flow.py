@@ -34,7 +34,7 @@ def blocks(code: DataFrame, handlers: DataFrame | None = None) -> tuple[DataFram
     ends = F.col("mnemonic").isin(*fixed.BRANCHES, "lookupswitch", *TERMINATORS)
     marks = _jump_targets(code).select(*BODY, F.col("to").alias("offset"))
     if handlers is not None:
-        marks = marks.unionByName(handlers.select(*BODY, F.explode(F.array("from_offset", "to_offset", "target")).cast("long").alias("offset")))
+        marks = marks.unionByName(handlers.select(*BODY, F.explode(F.array("from_offset", "to_offset", "target")).alias("offset")))
     marks = marks.distinct().withColumn("marked", F.lit(True))
     rows = code.join(marks, [*BODY, "offset"], "left")
     leads = F.coalesce("marked", F.lit(False)) | F.coalesce(F.lag(ends).over(order), F.lit(True))
@@ -50,14 +50,13 @@ def blocks(code: DataFrame, handlers: DataFrame | None = None) -> tuple[DataFram
     edges = next_to.unionByName(taken).join(starts, [*BODY, "to"]).groupBy(*BODY, "src", "dst").agg(F.min("pos").alias("pos"))
     if handlers is None:
         cover = None
-        kind = F.when(F.col("start") == 0, "entry").otherwise("normal")
-        out = out.withColumn("kind", kind)
+        out = out.withColumn("kind", F.when(F.col("terminator") == "lookupswitch", "switch").otherwise("normal"))
     else:
         h = handlers.select(*BODY, F.col("seq").alias("handler"), "from_offset", "to_offset", F.col("target").alias("catch_at"))
         cover = out.join(h, BODY).filter("from_offset <= start and start < to_offset and end <= to_offset").select(*BODY, "block", "handler")
         catches = h.select(*BODY, F.col("catch_at").cast("long").alias("start"), F.lit(True).alias("is_catch")).distinct()
         out = out.join(catches, [*BODY, "start"], "left")
-        out = out.withColumn("kind", F.when(F.coalesce("is_catch", F.lit(False)), "catch_entry").when(F.col("start") == 0, "entry").otherwise("normal")).drop("is_catch")
+        out = out.withColumn("kind", F.when(F.coalesce("is_catch", F.lit(False)), "catch_entry").when(F.col("terminator") == "lookupswitch", "switch").otherwise("normal")).drop("is_catch")
     return out.drop("last"), edges, cover
 
 
