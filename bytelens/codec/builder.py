@@ -118,7 +118,8 @@ class BlockBuilder:
         return self._add(self.block.scripts, B.Script(init, list(traits)))
 
     def build(self) -> bytes:
-        """The block's bytes; classes without a script get one."""
+        """The block's bytes; if there is no script, every class gets one, as compilers do."""
         if not self.block.scripts:
-            self.script(self._in_script)
+            for trait in self._in_script:
+                self.script([trait])
         return B.serialize(self.block)
