@@ -11,7 +11,7 @@ from ..functions import columns as C
 from ..functions import fixed
 from ..operators import calls, classgraph, fields, flow, inheritance, references, strings, structure
 from ..operators.model import Model
-from . import bridge
+from . import archive, bridge
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -252,7 +252,7 @@ def cg_stats(m):
 
 @over_model("SELECT class_name AS source_class, class_name || '.' || member_name AS source_member, CAST(3 * (rn - 1) + 2 AS BIGINT) AS offset, target, p_name AS a, qty AS b FROM items WHERE mnemonic IN ('callproperty', 'constructprop')")
 def ca_observations(m):
-    return calls.const_args(m).select("source_class", "source_member", "offset", "target", F.col("args")[0]["s"].alias("a"), F.col("args")[1]["i"].alias("b"))
+    return calls.const_args(m).select("source_class", "source_member", "offset", "target", F.get("args", F.lit(0))["s"].alias("a"), F.get("args", F.lit(1))["i"].alias("b"))
 
 
 @over_model(
@@ -500,3 +500,10 @@ def cfg_edges(e):
 def cpx_methods(e):
     found, edges, _ = flow.blocks(event_program(e))
     return flow.complexity(found, edges).select(F.col("body_index").alias("user_id"), "n_blocks", "n_edges", "complexity")
+
+
+# --- the same through real bytecode ---------------------------------------------------------------
+
+QUERIES.update(archive.QUERIES)
+ORACLES.update({name: f"WITH {bridge.SQL.strip()} {sql}" for name, sql in archive.ORACLES.items()})
+ORACLES["swf_flow"] = ORACLES["cpx_methods"].replace("SELECT b.user_id, count(*) AS n_blocks, coalesce(max(e.n), 0) AS n_edges,", "SELECT b.user_id, count(*) AS n_blocks,")
