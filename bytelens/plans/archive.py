@@ -16,7 +16,7 @@ from ..codec import block as B
 from ..codec import classes as C
 from ..codec.builder import BlockBuilder
 from ..codec.code import assemble
-from ..kernels import decompile, graph
+from ..kernels import decompile, disassembly, graph
 from ..operators import calls
 from ..operators.model import CLASSES, CODE, FIELDS, METHODS, Model
 from ..sources import files
@@ -130,6 +130,27 @@ def swf_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_blocks(spark, sf_dir).mapInArrow(_same, "block long, same boolean")
 
 
+def swf_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The disassembly of the orders' methods, operands resolved."""
+    rows = disassembly.listing(class_blocks(spark, sf_dir)).filter(F.col("member_name").startswith("m_"))
+    return rows.select("class_name", "member_name", "seq", "text")
+
+
+def swf_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The qualified names of the blocks' pools that have a package of customers."""
+    blocks = class_blocks(spark, sf_dir)
+    names = blocks.mapInArrow(rows_of(lambda b, _: C.name_rows(b), files.NAMES), files.NAMES)
+    return names.filter(F.col("package").startswith("crm.")).select("full_name", "name", "package").distinct()
+
+
+def swf_class_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of code per class, summed over its orders' methods."""
+    blocks = class_blocks(spark, sf_dir)
+    sizes = blocks.mapInArrow(rows_of(lambda b, _: C.body_rows(b), files.BODIES), files.BODIES)
+    methods = model(blocks).methods.select("resource_id", "abc_id", F.col("body_index").cast("long").alias("body_index"), "class_name")
+    return sizes.join(methods, ["resource_id", "abc_id", "body_index"]).groupBy("class_name").agg((F.sum("code_size") > 0).alias("has_code"), F.count("*").alias("bodies"))
+
+
 def swf_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks and complexity of the users' programs, by the graph kernel."""
     rows = graph.flow(user_blocks(spark, sf_dir))
@@ -148,12 +169,19 @@ def swf_decompile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decompile.classes(class_blocks(spark, sf_dir)).select("package", "name", "source")
 
 
-QUERIES = {f.__name__: f for f in (swf_string_usages, swf_call_edges, swf_const_args, swf_methods, swf_classes, swf_roundtrip, swf_flow, swf_loops, swf_decompile)}
+QUERIES = {f.__name__: f for f in (swf_string_usages, swf_call_edges, swf_const_args, swf_methods, swf_classes, swf_listing, swf_names, swf_class_sizes, swf_roundtrip, swf_flow, swf_loops, swf_decompile)}
 ORACLES = {
     "swf_string_usages": "SELECT string, class_name, member_name AS method_name, count(*) AS n FROM code WHERE mnemonic = 'pushstring' GROUP BY ALL",
     "swf_call_edges": "SELECT caller, target, edge_type, count(*) AS n FROM edges GROUP BY ALL",
     "swf_const_args": "SELECT class_name AS source_class, class_name || '.' || member_name AS source_member, target, p_name AS a, qty AS b FROM items WHERE mnemonic IN ('callproperty', 'constructprop')",
     "swf_methods": "SELECT class_name, name, coalesce(return_type, '*') AS return_type, param FROM methods",
     "swf_classes": "SELECT qualified_name, super_qualified, iface AS interface FROM classes WHERE iface IS NOT NULL",
+    "swf_listing": (
+        "SELECT class_name, member_name, CAST(3 * (rn - 1) AS BIGINT) AS seq, 'pushstring \"' || p_name || '\"' AS text FROM items UNION ALL "
+        "SELECT class_name, member_name, CAST(3 * (rn - 1) + 1 AS BIGINT), 'pushbyte ' || qty FROM items UNION ALL "
+        "SELECT class_name, member_name, CAST(3 * (rn - 1) + 2 AS BIGINT), mnemonic || ' ' || target || CASE WHEN mnemonic IN ('callproperty', 'constructprop') THEN ', 2' ELSE '' END FROM items"
+    ),
+    "swf_names": "SELECT qualified_name AS full_name, name, package FROM classes WHERE starts_with(package, 'crm.')",
+    "swf_class_sizes": "SELECT class_name, true AS has_code, count(DISTINCT member_name) AS bodies FROM items GROUP BY class_name",
     "swf_roundtrip": f"SELECT DISTINCT c_custkey // {CLASSES_PER_BLOCK} AS block, true AS same FROM customer",
 }
