@@ -161,7 +161,8 @@ class Workspace:
         return inheritance.descendants_in_order(self.model, key.key if key else name)
 
     def implementors(self, interface: str) -> DataFrame:
-        return inheritance.implementors(self.model).filter((F.col("interface") == interface) | F.col("interface").endswith("." + interface))
+        rows = inheritance.implementors(self.model).filter((F.col("interface") == interface) | F.col("interface").endswith("." + interface))
+        return rows.orderBy((F.col("interface") != interface).cast("int"), "interface").limit(1)
 
     def roots(self) -> DataFrame:
         return inheritance.roots(self.model)
