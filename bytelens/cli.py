@@ -223,7 +223,7 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("bytelens").getOrCreate()
-    ws = Workspace.load(spark, a.file)
+    ws = Workspace.load(spark, a.file, cache=True)
     COMMANDS[a.command][0](ws, a)
     return 0
 

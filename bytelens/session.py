@@ -13,30 +13,48 @@ from .operators.model import BODY, Model
 from .sources.files import Files
 
 
+TABLES = ("classes", "fields", "methods", "code", "pool_strings")
+
+
 class Workspace:
     """Loaded containers and every operator over them.
 
-    Tables are cached the first time that they are used, so that one scan of the code serves all
-    operators; `add` gives a new workspace with more resources.
+    Nothing is kept by default: every answer plans its own scan.  `cache` keeps the tables of a few
+    files in memory; `save` writes the tables of many as Parquet once, and `open` works on those, so
+    that filters and column choices reach the scans.  `add` gives a new workspace with more files.
     """
 
-    def __init__(self, files: Files, cache: bool = True):
+    def __init__(self, files: Files, cache: bool = False, model: Model | None = None):
         self.files, self.spark = files, files.spark
         if cache:
             files.parts, files.blocks = files.parts.persist(), files.blocks.persist()
-        self.model: Model = files.model()
+        self.model: Model = files.model() if model is None else model
         if cache:
-            for name in ("classes", "fields", "methods", "code", "pool_strings"):
+            for name in TABLES:
                 setattr(self.model, name, getattr(self.model, name).persist())
 
     @classmethod
-    def load(cls, spark: SparkSession, *paths: str) -> Workspace:
+    def load(cls, spark: SparkSession, *paths: str, cache: bool = False) -> Workspace:
         """Files, folders or globs; .swz files are bundles, all others movies."""
-        return cls(Files.at(spark, *paths))
+        return cls(Files.at(spark, *paths), cache)
 
     @classmethod
     def of_bytes(cls, spark: SparkSession, *contents: tuple[str, bytes]) -> Workspace:
-        return cls(Files.of_bytes(spark, *contents))
+        return cls(Files.of_bytes(spark, *contents), cache=True)
+
+    def save(self, path: str) -> None:
+        """Write the containers' parts and blocks, and all tables, each in a folder of its own."""
+        for name, df in {"parts": self.files.parts, "blocks": self.files.blocks, "bodies": self.files.bodies, "handlers": self.files.handlers, "names": self.files.names}.items():
+            df.write.mode("overwrite").parquet(f"{path}/{name}")
+        for name in TABLES:
+            getattr(self.model, name).write.mode("overwrite").parquet(f"{path}/{name}")
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> Workspace:
+        """A saved workspace."""
+        read = lambda name: spark.read.parquet(f"{path}/{name}")
+        files = Files.of_tables(read("parts"), read("blocks"))
+        return cls(files, model=Model(*(read(name) for name in TABLES), read("bodies"), {name: read(name) for name in ("handlers", "names")}))
 
     # what was loaded
 

@@ -152,6 +152,13 @@ class Files:
         self.parts = content.select("resource_id", "path", "content").mapInArrow(unpack, PARTS)
         self.blocks = self.parts.filter(F.col("tag_type").isin(container.DO_ABC, container.DO_ABC2)).mapInArrow(blocks_of, BLOCKS)
 
+    @classmethod
+    def of_tables(cls, parts: DataFrame, blocks: DataFrame) -> Files:
+        """From parts and blocks that were written before."""
+        out = cls.__new__(cls)
+        out.spark, out.parts, out.blocks = parts.sparkSession, parts, blocks
+        return out
+
     @classmethod
     def at(cls, spark: SparkSession, *paths: str) -> Files:
         """Files, folders or globs; resources are numbered by path."""

@@ -235,5 +235,12 @@ def test_files_source_and_stream(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 10
 
 
+def test_saved_workspaces_answer_alike(spark, game, tmp_path):
+    game.save(str(tmp_path / "ws"))
+    again = Workspace.open(spark, str(tmp_path / "ws"))
+    assert column(again.dead_classes()) == column(game.dead_classes()) and again.complexity().count() == game.complexity().count()
+    assert bytes(files.serialize(again.files.rows).first().data) == game_block()
+
+
 def test_constants_are_classified():
     assert len(K.OPCODES) == 164 and K.EDGE_TYPES["newclass"] == "class"
