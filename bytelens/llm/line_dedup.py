@@ -1,14 +1,15 @@
 """Line dedup by an exact set-similarity join, in DataFrame functions only.
 
-A line is the set of its lower-case tokens (between blanks, tabs and carriage returns).  Two lines
-match if the Jaccard similarity of their sets is at least `THRESHOLD`.  A line goes if any earlier
-line matches it, by (doc_id, line number), whether or not that one stays.
+A line is the set of its tokens (what stands between blanks).  Two lines match if the Jaccard
+similarity of their sets is at least `THRESHOLD`.  A line goes if any earlier line matches it, by
+(doc_id, line number), whether or not that one stays.
 
 Tokens are ordered by rarity; only the rarest tokens of a line, its prefix, are joined.  Candidates
 pass the length filter, the positional filter and a parity filter (sets that differ in d tokens
 differ in d bits of a signature at most) within the join, and are then verified on whole sets.
-Equal sets are one entity, so copies never meet in pairs.  The join runs in `ROUNDS` ranges of the
-token space, so that its shuffle files never lie on disk together.
+Equal sets are one entity, so copies never meet in pairs; what a few early tests have decided to go
+isn't paired with its like again.  The join runs in ranges of the token space, so that its shuffle
+files never lie on disk together.
 
 Lines without a token never match and stay; null texts stay null; null doc_ids rank last; rows of
 equal doc_id are one document with equal ranks; an empty table gives an empty result.
@@ -18,19 +19,23 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import aside, sweep, table
+from .scratch import aside, discard, sweep, table
 
 THRESHOLD = (80, 100)
-#: Buckets of the rarity sketch; its size is fixed, and any order of tokens gives the same result.
-BUCKETS = 1 << 17
-ROUNDS = 4
+#: The rarity sketch has 2**BUCKET_BITS buckets; its size is fixed, and any order of tokens gives the same result.
+BUCKET_BITS = 17
+RANGES = 8
+#: The ranges of each join; what the first joins decide isn't paired with its like in the later ones.
+JOINS = (((0,),), ((1, 2), (3, 4), (5, 6, 7)))
+#: Pairs of neighbouring rarest tokens under which near copies meet before the join, and at which
+#: places before itself each one meets there besides the earliest.
+KEYS, BEFORE = 5, (1, 2, 4, 16, 64)
 #: A side is broadcast up to so many rows of ids and numbers, and shuffled beyond.
 SMALL_ROWS = 400_000
 LAST = (1 << 63) - 1
-SEP = "\t\r\x0b\x0c"
 
 
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
@@ -38,35 +43,42 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if df.count() <= (SMALL_ROWS if rows is None else rows) else df
 
 
-def pieces(text: Column) -> Column:
-    return F.split(F.translate(F.lower(text), SEP, " " * len(SEP)), " ")
+def pieces(line: Column) -> Column:
+    return F.array_remove(F.split(line, " "), "")
 
 
-def rarity(docs: DataFrame) -> bytearray:
-    """The logarithm of the number of tokens in each bucket of token hashes."""
-    tokens = docs.select(F.explode(pieces(F.translate("text", "\n", " "))).alias("t")).filter("t != ''")
-    counts = tokens.select(F.xxhash64("t").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).groupBy("b").agg(F.count("*").alias("n"))
-    out = bytearray(b"\x01" * BUCKETS)
-    for b, n in counts.collect():  # BUCKETS rows at most
-        out[b] = 1 + int(math.log2(n) * 2)
-    return out
+def rarity(docs: DataFrame) -> str:
+    """The logarithm of the number of tokens in each bucket of token hashes, as text."""
+    lines = docs.select(F.explode(F.split("text", "\n")).alias("line"))
+    tokens = lines.select(F.explode(F.split("line", " ")).alias("t"))
+    counts = tokens.groupBy(F.shiftrightunsigned(F.xxhash64("t"), 64 - BUCKET_BITS).alias("b")).agg(F.count("*").alias("n"))
+    out = [0] * (1 << BUCKET_BITS)
+    for b, n in counts.collect():  # one row a bucket at most
+        out[b] = int(math.log2(n) * 2)
+    return ",".join(map(str, out))
 
 
-def ordered_tokens(line: Column, levels: bytearray) -> Column:
+def ordered_tokens(line: Column, levels: str) -> Column:
     """The distinct token ids of a line, rarest first: 56 bits of hash under 8 bits of frequency."""
-    table_of = F.lit(levels)
+    table_of = F.split(F.lit(levels), ",").cast("array<int>")  # folded to a constant by the optimizer
+    hashes = F.array_distinct(F.transform(pieces(line), lambda t: F.xxhash64(t)))
 
-    def key(t: Column) -> Column:
-        h = F.xxhash64(t)
-        level = F.ascii(F.substring(table_of, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1, 1).cast("string"))
-        return F.shiftleft(level.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+    def key(h: Column) -> Column:
+        level = F.get(table_of, F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("int"))
+        return F.shiftleft(level.cast("bigint"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    return F.sort_array(F.array_distinct(F.transform(F.filter(pieces(line), lambda t: t != ""), key)))
+    return F.sort_array(F.transform(hashes, key))
 
 
-def parity(tokens: Column, shift: int) -> Column:
-    one = F.lit(1).cast("long")
-    return F.aggregate(tokens, F.lit(0).cast("long"), lambda acc, t: acc.bitwiseXOR(F.call_function("shiftleft", one, F.shiftright(t, shift).bitwiseAND(F.lit(63)).cast("int"))))
+def parity(tokens: Column, word: int) -> Column:
+    """One of the two words of a signature of 128 bits: every token flips one bit of it."""
+    none, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+
+    def flip(acc: Column, t: Column) -> Column:
+        bit = F.call_function("shiftleft", one, t.bitwiseAND(F.lit(63)).cast("int"))
+        return F.when(F.shiftright(t, 6).bitwiseAND(F.lit(1)) == word, acc.bitwiseXOR(bit)).otherwise(acc)
+
+    return F.aggregate(tokens, none, flip)
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -87,65 +99,118 @@ class Dedup:
     def entities(self) -> None:
         """`lines` (rank, line_no, ent) and `ents`: the first rank, size, prefix and signature of each set."""
         self.levels = rarity(self.docs)
-        sweep(self.spark)
-        rows = lines_of(self.docs).select("rank", "line_no", ordered_tokens(F.col("line"), self.levels).alias("ts")).filter(F.size("ts") > 0)
+        # computed columns are not filtered before they are written: a filter would compute them twice
+        rows = lines_of(self.docs).select("rank", "line_no", ordered_tokens(F.col("line"), self.levels).alias("ts"))
         rows = rows.select(
             "rank", "line_no", F.xxhash64("ts").alias("ent"), F.size("ts").alias("n"), F.slice("ts", F.lit(1), prefix_size(F.size("ts"), self.num, self.den)).alias("pre"),
-            parity(F.col("ts"), 0).alias("s1"), parity(F.col("ts"), 6).alias("s2"),
+            parity(F.col("ts"), 0).alias("s1"), parity(F.col("ts"), 1).alias("s2"),
         )
         rows = table(rows)
-        self.lines = rows.select("rank", "line_no", "ent")
+        full = rows.filter("n > 0")
+        self.lines = table(full.select("rank", "line_no", "ent"))
         firsts = [F.first(c).alias(c) for c in ("n", "pre", "s1", "s2")]
-        self.ents = table(rows.groupBy("ent").agg(F.min(F.struct("rank", "line_no")).alias("at"), *firsts))
+        self.ents = table(full.groupBy("ent").agg(F.min(F.struct("rank", "line_no")).alias("at"), *firsts))
+        discard(rows)
         sweep(self.spark)
 
-    def candidates(self) -> DataFrame:
-        """Pairs (a, b) of entities that pass all filters."""
+    def near(self, xn: Column, yn: Column, bits: Column) -> Column:
+        """Whether sizes and signatures allow the threshold; signatures differ in at most as many bits as the sets in tokens."""
+        length = F.least(xn, yn) * self.den >= F.greatest(xn, yn) * self.num
+        return length & (bits * (self.num + self.den) <= (xn + yn) * (self.den - self.num))
+
+    def early(self) -> DataFrame:
+        """Pairs (a, b) of each entity and an earlier one with some equal rarest tokens.
+
+        Under each of a few keys an entity meets the earliest entity of the key and the one before
+        itself, so that members of large groups of near copies are decided by few tests.
+        """
+        pairs = F.transform(F.slice("pre", 2, KEYS), lambda t, i: F.xxhash64(F.get("pre", i), t))
+        keys = F.when(F.size("pre") > 1, pairs).otherwise(F.slice("pre", 1, 1))
+        keyed = self.ents.select(F.explode(keys).alias("k"), "at", F.struct("ent", "n", "s1", "s2", "at").alias("x"))
+        order = Window.partitionBy("k").orderBy("at")
+        earliest = F.first("x").over(order.rowsBetween(Window.unboundedPreceding, 0))
+        met = keyed.select("x", F.array(earliest, *(F.lag("x", d).over(order) for d in BEFORE)).alias("ys"))
+        met = met.select("x", F.explode("ys").alias("y")).filter("y.at < x.at")
+        bits = F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1"))) + F.bit_count(F.col("x.s2").bitwiseXOR(F.col("y.s2")))
+        return table(met.filter(self.near(F.col("x.n"), F.col("y.n"), bits)).select(F.col("x.ent").alias("a"), F.col("y.ent").alias("b")).distinct())
+
+    def met(self, ranges: tuple[int, ...], shadowed: DataFrame) -> DataFrame:
+        """The pairs (a, b) of entities that pass all filters under tokens of some ranges.
+
+        A pair only matters if the later of the two isn't shadowed yet.
+        """
         num, den = self.num, self.den
-        out = None
-        for r in range(ROUNDS):
-            flat = self.ents.select("ent", "n", "s1", "s2", F.posexplode("pre").alias("pos", "tok")).filter(F.col("tok").bitwiseAND(F.lit(ROUNDS - 1)) == r)
-            shorter = flat.filter(F.col("pos") < F.col("n") - F.ceil(F.col("n") * (2 * num) / (num + den)) + 1)
-            x, y = flat.alias("x"), shorter.alias("y")
-            need = F.col("x.n") + F.col("y.n")
-            bits = F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1"))) + F.bit_count(F.col("x.s2").bitwiseXOR(F.col("y.s2")))
-            smaller = (F.col("y.n") < F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (F.col("y.ent") < F.col("x.ent")))
-            length = F.col("y.n") * den >= F.col("x.n") * num
-            most = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
-            place = most * (num + den) >= need * num
-            # the two signatures each differ in at most as many bits as the sets in tokens
-            close = bits * (num + den) <= 2 * need * (den - num)
-            met = x.join(y, (F.col("x.tok") == F.col("y.tok")) & smaller & length & place & close)
-            part = table(met.select(F.col("x.ent").alias("a"), F.col("y.ent").alias("b")).distinct())
-            out = part if out is None else out.unionByName(part)
+        ents = self.ents.join(small(shadowed).withColumn("out", F.lit(True)), "ent", "left")  # moves the ids, not the prefixes
+        # size and line number share a column, and so do position and whether the entity is open
+        size = F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.col("at.line_no").cast("bigint")).alias("size")
+        flat = ents.select("ent", size, F.col("out").isNull().cast("int").alias("open"), F.col("at.rank").alias("rank"), "s1", "s2", F.posexplode("pre").alias("pos", "tok"))
+        flat = flat.filter(F.col("tok").bitwiseAND(F.lit(RANGES - 1)).isin(*ranges))
+        flat = flat.select("tok", "ent", "size", "rank", "s1", "s2", (F.col("pos") * 2 + F.col("open")).alias("pos"))
+        n = lambda side: F.shiftright(f"{side}.size", 32)
+        pos = lambda side: F.shiftright(f"{side}.pos", 1)
+        line = lambda side: F.col(f"{side}.size").bitwiseAND(F.lit((1 << 32) - 1))
+        own = F.shiftright("size", 32)
+        x, y = flat.alias("x"), flat.filter(F.shiftright("pos", 1) < own - F.ceil(own * (2 * num) / (num + den)) + 1).alias("y")
+        smaller = (n("y") < n("x")) | ((n("y") == n("x")) & (F.col("y.ent") < F.col("x.ent")))
+        place = F.least(n("x") - pos("x"), n("y") - pos("y")) * (num + den) >= (n("x") + n("y")) * num
+        bits = F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1"))) + F.bit_count(F.col("x.s2").bitwiseXOR(F.col("y.s2")))
+        x_later = (F.col("x.rank") > F.col("y.rank")) | ((F.col("x.rank") == F.col("y.rank")) & (line("x") > line("y")))
+        matters = F.when(x_later, F.col("x.pos").bitwiseAND(F.lit(1)) == 1).otherwise(F.col("y.pos").bitwiseAND(F.lit(1)) == 1)
+        pairs = x.join(y, (F.col("x.tok") == F.col("y.tok")) & smaller & matters & place & self.near(n("x"), n("y"), bits))
+        return table(pairs.select(F.col("x.ent").alias("a"), F.col("y.ent").alias("b")).distinct())
+
+    def candidates(self, joins: tuple[tuple[int, ...], ...], shadowed: DataFrame) -> DataFrame:
+        """The candidate pairs of some joins; the shuffle files of one are dropped before the next."""
+        parts = []
+        for ranges in joins:
+            parts.append(self.met(ranges, shadowed))
             sweep(self.spark)
-        return table(out.distinct())
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        out = table(out.distinct())
+        discard(*parts)
+        return out
+
+    def later(self, pairs: DataFrame) -> DataFrame:
+        """ent: the later entity of every pair that reaches the threshold."""
+        links = self.verified(pairs)
+        at = self.ents.select("ent", "at")
+        sides = links.join(at.select(F.col("ent").alias("a"), F.col("at").alias("at_a")), "a").join(at.select(F.col("ent").alias("b"), F.col("at").alias("at_b")), "b")
+        out = table(sides.filter("at_a != at_b").select(F.when(F.col("at_a") > F.col("at_b"), F.col("a")).otherwise(F.col("b")).alias("ent")).distinct())
+        discard(pairs, links)
+        sweep(self.spark)
+        return out
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose whole sets reach the threshold."""
         ids = pairs.select(F.col("a").alias("ent")).unionByName(pairs.select(F.col("b").alias("ent"))).distinct()
-        homes = table(self.ents.join(ids, "ent").select("ent", "at.*"))
+        homes = table(self.ents.select("ent", "at").join(ids, "ent").select("ent", "at.*"))
         docs = self.docs.join(small(homes.select("rank").distinct()), "rank", "left_semi")
         rows = lines_of(docs).join(small(homes), ["rank", "line_no"])
-        sets = rows.select("ent", ordered_tokens(F.col("line"), self.levels).alias("ts")).filter(F.xxhash64("ts") == F.col("ent"))
+        sets = rows.select("ent", F.array_distinct(F.transform(pieces(F.col("line")), lambda t: F.xxhash64(t))).alias("ts"))
         sets = table(sets.groupBy("ent").agg(F.first("ts").alias("ts")))
         both = pairs.join(sets.select(F.col("ent").alias("a"), F.col("ts").alias("ta")), "a").join(sets.select(F.col("ent").alias("b"), F.col("ts").alias("tb")), "b")
         both = both.withColumn("c", F.size(F.array_intersect("ta", "tb")))
-        return both.filter(F.col("c") * self.den >= (F.size("ta") + F.size("tb") - F.col("c")) * self.num).select("a", "b")
+        out = table(both.filter(F.col("c") * self.den >= (F.size("ta") + F.size("tb") - F.col("c")) * self.num).select("a", "b"))
+        discard(sets, homes)
+        sweep(self.spark)
+        return out
 
     def removed(self) -> DataFrame:
         """rank and gone: for each document the bits, by 64, of the line numbers that go."""
         self.entities()
-        pairs = self.candidates()
-        links = table(self.verified(pairs))
-        sweep(self.spark)
-        at = self.ents.select("ent", "at")
-        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        near = both.join(at.withColumnRenamed("ent", "b"), "b").select(F.col("a").alias("ent"), "at")
-        best = at.unionByName(near).groupBy("ent").agg(F.min("at").alias("best"))
-        gone = self.lines.join(best, "ent").filter(F.struct("rank", "line_no") > F.col("best"))
+        shadowed = self.later(self.early())
+        for joins in JOINS:
+            more = self.later(self.candidates(joins, shadowed))
+            both = table(shadowed.unionByName(more).distinct())
+            discard(shadowed, more)
+            shadowed = both
+        out = self.ents.select("ent", "at").join(small(shadowed).withColumn("out", F.lit(True)), "ent", "left")
+        gone = self.lines.join(out, "ent").filter(F.col("out").isNotNull() | (F.struct("rank", "line_no") > F.col("at")))
         words = gone.groupBy("rank", F.shiftright("line_no", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, line_no & 63)")).alias("m"))
         found = table(words.groupBy("rank").agg(F.map_from_entries(F.collect_list(F.struct("w", "m"))).alias("gone")))
+        discard(shadowed, self.ents, self.lines)
         sweep(self.spark)
         return found
 

@@ -86,7 +86,7 @@ OP4 = """
 WITH split AS (SELECT coalesce(doc_id, 9223372036854775807) AS rank, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
 lines AS (SELECT rank, ls, unnest(range(0, len(ls))) AS no FROM split),
 sets AS (
-  SELECT rank, no, list_sort(list_distinct(list_filter(string_split(translate(lower(ls[no + 1]), chr(9) || chr(13) || chr(11) || chr(12), '    '), ' '), lambda t: t != ''))) AS ts FROM lines
+  SELECT rank, no, list_sort(list_distinct(list_filter(string_split(ls[no + 1], ' '), lambda t: t != ''))) AS ts FROM lines
 ), ents AS (
   SELECT row_number() OVER (ORDER BY rank, no) AS ent, ts, rank, no FROM (SELECT ts, rank, no, row_number() OVER (PARTITION BY ts ORDER BY rank, no) AS k FROM sets WHERE len(ts) > 0) WHERE k = 1
 ), toks AS (SELECT ent, len(ts) AS n, unnest(ts) AS t FROM ents),
