@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import sweep, table
+from .scratch import discard, sweep, table
 
 
 def mark(links: DataFrame) -> tuple:
@@ -30,7 +30,9 @@ def components(edges: DataFrame) -> DataFrame:
         lows = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lows, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         new = table(small.filter("u != v").distinct())
-        before, after, links = mark(links), mark(new), new
+        discard(large)
+        before, after, old, links = mark(links), mark(new), links, new
+        discard(old)
         sweep(links.sparkSession)
         if before == after:
             break

@@ -1,15 +1,15 @@
 """N-gram Jaccard join by vertical partitioning of the global n-gram order.
 
-Every document is a set of shingles in one global order: shingles that are not frequent first,
-frequent ones last, ties by hash.  The order is cut into fragments.  Fragment 0 of a document is
-its prefix, which any partner must share a shingle with; it yields the candidate pairs.  The other
-fragments are ranges of the hash space: partial overlaps are counted fragment by fragment and
-summed per pair, and the exact threshold decides.
+The order of shingles is that of their hashes; it is cut into fragments, which are ranges of it.
+Two sets of up to h shingles that reach the threshold differ in a bounded number d of shingles, each
+of which lies in one fragment; of more than d fragments, at least one is the same in both sets.  So
+documents meet under equal fragments, which unrelated documents hardly ever share.  The number of
+fragments depends on the size level of a document; near the border of two levels it has both.
 
-Equal sets are one entity, so copies never meet in pairs.  Candidate pairs are tested in rounds:
-first every member of a prefix group against one hub of the group, then, among entities that are
-still in different components, against other hubs, and at last against all, so that no link that
-joins two components is lost although links within a component are not all listed.
+Equal sets are one entity, so copies never meet in pairs.  Members of a fragment group are first
+tested against one hub of the group, then, among entities that are still in different components,
+against all, so that no link that joins two components is lost although links within a component
+are not all listed.  A pair is tested by partial overlaps, counted fragment by fragment and summed.
 
 Null texts and texts without words have no shingle and link with nothing; ties and repeated rows
 are equal sets; repeated or null doc_ids return one row per input row; an empty table gives none.
@@ -21,55 +21,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import bitmap, prepare, seen, sweep, table
+from .scratch import bitmap, discard, prepare, seen, sweep, table
 from .textops import NOT_SPACE, column, folded, mix, part, shingles, slices, utf8
 
 VALUES = folded(8)
-#: Frequent shingles that the order knows; a hint for speed, any order gives the same result.
-HEAVY = 1 << 17
-#: A shingle is proposed as frequent if a task sees it so often among `FLUSH` shingles.
-HEAVY_SEEN, FLUSH = 8, 1 << 22
-HUB_ROUNDS = 3
+#: Groups of more entities are thinned by hubs, so many times at most, before all their pairs are met.
+CROWD, HUB_ROUNDS = 4096, 6
 FRAGMENTS = 4
-#: 64-bit words of the parity sketch of a set: sets that differ in d shingles differ in d bits at most.
-SKETCH = 16
-ROWS = "token long, ent long, n long, doc_id long, sketch array<long>"
+#: Ranges of fragment keys that are grouped one after the other.
+RANGES = 4
+#: 64-bit words of the fixed-size sketch that travels with group rows.
+MARK = 8
+ROWS = "token long, ent long, n long, doc_id long, tk long, sketch array<long>, mark array<long>"
 
 
 def sets_of(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
     return shingles(data, offsets, k, NOT_SPACE, VALUES)
 
 
-def frequent(k: int):
-    """Shingles that occur in several documents of a task, with the number of documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def flush():
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
-            often = counts >= HEAVY_SEEN
-            return pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(counts[often])], names=["token", "n"])
-
-        for batch in batches:
-            data, offsets = utf8(column(batch, "text"))
-            for i, j in slices(offsets):
-                for s in sets_of(*part(data, offsets, i, j), k):
-                    held.append(s)
-                    size += len(s)
-                if size >= FLUSH:
-                    yield flush()
-                    held, size = [], 0
-        if held:
-            yield flush()
-
-    return run
-
-
 def entity(s: np.ndarray) -> int:
     """A 64-bit digest of a set."""
     if not len(s):
@@ -79,31 +52,68 @@ def entity(s: np.ndarray) -> int:
     return int(mix(a + b + np.uint64(len(s))).view(np.int64)[0])
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
-    """Bit i is the parity of the number of shingles that hash to i."""
-    odd = np.bincount((mix(s) & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+def parities(s: np.ndarray, size: int) -> np.ndarray:
+    return np.bincount((mix(s) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
 
 
-def ordered(s: np.ndarray, heavy: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """The set in the global order: frequent shingles last, by frequency."""
-    if not len(heavy) or not len(s):
-        return s
-    at = np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)
-    rank = np.where(heavy[at] == s, ranks[at], 0)
-    return s[np.lexsort((s, rank))] if rank.any() else s
+def packed(bits: np.ndarray) -> np.ndarray:
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-def prefixes(k: int, num: int, den: int, heavy: np.ndarray, ranks: np.ndarray):
-    """Per document a row (token null): doc_id, set size, entity, sketch; per prefix shingle a row."""
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Bit i is the parity of the number of shingles that hash to i; then the same with half the bits.
+
+    Sets that differ in d shingles differ in d bits at most.  There are about as many bits as
+    shingles, a power of two, so that of two sets that may be similar one half or whole fits the other.
+    """
+    size = max(256, 1 << int(len(s) - 1).bit_length())
+    odd = parities(s, size)
+    return packed(np.concatenate([odd, odd[: size // 2] ^ odd[size // 2 :]]))
+
+
+def levels(n: int, num: int, den: int) -> list[tuple[int, int, int]]:
+    """The size levels of a set of n shingles: (level, fragments, spare fragments).
+
+    A level holds the pairs whose larger set has between 2**((level - 1) / 2) and 2**(level / 2)
+    shingles.  Of its fragments, at least the spare ones and one more are the same in both sets.
+    """
+    out = []
+    level = max(0, int(np.ceil(2 * np.log2(n) - 1e-9)))
+    while 2 ** ((level - 1) / 2) * num <= n * den:  # the larger set of a pair may be on a higher level
+        most = int(2 ** (level / 2))
+        if most >= n:
+            differ = 2 * most * (den - num) // (den + num)
+            spare = 2 + differ // 9 if differ else 0
+            out.append((level, differ + 1 + spare, spare))
+        level += 1
+    return out
+
+
+def fragment_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Hashes of all fragments of a set: level, place and content."""
+    mixed = mix(s)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed)])
+    out = []
+    for level, fragments, spare in levels(len(s), num, den):
+        place = ((s >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)
+        edges = np.searchsorted(place, np.arange(fragments + 1, dtype=np.uint64))
+        key = mix(sums[edges[1:]] - sums[edges[:-1]] + mix(np.arange(fragments, dtype=np.uint64) * np.uint64(1 << 20) + np.uint64(level)))
+        full = edges[1:] - edges[:-1] > 1
+        # fragments of one shingle or none say little; they are needed only where a set has more of them than there are spare ones
+        out.append(key if fragments - int(full.sum()) > spare else key[full])
+    return np.concatenate(out)
+
+
+def keyed(k: int, num: int, den: int):
+    """Per document a row (token null): doc_id, set size, entity, sketch; per fragment a row with its key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for batch in batches:
-            ids = column(batch, "doc_id").cast(pa.int64())
+            ids, keys = column(batch, "doc_id").cast(pa.int64()), column(batch, "tk")
             data, offsets = utf8(column(batch, "text"))
             sizes, entities = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            tokens, ents, ns, sketches = [], [], [], [None] * batch.num_rows
+            tokens, ents, ns, sketches, marks = [], [], [], [None] * batch.num_rows, [None] * batch.num_rows
             if len(done) > 1_000_000:
                 done.clear()
             for i, j in slices(offsets):
@@ -115,11 +125,11 @@ def prefixes(k: int, num: int, den: int, heavy: np.ndarray, ranks: np.ndarray):
                     if e in done:
                         continue
                     done.add(e)
-                    p = n - -(-n * num // den) + 1
-                    tokens.append(ordered(s, heavy, ranks)[:p])
-                    ents.append(np.full(p, e))
-                    ns.append(np.full(p, n))
+                    tokens.append(fragment_keys(s, num, den))
+                    ents.append(np.full(len(tokens[-1]), e))
+                    ns.append(np.full(len(tokens[-1]), n))
                     sketches[row] = sketch(s)
+                    marks[row] = packed(parities(s, 64 * MARK))
             m = sum(map(len, tokens))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -127,27 +137,29 @@ def prefixes(k: int, num: int, den: int, heavy: np.ndarray, ranks: np.ndarray):
                     pa.array(np.concatenate([entities, *ents]).astype(np.int64)),
                     pa.array(np.concatenate([sizes, *ns]).astype(np.int64)),
                     pa.concat_arrays([ids, pa.nulls(m, pa.int64())]),
-                    pa.concat_arrays([pa.array(sketches, pa.list_(pa.int64())), pa.nulls(m, pa.list_(pa.int64()))]),
+                    pa.concat_arrays([keys, pa.nulls(m, pa.int64())]),
+                    *(pa.concat_arrays([pa.array(x, pa.list_(pa.int64())), pa.nulls(m, pa.list_(pa.int64()))]) for x in (sketches, marks)),
                 ],
-                names=["token", "ent", "n", "doc_id", "sketch"],
+                names=["token", "ent", "n", "doc_id", "tk", "sketch", "mark"],
             )
 
     return run
 
 
 def segments(k: int, fragments: int, words: np.ndarray):
-    """The fragments of the sets whose entity may be in the bitmap, one set per entity and task."""
+    """The fragments of the sets of the texts that may be in the bitmap, one set per entity and task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = (np.arange(1, fragments, dtype=np.float64) / fragments * 2.0**64).astype(np.uint64)
         done: set[int] = set()
         for batch in batches:
+            batch = batch.filter(pa.array(seen(words, column(batch, "tk").to_numpy())))
             data, offsets = utf8(column(batch, "text"))
             ents, frags, sets = [], [], []
             for i, j in slices(offsets):
                 for s in sets_of(*part(data, offsets, i, j), k):
                     e = entity(s) if len(s) else 0
-                    if not len(s) or e in done or not seen(words, np.array([e]))[0]:
+                    if not len(s) or e in done:
                         continue
                     done.add(e)
                     for f, piece in enumerate(np.split(s, np.searchsorted(s, cuts))):
@@ -169,28 +181,29 @@ class Join:
         self.spark: SparkSession = docs.sparkSession
         prepare(self.spark)
         self.k, (self.num, self.den) = k, threshold
-        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-    def order(self) -> tuple[np.ndarray, np.ndarray]:
-        """The most frequent shingles, sorted by hash, and their ranks."""
-        found = self.docs.select("text").mapInArrow(frequent(self.k), "token long, n long")
-        top = found.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "token").limit(HEAVY).toArrow()
-        token, n = top["token"].to_numpy().view(np.uint64), top["n"].to_numpy()
-        by = np.argsort(token)
-        return token[by], n[by]
+        docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        self.docs = docs.withColumn("tk", F.xxhash64("text"))
 
     def candidates(self) -> None:
-        """Document rows, entities, and the prefix groups of at least two entities."""
-        heavy, ranks = self.order()
-        rows = table(self.docs.mapInArrow(prefixes(self.k, self.num, self.den, heavy, ranks), ROWS))
-        self.rows = rows.filter("token is null").select("doc_id", "n", "ent")
+        """Document rows, and the fragment groups of at least two entities, with the entities' sketches."""
+        rows = table(self.docs.mapInArrow(keyed(self.k, self.num, self.den), ROWS))
+        self.rows = table(rows.filter("token is null").select("doc_id", "n", "ent"))
         entries = rows.filter("token is not null").select("token", "ent", "n")
-        shared = entries.groupBy("token").agg(F.min("ent").alias("lo"), F.max("ent").alias("hi")).filter("lo != hi").select("token")
-        self.groups = table(entries.join(shared, "token").distinct())
-        sweep(self.spark)
+        whole = Window.partitionBy("token")
+        parts = []
+        for r in range(RANGES):  # one range of the keys after the other, so that their shuffle files never lie on disk together
+            mine = entries.filter(F.col("token").bitwiseAND(F.lit(RANGES - 1)) == r)
+            shared = mine.withColumns({"lo": F.min("ent").over(whole), "hi": F.max("ent").over(whole)}).filter("lo != hi")
+            parts.append(table(shared.select("token", "ent", "n").distinct()))
+            sweep(self.spark)
+        self.groups = parts[0]
+        for part_ in parts[1:]:
+            self.groups = self.groups.unionByName(part_)
+        self.written = parts
         live = self.groups.select("ent").distinct()
-        found = rows.filter("sketch is not null").select("ent", "sketch").join(live, "ent")
-        self.sketches = table(found.groupBy("ent").agg(F.first("sketch").alias("sketch")))
+        found = rows.filter("sketch is not null").select("ent", "tk", "sketch", "mark").join(live, "ent")
+        self.sketches = table(found.groupBy("ent").agg(*(F.first(c).alias(c) for c in ("tk", "sketch", "mark"))))
+        discard(rows)
         sweep(self.spark)
 
     def fit(self, a: str, b: str):
@@ -202,15 +215,22 @@ class Join:
         sa = self.sketches.select(F.col("ent").alias("a"), F.col("sketch").alias("sa"))
         sb = self.sketches.select(F.col("ent").alias("b"), F.col("sketch").alias("sb"))
         both = pairs.join(sa, "a").join(sb, "b")
-        bits = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(SKETCH)), F.lit(0))
+        # of a sketch of 3 k words, k are the half; where the sizes differ, the half of one meets the whole of the other
+        whole = lambda s: F.slice(s, F.lit(1), (F.size(s) / 3 * 2).cast("int"))
+        half = lambda s: F.slice(s, (F.size(s) / 3 * 2 + 1).cast("int"), (F.size(s) / 3).cast("int"))
+        ha, hb = F.size("sa"), F.size("sb")
+        left = F.when(ha > hb, half(F.col("sa"))).otherwise(whole(F.col("sa")))
+        right = F.when(hb > ha, half(F.col("sb"))).otherwise(whole(F.col("sb")))
+        bits = F.aggregate(F.zip_with(left, right, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
         close = bits * (self.num + self.den) <= (F.col("an") + F.col("bn")) * (self.den - self.num)
         return both.filter(close).select(*pairs.columns)
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, an, b, bn) that reach the threshold, by overlaps summed over fragments."""
         ents = pairs.select(F.col("a").alias("ent")).unionByName(pairs.select(F.col("b").alias("ent"))).distinct()
-        words = bitmap(ents, "ent")
-        found = self.docs.select("text").mapInArrow(segments(self.k, FRAGMENTS, words), "ent long, frag int, seg array<long>")
+        homes = self.sketches.join(ents, "ent").select("tk")
+        words = bitmap(homes, "tk")
+        found = self.docs.select("tk", "text").mapInArrow(segments(self.k, FRAGMENTS, words), "ent long, frag int, seg array<long>")
         found = table(found.join(ents, "ent", "left_semi").groupBy("ent", "frag").agg(F.first("seg").alias("seg")))
         sweep(self.spark)
         left = found.select(F.col("ent").alias("a"), "frag", F.col("seg").alias("sa"))
@@ -218,6 +238,7 @@ class Join:
         partial = pairs.join(left, "a").join(right, ["b", "frag"]).select("a", "an", "b", "bn", F.size(F.array_intersect("sa", "sb")).alias("c"))
         total = partial.groupBy("a", "an", "b", "bn").agg(F.sum("c").alias("c"))
         out = table(total.filter(F.col("c") * self.den >= (F.col("an") + F.col("bn") - F.col("c")) * self.num).select("a", "b"))
+        discard(found)
         sweep(self.spark)
         return out
 
@@ -231,43 +252,69 @@ class Join:
         return g.join(mixed, "token")
 
     def hub_pairs(self, groups: DataFrame, seed: int) -> DataFrame:
-        """Each entity with the hub of most of its groups, where that is in another component."""
-        hub = F.struct(F.xxhash64("ent", F.lit(seed)).alias("h"), "ent", "n", "comp")
-        hubs = groups.groupBy("token").agg(F.min(hub).alias("hub"))
-        met = groups.join(hubs, "token").filter("comp != hub.comp")
-        met = met.select(F.col("ent").alias("a"), F.col("n").alias("an"), F.col("hub.ent").alias("b"), F.col("hub.n").alias("bn"))
-        met = self.sift(met.filter(self.fit("an", "bn")).groupBy("a", "an", "b", "bn").agg(F.count("*").alias("m")))
+        """Each entity with the hub of most of its groups, where that is in another component.
+
+        The hub of a group is its member of most groups, which is the least changed of near copies;
+        in later rounds it is any.
+        """
+        if seed:
+            groups = groups.withColumn("rank", F.xxhash64("ent", F.lit(seed)))
+        else:
+            groups = groups.join(groups.groupBy("ent").agg((-F.count("*")).alias("rank")), "ent")
+        hubs = groups.groupBy("token").agg(F.min(F.struct("rank", "ent", "n", "comp")).alias("hub")).select("token", "hub.*")
+        met = self.marked(groups, "a", "an", "ac", "p").join(self.marked(hubs, "b", "bn", "bc", "q"), "token").filter((F.col("ac") != F.col("bc")) & self.close())
+        met = self.sift(met.groupBy("a", "an", "b", "bn").agg(F.count("*").alias("m")))
         best = met.groupBy("a", "an").agg(F.max(F.struct("m", "b", "bn")).alias("x"))
         return best.select("a", "an", F.col("x.b").alias("b"), F.col("x.bn").alias("bn"))
 
+    def marked(self, groups: DataFrame, e: str, n: str, c: str, m: str) -> DataFrame:
+        """Group rows under other names, with the fixed-size sketch of their entity in columns of its words."""
+        marks = self.sketches.select("ent", *(F.col("mark")[i].alias(f"{m}{i}") for i in range(MARK)))
+        return groups.join(marks, "ent").select("token", F.col("ent").alias(e), F.col("n").alias(n), F.col("comp").alias(c), *(f"{m}{i}" for i in range(MARK)))
+
+    def close(self):
+        """Whether sizes and fixed-size sketches allow the threshold; evaluated within the joins."""
+        bits = sum((F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"q{i}"))) for i in range(MARK)), F.lit(0))
+        return self.fit("an", "bn") & (bits * (self.num + self.den) <= (F.col("an") + F.col("bn")) * (self.den - self.num))
+
     def all_pairs(self, groups: DataFrame) -> DataFrame:
-        """Every pair of a group whose entities are in different components."""
-        x = groups.select("token", F.col("ent").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"))
-        y = groups.select("token", F.col("ent").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bc"))
-        met = x.join(y, "token").filter((F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & self.fit("an", "bn"))
+        """Every pair of a group whose entities are in different components and may be similar."""
+        met = self.marked(groups, "a", "an", "ac", "p").join(self.marked(groups, "b", "bn", "bc", "q"), "token")
+        met = met.filter((F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & self.close())
         return self.sift(met.select("a", "an", "b", "bn").distinct())
 
+    def test(self, pairs: DataFrame) -> None:
+        """Verify pairs that were not tested yet."""
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.when(F.col("a") < F.col("b"), F.col("an")).otherwise(F.col("bn")).alias("an"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("bn")).otherwise(F.col("an")).alias("bn")).distinct()
+        if self.tested is not None:
+            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
+        pairs = table(pairs)
+        sweep(self.spark)
+        if pairs.isEmpty():
+            return
+        links, now = self.verify(pairs), pairs.select("a", "b")
+        self.tested = now if self.tested is None else self.tested.unionByName(now)
+        if not links.isEmpty():
+            self.edges = links if self.edges is None else self.edges.unionByName(links)
+            self.found = components(self.edges)
+
+    def crowded(self, groups: DataFrame) -> bool:
+        return not groups.groupBy("token").agg(F.count("*").alias("m")).filter(F.col("m") > CROWD).isEmpty()
+
     def labels(self) -> DataFrame | None:
         """node (entity), component: only of entities with links."""
         self.candidates()
-        edges, labels, tested = None, None, None
-        for step in range(HUB_ROUNDS + 1):
-            groups = self.alive(labels)
-            pairs = self.hub_pairs(groups, step) if step < HUB_ROUNDS else self.all_pairs(groups)
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.when(F.col("a") < F.col("b"), F.col("an")).otherwise(F.col("bn")).alias("an"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("bn")).otherwise(F.col("an")).alias("bn")).distinct()
-            if tested is not None:
-                pairs = pairs.join(tested, ["a", "b"], "left_anti")
-            pairs = table(pairs)
-            sweep(self.spark)
-            if pairs.isEmpty():
-                continue
-            links = self.verify(pairs)
-            seen_now = pairs.select("a", "b")
-            tested = seen_now if tested is None else tested.unionByName(seen_now)
-            if not links.isEmpty():
-                edges = links if edges is None else edges.unionByName(links)
-                labels = components(edges)
-        return labels
+        self.edges = self.found = self.tested = None
+        self.test(self.hub_pairs(self.alive(None), 0))
+        for step in range(1, HUB_ROUNDS):
+            groups = self.alive(self.found)
+            if not self.crowded(groups):
+                break
+            self.test(self.hub_pairs(groups, step))
+        self.test(self.all_pairs(self.alive(self.found)))
+        discard(*self.written, self.sketches)
+        sweep(self.spark)
+        return self.found
 
 
 def components_of(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
