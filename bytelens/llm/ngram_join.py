@@ -83,7 +83,7 @@ def levels(n: int, num: int, den: int) -> list[tuple[int, int, int]]:
         most = int(2 ** (level / 2))
         if most >= n:
             differ = 2 * most * (den - num) // (den + num)
-            spare = 2 + differ // 9 if differ else 0
+            spare = 2 + differ // 32 if differ else 0
             out.append((level, differ + 1 + spare, spare))
         level += 1
     return out
@@ -98,8 +98,8 @@ def fragment_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
         place = ((s >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)
         edges = np.searchsorted(place, np.arange(fragments + 1, dtype=np.uint64))
         key = mix(sums[edges[1:]] - sums[edges[:-1]] + mix(np.arange(fragments, dtype=np.uint64) * np.uint64(1 << 20) + np.uint64(level)))
-        full = edges[1:] - edges[:-1] > 1
-        # fragments of one shingle or none say little; they are needed only where a set has more of them than there are spare ones
+        full = edges[1:] > edges[:-1]
+        # empty fragments say little; they are needed only where a set has more of them than there are spare ones
         out.append(key if fragments - int(full.sum()) > spare else key[full])
     return np.concatenate(out)
 
@@ -261,26 +261,20 @@ class Join:
             groups = groups.withColumn("rank", F.xxhash64("ent", F.lit(seed)))
         else:
             groups = groups.join(groups.groupBy("ent").agg((-F.count("*")).alias("rank")), "ent")
-        hubs = groups.groupBy("token").agg(F.min(F.struct("rank", "ent", "n", "comp")).alias("hub")).select("token", "hub.*")
-        met = self.marked(groups, "a", "an", "ac", "p").join(self.marked(hubs, "b", "bn", "bc", "q"), "token").filter((F.col("ac") != F.col("bc")) & self.close())
-        met = self.sift(met.groupBy("a", "an", "b", "bn").agg(F.count("*").alias("m")))
+        hubs = groups.groupBy("token").agg(F.min(F.struct("rank", "ent", "n", "comp")).alias("hub"))
+        met = groups.join(hubs, "token").filter("comp != hub.comp")
+        met = met.select(F.col("ent").alias("a"), F.col("n").alias("an"), F.col("hub.ent").alias("b"), F.col("hub.n").alias("bn"))
+        met = self.sift(met.filter(self.fit("an", "bn")).groupBy("a", "an", "b", "bn").agg(F.count("*").alias("m")))
         best = met.groupBy("a", "an").agg(F.max(F.struct("m", "b", "bn")).alias("x"))
         return best.select("a", "an", F.col("x.b").alias("b"), F.col("x.bn").alias("bn"))
 
-    def marked(self, groups: DataFrame, e: str, n: str, c: str, m: str) -> DataFrame:
-        """Group rows under other names, with the fixed-size sketch of their entity in columns of its words."""
-        marks = self.sketches.select("ent", *(F.col("mark")[i].alias(f"{m}{i}") for i in range(MARK)))
-        return groups.join(marks, "ent").select("token", F.col("ent").alias(e), F.col("n").alias(n), F.col("comp").alias(c), *(f"{m}{i}" for i in range(MARK)))
-
-    def close(self):
-        """Whether sizes and fixed-size sketches allow the threshold; evaluated within the joins."""
-        bits = sum((F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"q{i}"))) for i in range(MARK)), F.lit(0))
-        return self.fit("an", "bn") & (bits * (self.num + self.den) <= (F.col("an") + F.col("bn")) * (self.den - self.num))
-
     def all_pairs(self, groups: DataFrame) -> DataFrame:
         """Every pair of a group whose entities are in different components and may be similar."""
-        met = self.marked(groups, "a", "an", "ac", "p").join(self.marked(groups, "b", "bn", "bc", "q"), "token")
-        met = met.filter((F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & self.close())
+        groups = groups.join(self.sketches.select("ent", *(F.col("mark")[i].alias(f"m{i}") for i in range(MARK))), "ent")
+        side = lambda e, n, c, m: groups.select("token", F.col("ent").alias(e), F.col("n").alias(n), F.col("comp").alias(c), *(F.col(f"m{i}").alias(f"{m}{i}") for i in range(MARK)))
+        bits = sum((F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"q{i}"))) for i in range(MARK)), F.lit(0))
+        close = bits * (self.num + self.den) <= (F.col("an") + F.col("bn")) * (self.den - self.num)
+        met = side("a", "an", "ac", "p").join(side("b", "bn", "bc", "q"), "token").filter((F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & self.fit("an", "bn") & close)
         return self.sift(met.select("a", "an", "b", "bn").distinct())
 
     def test(self, pairs: DataFrame) -> None:
