@@ -6,9 +6,9 @@ The network sees `2 * SIDE` neighbours through embeddings and predicts the bucke
 hierarchical soft-max of two levels, starting from the corpus frequencies of the classes; the bucket
 within its class has its smoothed corpus frequency.
 
-Counts cover every token of every document.  The network is trained on every `STRIDE`-th token of
-every document, in each task from the same start, and the tasks' parameters are averaged, weighted
-by their tokens, block by block on the executors.  What is sent to the driver and back is the model
+Counts cover every token of every document, and the network is trained on every one, in a single
+pass.  Each task trains from the same start, and the tasks' parameters are averaged, weighted by
+their tokens, block by block on the executors.  What is sent to the driver and back is the model
 and the counts, whose sizes are fixed; what is gathered grows with the corpus.
 
 Null, empty and blank texts have no token and score 0 (no mean); one token is predicted from empty
@@ -29,7 +29,7 @@ from .textops import NOT_SPACE, column, folded, part, slices, utf8, words
 
 SIDE, VOCAB, DIM, HIDDEN, HEAD = 2, 8192, 16, 32, 32
 FINE = HEAD * HEAD * 256
-STRIDE, BATCH, RATE = 8, 256, 0.15
+BATCH, RATE = 256, 0.15
 BLOCK, CHUNK = 1024, 32768
 VALUES = folded(5)
 SHAPES = {"emb": (VOCAB + 1, DIM), "w1": (2 * SIDE * DIM, HIDDEN), "b1": (HIDDEN,), "top": (HIDDEN, HEAD), "low": (HEAD, HIDDEN, HEAD)}
@@ -84,7 +84,7 @@ def contexts(ids: np.ndarray, bounds: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def hidden(p: dict[str, np.ndarray], ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    x = p["emb"][ctx].reshape(len(ctx), -1)
+    x = p["emb"].take(ctx, axis=0).reshape(len(ctx), -1)
     return x, np.tanh(x @ p["w1"] + p["b1"])
 
 
@@ -98,27 +98,38 @@ def step(p: dict[str, np.ndarray], sums: dict[str, np.ndarray], prior: Prior, ct
     n, rows = len(ctx), np.arange(len(ctx))
     x, h = hidden(p, ctx)
     upper, lower = bucket >> 13, (bucket >> 8) & (HEAD - 1)
-    blocks = p["low"][upper]
+    # tokens of one upper class stand together, in a block of rows that is as high as the largest class
+    order = np.argsort(upper, kind="stable")
+    edges = np.searchsorted(upper[order], np.arange(HEAD + 1))
+    high = int(np.diff(edges).max())
+    place = np.empty(n, np.int64)
+    place[order] = rows - edges[upper[order]] + upper[order] * high
+    hs, ds = np.zeros((HEAD * high, HIDDEN), np.float32), np.zeros((HEAD * high, HEAD), np.float32)
+    hs[place] = h
+    by_class = lambda a, b: np.matmul(a.reshape(HEAD, high, -1), b).reshape(len(a), -1).take(place, axis=0)
     d1 = softmax(h @ p["top"] + prior.top)
-    d2 = softmax(np.matmul(h[:, None, :], blocks)[:, 0] + prior.low[upper])
+    d2 = softmax(by_class(hs, p["low"]) + prior.low.take(upper, axis=0))
     d1[rows, upper] -= 1
     d2[rows, lower] -= 1
     d1 /= n
     d2 /= n
-    dh = (d1 @ p["top"].T + np.matmul(blocks, d2[:, :, None])[:, :, 0]) * (1 - h * h)
-    dx = (dh @ p["w1"].T).reshape(-1, DIM)
-    which, inverse = np.unique(ctx.ravel(), return_inverse=True)
-    de = np.zeros((len(which), DIM), np.float32)
-    np.add.at(de, inverse, dx)
-    dlow = np.zeros_like(p["low"])
-    for u in np.unique(upper):
-        own = upper == u
-        dlow[u] = h[own].T @ d2[own]
+    ds[place] = d2
+    dh = (d1 @ p["top"].T + by_class(ds, p["low"].transpose(0, 2, 1))) * (1 - h * h)
+    dlow = np.matmul(hs.reshape(HEAD, high, -1).transpose(0, 2, 1), ds.reshape(HEAD, high, -1))
+    dx = dh @ p["w1"].T
+    order = np.argsort(ctx, axis=None)
+    ids = ctx.ravel()[order]
+    new = np.concatenate([[True], ids[1:] != ids[:-1]])
+    which, inverse = ids[new], np.empty(len(ids), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    cells = (inverse * DIM)[:, None] + np.arange(DIM)
+    de = np.bincount(cells.ravel(), dx.ravel(), len(which) * DIM).reshape(-1, DIM).astype(np.float32)
     for k, g in (("w1", x.T @ dh), ("b1", dh.sum(axis=0)), ("top", h.T @ d1), ("low", dlow)):
         sums[k] += g * g
         p[k] -= RATE * g / np.sqrt(sums[k] + 1e-8)
-    sums["emb"][which] += de * de
-    p["emb"][which] -= RATE * de / np.sqrt(sums["emb"][which] + 1e-8)
+    total = sums["emb"].take(which, axis=0) + de * de
+    sums["emb"][which] = total
+    p["emb"][which] = p["emb"].take(which, axis=0) - RATE * de / np.sqrt(total + 1e-8)
 
 
 def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,9 +166,7 @@ def learner(prior: Prior):
             data, offsets = utf8(column(batch, "text"))
             for i, j in slices(offsets):
                 ids, bucket, bounds = tokens(*part(data, offsets, i, j))
-                place = np.arange(len(ids)) - np.repeat(bounds[:-1], np.diff(bounds))
-                at = np.flatnonzero((place + bucket[np.arange(len(ids)) - place]) % STRIDE == 0)  # the first one varies
-                held.append((contexts(ids, bounds, at), bucket[at]))
+                held.append((contexts(ids, bounds, np.arange(len(ids))), bucket))
                 trained += learn(32 * BATCH)
         trained += learn(1)
         values = flat(p)

@@ -270,6 +270,33 @@ def test_pseudo_likelihood(spark, docs, empty):
     assert pseudo_lm.score(empty).collect() == []
 
 
+def test_every_token_is_a_training_target():
+    texts = pa.array([t for _, t, *_ in corpus()], pa.string())
+    batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+    got = next(pseudo_lm.learner(pseudo_lm.Prior(np.zeros(pseudo_lm.FINE)))(iter([batch])))
+    assert set(got["n"].to_pylist()) == {sum(len((t or "").split()) for t in texts.to_pylist())}
+
+
+def test_steps_follow_the_gradient():
+    rng = np.random.default_rng(3)
+    prior = pseudo_lm.Prior(rng.integers(0, 50, pseudo_lm.FINE))
+    p = {k: rng.normal(size=s).astype(np.float32) * 0.3 for k, s in pseudo_lm.SHAPES.items()}
+    ids, bucket = rng.integers(0, 20, 60).astype(np.int32), rng.integers(0, pseudo_lm.FINE, 60).astype(np.int32)
+    bounds = np.array([0, 25, 60])
+    mean = lambda q: pseudo_lm.log_likelihoods(q, prior, ids, bucket, bounds).mean()
+    new = {k: v.copy() for k, v in p.items()}
+    big = {k: np.full_like(v, 1e8) for k, v in p.items()}  # the step is then in proportion to the gradient
+    pseudo_lm.step(new, big, prior, pseudo_lm.contexts(ids, bounds, np.arange(60)), bucket)
+    for k in pseudo_lm.SHAPES:
+        g = (p[k].astype(np.float64) - new[k]) * 1e4 / pseudo_lm.RATE
+        assert np.count_nonzero(g), k
+        at = np.unravel_index(np.abs(g).argmax(), g.shape)
+        up, down = ({**p, k: p[k].copy()} for _ in range(2))
+        up[k][at] += 0.01
+        down[k][at] -= 0.01
+        assert np.isclose((mean(down) - mean(up)) / 0.02, g[at], rtol=0.1), k
+
+
 def test_conditional_probabilities_sum_to_one():
     prior = pseudo_lm.Prior(np.random.default_rng(0).integers(0, 50, pseudo_lm.FINE))
     rng = np.random.default_rng(1)
