@@ -122,6 +122,16 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All strings: document and benchmark texts, URLs, part names, and markers of every part."""
+    part = read(spark, sf_dir, "part").select("p_name")
+    sources = (("documents", "text"), ("pages", "url"), ("benchmark", "text"))
+    out = part.select(F.col("p_name").alias("string")).unionByName(part.select(F.concat(F.lit("["), "p_name", F.lit("]")).alias("string")))
+    for name, column in sources:
+        out = out.unionByName(read(spark, sf_dir, name).select(F.col(column).alias("string")))
+    return out
+
+
 def event_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as bodies: a user is a body, an event type a category and a register."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
@@ -131,6 +141,13 @@ def event_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+CORPUS_SQL = """
+texts AS (
+  SELECT text AS string FROM documents UNION ALL SELECT url FROM pages UNION ALL SELECT p_name FROM part UNION ALL SELECT text FROM benchmark UNION ALL SELECT '[' || p_name || ']' FROM part
+)
+"""
+
+
 SQL = """
 classes AS (
   SELECT r_regionkey AS load_seq, r_name AS name, 'geo' AS package, 'geo.' || r_name AS qualified_name, 'Object' AS super_name, 'Object' AS super_qualified, NULL AS iface FROM region
