@@ -4,6 +4,8 @@ The hash set is broadcast only up to `BLOCK_WORDS` benchmark words; a larger ben
 block by block, so that what is sent never grows with it.  Hash hits are verified word by word.
 Null texts and texts without words have no window and are never hit; an empty benchmark hits
 nothing; repeated document rows are judged each on its own; items with equal windows all count.
+Items with a null item_id hit like any other; together they count as one item, which the digest of
+items leaves out.
 """
 
 from __future__ import annotations
@@ -32,7 +34,12 @@ def normal(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: int, k: i
     return b" ".join(LOWER[data[starts[i] : ends[i]]].tobytes() for i in range(at, at + k))
 
 
-def test_windows(items: list[tuple[str, str]], window: int) -> dict[int, dict[int, dict[bytes, set[str]]]]:
+def in_order(items: set[str | None]) -> list[str | None]:
+    """Sorted, null last."""
+    return sorted(items, key=lambda x: (x is None, x or ""))
+
+
+def test_windows(items: list[tuple[str | None, str]], window: int) -> dict[int, dict[int, dict[bytes, set[str | None]]]]:
     """Window length -> hash -> normalised words -> the items that have them."""
     out: dict[int, dict[int, dict[bytes, set[str]]]] = {}
     for item, text in items:
@@ -46,14 +53,14 @@ def test_windows(items: list[tuple[str, str]], window: int) -> dict[int, dict[in
     return out
 
 
-def scanner(items: list[tuple[str, str]], window: int):
+def scanner(items: list[tuple[str | None, str]], window: int):
     """A function over Arrow batches that finds, per document, hit word ranges and hitting items."""
     known = test_windows(items, window)
     sorted_hashes = {k: np.sort(np.fromiter(v, np.uint64, len(v))) for k, v in known.items()}
 
     def one(data, offsets):
         h, starts, ends, bounds = words(data, offsets, ALNUM, VALUES)
-        found: dict[int, list[tuple[int, int, set[str]]]] = {}
+        found: dict[int, list[tuple[int, int, set[str | None]]]] = {}
         for k, have in sorted_hashes.items():
             win = window_hashes(h, k)
             if not len(win):
@@ -69,7 +76,7 @@ def scanner(items: list[tuple[str, str]], window: int):
         for batch in batches:
             data, offsets = utf8(column(batch, "text"))
             n_words, n_hit = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            items_of: list[list[str]] = [[]] * batch.num_rows
+            items_of: list[list[str | None]] = [[]] * batch.num_rows
             spans: list[list[dict]] = [[]] * batch.num_rows
             for i, j in slices(offsets):
                 starts, ends, bounds, found = one(*part(data, offsets, i, j))
@@ -82,7 +89,7 @@ def scanner(items: list[tuple[str, str]], window: int):
                     covered = np.concatenate([[False], np.cumsum(marks[:-1]) > 0, [False]])
                     edges = np.flatnonzero(covered[1:] != covered[:-1]).reshape(-1, 2)
                     n_hit[i + row] = int(covered.sum())
-                    items_of[i + row] = sorted(set().union(*(who for _, _, who in hits)))
+                    items_of[i + row] = in_order(set().union(*(who for _, _, who in hits)))
                     base, first = offsets[i + row] - offsets[i], bounds[row]
                     spans[i + row] = [{"word_from": int(a), "word_to": int(b), "byte_from": int(starts[first + a] - base), "byte_to": int(ends[first + b - 1] - base)} for a, b in edges]
             yield pa.RecordBatch.from_arrays(
@@ -97,12 +104,12 @@ SPANS = pa.list_(pa.struct([("word_from", pa.int32()), ("word_to", pa.int32()),
 SPANS_DDL = "array<struct<word_from:int,word_to:int,byte_from:bigint,byte_to:bigint>>"
 
 
-def blocks(benchmark: DataFrame, most_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str, str]]]:
+def blocks(benchmark: DataFrame, most_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str | None, str]]]:
     """The benchmark in blocks of at most `most_words` words (an item is never cut)."""
     rows = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string"))
     block, size = [], 0
     for item, text in rows.toLocalIterator():
-        if item is None or text is None:
+        if text is None:
             continue
         n = len(text.split()) + 1
         if block and size + n > most_words:
@@ -114,7 +121,7 @@ def blocks(benchmark: DataFrame, most_words: int = BLOCK_WORDS) -> Iterator[list
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_words: int = BLOCK_WORDS) -> DataFrame:
-    """`docs` with n_words, n_hit, items (sorted) and the hit spans, in words and bytes of the text."""
+    """`docs` with n_words, n_hit, items (sorted, null last) and the hit spans, in words and bytes of the text."""
     prepare(docs.sparkSession)
     clash = [c for c in docs.columns if c.lower() in ("n_words", "n_hit", "items", "spans")]
     docs = docs.drop(*clash).withColumn("text", F.col("text").cast("string"))
@@ -142,7 +149,7 @@ def chain(scanners):
                         merged.append(dict(s))
                 spans.append(merged)
                 hit.append(sum(s["word_to"] - s["word_from"] for s in merged))
-                items.append(sorted(set().union(*(g["items"][i] for g in got))))
+                items.append(in_order(set().union(*(g["items"][i] for g in got))))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(got[0]["n_words"], pa.int64()), pa.array(hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, SPANS)],
                 names=[*batch.schema.names, "n_words", "n_hit", "items", "spans"],

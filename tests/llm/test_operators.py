@@ -448,6 +448,17 @@ def test_decontamination(spark, docs, monkeypatch, block):
     assert cut[3] == "" and cut[0] is None and cut[7] == "a b c"
 
 
+@pytest.mark.parametrize("block", [10**6, 1])
+def test_items_without_id_hit(spark, block):
+    docs = spark.createDataFrame([(1, "one two three"), (2, "four five"), (3, "six")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "one two"), (None, "two three"), (7, "two three"), (None, "four"), (None, None)], "item_id long, text string")
+    found = decontaminate.find_hits(docs, bench, 13, block)
+    assert {r.doc_id: (r.n_hit, r["items"]) for r in found.collect()} == {1: (3, ["7", None]), 2: (1, [None]), 3: (0, [])}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    got = {r.doc_id: tuple(r)[2:] for r in decontaminate.report(docs, bench).collect()}
+    assert got == {1: (3, 2, sha("7"), True), 2: (1, 1, sha(""), True), 3: (0, 0, sha(""), False)}
+
+
 def test_nothing_is_hit_by_an_empty_benchmark(docs, empty, spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert {r.n_hit for r in decontaminate.report(docs, none).collect()} == {0}
