@@ -187,7 +187,7 @@ class Join:
     def candidates(self) -> None:
         """Document rows, and the fragment groups of at least two entities, with the entities' sketches."""
         rows = table(self.docs.mapInArrow(keyed(self.k, self.num, self.den), ROWS))
-        self.rows = table(rows.filter("token is null").select("doc_id", "n", "ent"))
+        self.rows = table(rows.filter("token is null").select("doc_id", "tk", "n", "ent"))
         entries = rows.filter("token is not null").select("token", "ent", "n")
         whole = Window.partitionBy("token")
         parts = []
@@ -311,16 +311,20 @@ class Join:
         return self.found
 
 
-def components_of(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id of the component), one row per input row."""
+def labelled(docs: DataFrame, k: int, threshold: tuple[int, int]) -> DataFrame:
+    """doc_id, tk (hash of the text), n (set size), comp, one row per input row."""
     join = Join(docs, k, threshold)
     labels = join.labels()
     rows = join.rows
     if labels is not None:
         rows = rows.join(labels.withColumnRenamed("node", "ent"), "ent", "left")
-        rows = rows.select("doc_id", "n", F.coalesce("component", "ent").alias("comp"))
-    else:
-        rows = rows.select("doc_id", "n", F.col("ent").alias("comp"))
+        return rows.select("doc_id", "tk", "n", F.coalesce("component", "ent").alias("comp"))
+    return rows.select("doc_id", "tk", "n", F.col("ent").alias("comp"))
+
+
+def components_of(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
+    """doc_id, n_shingles, component_id (least doc_id of the component), one row per input row."""
+    rows = labelled(docs, k, threshold)
     full = rows.filter("n > 0")
     least = full.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     linked = full.join(least, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
@@ -329,7 +333,15 @@ def components_of(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80,
 
 
 def keep_one(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
-    """The documents of `docs` that are the least doc_id of their component (all rows without words)."""
-    found = components_of(docs, k, threshold)
-    gone = found.filter("component_id != doc_id").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType))
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each component, the least by doc_id (null last) and then by the hash of its text.
+
+    Rows without words all stay; so do rows that repeat both the doc_id and the text of the one that
+    stays, unless their doc_id is null.
+    """
+    full = labelled(docs, k, threshold).filter("n > 0").withColumn("key", F.struct(F.col("doc_id").isNull(), "doc_id", "tk"))
+    least = full.groupBy("comp").agg(F.min("key").alias("least"))
+    gone = full.join(least, "comp").filter("key != least").select(F.col("doc_id").alias("_gone"), F.col("tk").alias("_gone_tk"))
+    rows = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_tk": F.xxhash64(F.col("text").cast("string"))})
+    nameless = F.col("_id").isNull() & F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = rows.filter(~nameless).unionByName(rows.filter(nameless).dropDuplicates(["_tk"]))
+    return rows.join(gone, F.col("_id").eqNullSafe(F.col("_gone")) & (F.col("_tk") == F.col("_gone_tk")), "left_anti").select(*docs.columns)

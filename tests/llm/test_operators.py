@@ -410,6 +410,16 @@ def test_one_of_each_group_stays(docs, empty):
     assert ngram_join.components_of(empty).collect() == []
 
 
+def test_one_stays_whatever_the_ids(spark):
+    rng = random.Random(12)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    rows = [(None, a), (None, a), (None, a + " more"), (None, b), (3, b), (5, c), (5, d), (4, d), (None, " "), (None, " "), (None, None)]
+    kept = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    full = sorted((r.doc_id or 0, r.text) for r in kept if r.text and r.text.strip())
+    assert [i for i, _ in full] == [0, 3, 4, 5] and full[0][1] in (a, a + " more")
+    assert [t for _, t in full[1:]] == [b, d, c] and len(kept) == 7
+
+
 # --- 9 decontamination --------------------------------------------------------------------------
 
 
