@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from .model import Model
 
-MAX_DEPTH = 100
+
+def level(df: DataFrame) -> DataFrame:
+    """The rows of one round, without their lineage: the plans of many rounds within each other grow too large."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
 
 
 def parents(m: Model) -> DataFrame:
@@ -59,9 +62,9 @@ def ancestors(m: Model) -> DataFrame:
     up = parents(m).select(F.col("name").alias("k"), F.col("parent").alias("next"))
     frontier = parents(m).select("name", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"), F.array("parent").alias("path"))
     out, depth = frontier, 1
-    while depth < MAX_DEPTH:
+    while True:
         step = frontier.join(up, F.col("ancestor") == F.col("k")).filter(~F.array_contains("path", F.col("next")))
-        frontier = step.select("name", F.col("next").alias("ancestor"), F.lit(depth + 1).alias("depth"), F.concat("path", F.array("next")).alias("path")).persist()
+        frontier = level(step.select("name", F.col("next").alias("ancestor"), F.lit(depth + 1).alias("depth"), F.concat("path", F.array("next")).alias("path")))
         if frontier.isEmpty():
             break
         out, depth = out.unionByName(frontier), depth + 1
@@ -74,9 +77,9 @@ def descendants(m: Model) -> DataFrame:
     down = edges.select(F.col("parent").alias("k"), F.col("name").alias("next"))
     frontier = edges.select(F.col("parent").alias("root"), "name", F.lit(1).alias("depth"))
     out, depth = frontier, 1
-    while depth < MAX_DEPTH:
+    while True:
         step = frontier.join(down, F.col("name") == F.col("k")).select("root", F.col("next").alias("name"), F.lit(depth + 1).alias("depth")).distinct()
-        frontier = step.join(out.select("root", "name"), ["root", "name"], "left_anti").persist()
+        frontier = level(step.join(out.select("root", "name"), ["root", "name"], "left_anti"))
         if frontier.isEmpty():
             break
         out, depth = out.unionByName(frontier), depth + 1
@@ -88,9 +91,9 @@ def descendants_in_order(m: Model, root: str) -> DataFrame:
     down = child_edges(m).select(F.col("parent").alias("k"), F.col("name").alias("next"))
     frontier = down.filter(F.col("k") == root).select(F.col("next").alias("name"), F.lit(1).alias("depth"), F.array("next").alias("path"))
     out, depth = frontier, 1
-    while depth < MAX_DEPTH:
+    while True:
         step = frontier.join(down, F.col("name") == F.col("k")).select(F.col("next").alias("name"), F.lit(depth + 1).alias("depth"), F.concat("path", F.array("next")).alias("path"))
-        frontier = step.join(out.select("name"), "name", "left_anti").persist()
+        frontier = level(step.join(out.select("name"), "name", "left_anti"))
         if frontier.isEmpty():
             break
         out, depth = out.unionByName(frontier), depth + 1
@@ -135,9 +138,9 @@ def tree_lines(m: Model, root: str, indent: str = "  ") -> DataFrame:
     down = child_edges(m).select(F.col("parent").alias("k"), F.col("name").alias("next"))
     frontier = down.filter(F.col("k") == root).select(F.col("next").alias("name"), F.lit(1).alias("depth"), F.array("next").alias("path"))
     out, depth = frontier, 1
-    while depth < MAX_DEPTH:
+    while True:
         step = frontier.join(down, F.col("name") == F.col("k")).filter(~F.array_contains("path", F.col("next")) & (F.col("next") != root))
-        frontier = step.select(F.col("next").alias("name"), F.lit(depth + 1).alias("depth"), F.concat("path", F.array("next")).alias("path")).persist()
+        frontier = level(step.select(F.col("next").alias("name"), F.lit(depth + 1).alias("depth"), F.concat("path", F.array("next")).alias("path")))
         if frontier.isEmpty():
             break
         out, depth = out.unionByName(frontier), depth + 1

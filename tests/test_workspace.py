@@ -71,6 +71,15 @@ def test_hierarchy(game):
     assert [r.line for r in inheritance.tree_lines(m, "com.game.Entity").collect()] == ["  com.game.Enemy", "  com.game.Player"]
 
 
+def test_deep_hierarchies_are_whole(spark):
+    b = BlockBuilder()
+    for i in range(103):
+        b.klass(f"C{i}", f"C{i + 1}")
+    m = Workspace.of_bytes(spark, ("x.swf", movie(b.build()))).model
+    m.classes = m.classes.cache()
+    assert inheritance.ancestors(m).filter("name = 'C0'").count() == 103
+
+
 def test_cycles_end(spark):
     b = BlockBuilder()
     b.klass("A", "B")
