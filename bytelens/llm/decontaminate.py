@@ -18,15 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import aside, prepare
-from .textops import ALNUM, column, folded, inside, part, slices, utf8, window_hashes, words
+from .textops import ALNUM, LOWER, column, inside, part, slices, utf8, window_hashes, words
 
 WINDOW = 13
 #: A document is contaminated if at least this share of its words is hit.
 SHARE = (1, 20)
 BLOCK_WORDS = 1_000_000
-VALUES = folded(9)
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
+SEED = 9
 
 
 def normal(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: int, k: int) -> bytes:
@@ -44,7 +42,7 @@ def test_windows(items: list[tuple[str | None, str]], window: int) -> dict[int,
     out: dict[int, dict[int, dict[bytes, set[str]]]] = {}
     for item, text in items:
         data, offsets = utf8(pa.array([text], pa.string()))
-        h, starts, ends, _ = words(data, offsets, ALNUM, VALUES)
+        h, starts, ends, _ = words(data, offsets, ALNUM, SEED)
         k = min(window, len(h))
         if k == 0:
             continue
@@ -59,7 +57,7 @@ def scanner(items: list[tuple[str | None, str]], window: int):
     sorted_hashes = {k: np.sort(np.fromiter(v, np.uint64, len(v))) for k, v in known.items()}
 
     def one(data, offsets):
-        h, starts, ends, bounds = words(data, offsets, ALNUM, VALUES)
+        h, starts, ends, bounds = words(data, offsets, ALNUM, SEED)
         found: dict[int, list[tuple[int, int, set[str | None]]]] = {}
         for k, have in sorted_hashes.items():
             win = window_hashes(h, k)

@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import bitmap, discard, prepare, seen, sweep, table
-from .textops import NOT_SPACE, column, folded, mix, part, shingles, slices, utf8
+from .textops import NOT_SPACE, column, mix, part, shingles, slices, utf8
 
-VALUES = folded(8)
+SEED = 8
 #: Groups of more entities are thinned by hubs, so many times at most, before all their pairs are met.
 CROWD, HUB_ROUNDS = 4096, 6
 FRAGMENTS = 4
@@ -40,7 +40,7 @@ ROWS = "token long, ent long, n long, doc_id long, tk long, sketch array<long>,
 
 
 def sets_of(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
-    return shingles(data, offsets, k, NOT_SPACE, VALUES)
+    return shingles(data, offsets, k, NOT_SPACE, SEED)
 
 
 def entity(s: np.ndarray) -> int:

@@ -25,13 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import prepare
-from .textops import NOT_SPACE, column, folded, part, slices, utf8, words
+from .textops import NOT_SPACE, column, part, slices, utf8, words
 
 SIDE, VOCAB, DIM, HIDDEN, HEAD = 2, 8192, 16, 32, 32
 FINE = HEAD * HEAD * 256
 BATCH, RATE = 256, 0.15
 BLOCK, CHUNK = 1024, 32768
-VALUES = folded(5)
+SEED = 5
 SHAPES = {"emb": (VOCAB + 1, DIM), "w1": (2 * SIDE * DIM, HIDDEN), "b1": (HIDDEN,), "top": (HIDDEN, HEAD), "low": (HEAD, HIDDEN, HEAD)}
 
 
@@ -67,7 +67,7 @@ def shaped(values: np.ndarray) -> dict[str, np.ndarray]:
 
 def tokens(data: np.ndarray, offsets: np.ndarray):
     """Input ids, output buckets (class * 256 + rest) and each row's first token."""
-    h, _, _, bounds = words(data, offsets, NOT_SPACE, VALUES)
+    h, _, _, bounds = words(data, offsets, NOT_SPACE, SEED)
     return (h & np.uint64(VOCAB - 1)).astype(np.int32), ((h >> np.uint64(20)) & np.uint64(FINE - 1)).astype(np.int32), bounds
 
 

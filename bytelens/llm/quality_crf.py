@@ -20,14 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import aside, prepare
-from .textops import NOT_SPACE, column, folded, part, slices, utf8, words
+from .textops import NOT_SPACE, column, part, slices, utf8, words
 
 TRAIN_DOCS = 6000
 TRAIN_LINES = 200
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 5, 0
 STEPS, RATE, DECAY = 300, 0.1, 1e-3
-VALUES = folded(2)
+SEED = 2
 BASIC = 16
 FEATURES = 3 * BASIC + 1
 
@@ -62,7 +62,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         total = np.concatenate([[0], np.cumsum(values[data], dtype=np.float64)])
         return ((total[ends] - total[starts]) / safe).astype(np.float32)
 
-    h, ws, we, _ = words(data, offsets, NOT_SPACE, VALUES)
+    h, ws, we, _ = words(data, offsets, NOT_SPACE, SEED)
     a, b = np.searchsorted(ws, starts), np.searchsorted(ws, ends)
     count = (b - a).astype(np.float32)
     some = np.maximum(count, 1)

@@ -9,7 +9,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 KEY = "spark.checkpoint.dir"
@@ -18,9 +18,11 @@ BATCH_ROWS = 1024
 
 
 def root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is configured."""
+    """The folder that driver and executors share; only a local session may do without one."""
     folder = spark.conf.get(KEY, None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError(f"{KEY} must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="bytelens-checkpoints-")
         atexit.register(shutil.rmtree, folder, True)
         spark.conf.set(KEY, folder)
@@ -62,6 +64,37 @@ def aside(docs: DataFrame, *keep: str):
     return docs.toDF(*names), back
 
 
+def flag_twins(rows: DataFrame, *by: str) -> DataFrame:
+    """`rows` with _twin: false for one of the rows that are equal in `by`, which hold no null, and true for the others.
+
+    Only rows that have twins are moved; a group is numbered within input partitions first, so that
+    no task gets a whole group, however large.
+    """
+    counts = table(rows.groupBy(*by).agg(F.count("*").alias("_n")).filter("_n > 1").select(*by))
+    if counts.isEmpty():
+        discard(counts)
+        return rows.withColumn("_twin", F.lit(False))
+    counts = few(counts)
+    own = rows.join(counts, list(by), "left_semi").withColumn("_pid", F.spark_partition_id())
+    number = F.row_number().over(Window.partitionBy(*by, "_pid").orderBy("_pid"))
+    own = own.withColumn("_first", number == 1).withColumn("_pid", F.when(F.col("_first"), -1).otherwise(F.col("_pid")))
+    number = F.row_number().over(Window.partitionBy(*by, "_pid").orderBy("_pid"))
+    own = own.withColumn("_twin", ~(F.col("_first") & (number == 1))).drop("_pid", "_first")
+    return rows.join(counts, list(by), "left_anti").withColumn("_twin", F.lit(False)).unionByName(own)
+
+
+def few(df: DataFrame, most: int = 32 << 20) -> DataFrame:
+    """A written table with a broadcast hint, if its files hold no more than `most` / 4 bytes."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._bytelens_path)
+    size = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    if size > most // 4:  # Parquet's bytes are several times as many in memory
+        return df
+    out = F.broadcast(df)
+    out._bytelens_path = df._bytelens_path
+    return out
+
+
 def sweep(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of finished steps."""
     gc.collect()

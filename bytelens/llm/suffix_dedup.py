@@ -26,12 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import bitmap, discard, prepare, seen, sweep, table
-from .textops import byte_values, column, mix, part, powers, prefix_sums, slices, utf8
+from .textops import column, mix, part, powers, prefix_sums, slices, span_sums, utf8
 
 LENGTH = 200
 GRAM = 100
 MOST = 512
-VALUES = byte_values(1)
 
 
 def anchors(sums: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -40,8 +39,7 @@ def anchors(sums: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
     grams, w = n - gram + 1, length - gram + 1
     if n < length:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = (sums[gram:] - sums[:-gram]) * powers(n)[1][:grams]
-    h = mix(h)
+    h = mix((sums[gram - 7 : n - 6] - sums[:grams]) * powers(n)[1][:grams])  # of 8 bytes from each position on
     bits = np.uint64(32)  # the order is by the upper half of the hash, then by position
     key = ((h >> bits) << bits) | np.arange(grams, dtype=np.uint64)
     padded = -(-grams // w) * w
@@ -69,15 +67,14 @@ def anchors(sums: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
 
 def located(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, length: int, gram: int):
     """The anchors of some texts: hash, hash of the surroundings, text key, position, surroundings' ends."""
-    sums = prefix_sums(data, VALUES)
+    sums = prefix_sums(data)
     at, h = anchors(sums, offsets, length, gram)
     row = np.searchsorted(offsets, at, side="right") - 1
     side = length - gram
     lo = np.maximum(at - side, offsets[row])
     hi = np.minimum(at + length, offsets[row + 1])
-    inverse = powers(len(sums))[1]
     shape = (at - lo).astype(np.uint64) * np.uint64(65537) + (hi - at).astype(np.uint64)
-    around = mix((sums[hi] - sums[lo]) * inverse[lo] + mix(shape))
+    around = mix(span_sums(sums, lo, hi) + mix(shape))
     return h.view(np.int64), around.view(np.int64), keys[row], at - offsets[row], lo, hi, row
 
 
@@ -220,10 +217,10 @@ def windows(length: int, gram: int):
         for batch in batches:
             for h, tk, pos, left, right in zip(*(column(batch, n).to_pylist() for n in ("h", "tk", "pos", "left", "right")), strict=True):
                 raw = np.frombuffer(left[::-1] + right, dtype=np.uint8)
-                sums = prefix_sums(raw, VALUES)
+                sums = prefix_sums(raw)
                 lefts = np.arange(max(0, length - gram - len(right)), min(len(left), length - gram) + 1)
                 lo, hi = len(left) - lefts, len(left) + (length - gram - lefts)
-                wh = mix((sums[hi] - sums[lo]) * powers(len(sums))[1][lo] + mix(np.uint64(h & 0xFFFFFFFFFFFFFFFF) + lefts.astype(np.uint64)))
+                wh = mix(span_sums(sums, lo, hi) + mix(np.uint64(h & 0xFFFFFFFFFFFFFFFF) + lefts.astype(np.uint64)))
                 yield pa.RecordBatch.from_arrays([pa.array(wh.view(np.int64)), pa.array(np.full(len(wh), tk)), pa.array((pos - lefts).astype(np.int32))], names=["wh", "tk", "at"])
 
     return run
@@ -264,8 +261,8 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     return spans
 
 
-def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """doc_id, n_bytes, the maximal removed spans (byte ranges) and the bytes that are left."""
+def cut(batch: pa.RecordBatch, key: str = "doc_id") -> pa.RecordBatch:
+    """The key, n_bytes, the maximal removed spans (byte ranges) and the bytes that are left."""
     data, offsets = utf8(column(batch, "text"))
     raw = data.tobytes()
     out_spans, kept, sizes = [], [], []
@@ -286,56 +283,92 @@ def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         kept.append(b"".join([*pieces, text[at:]]))
         sizes.append(len(text))
     return pa.RecordBatch.from_arrays(
-        [column(batch, "doc_id"), pa.array(sizes, pa.int64()), pa.array(out_spans, pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))), pa.array(kept, pa.binary())],
-        names=["doc_id", "n_bytes", "removed", "kept"],
+        [column(batch, key), pa.array(sizes, pa.int64()), pa.array(out_spans, pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))), pa.array(kept, pa.binary())],
+        names=[key, "n_bytes", "removed", "kept"],
     )
 
 
-def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
+def digest(batch: pa.RecordBatch, key: str = "doc_id") -> pa.RecordBatch:
     """The contract's columns from the operator's."""
-    batch = cut(batch)
+    batch = cut(batch, key)
     spans = column(batch, "removed").to_pylist()
     return pa.RecordBatch.from_arrays(
         [
-            column(batch, "doc_id"), column(batch, "n_bytes"), pa.array([sum(s["hi"] - s["lo"] for s in x) for x in spans], pa.int64()),
+            column(batch, key), column(batch, "n_bytes"), pa.array([sum(s["hi"] - s["lo"] for s in x) for x in spans], pa.int64()),
             pa.array([len(x) for x in spans], pa.int64()), pa.array([hashlib.sha256(x.as_py()).hexdigest() for x in column(batch, "kept")]),
         ],
-        names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+        names=[key, "n_bytes", "n_removed", "n_spans", "kept_sha256"],
     )
 
 
-def each(finish, words: np.ndarray | None = None, want: bool = True):
-    """`finish` on every batch; with a bitmap, on the rows whose text key may be (or isn't) in it."""
+def each(finish, words: np.ndarray):
+    """`finish` on the rows whose text key isn't in the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if words is not None:
-                batch = batch.filter(pa.array(seen(words, column(batch, "tk").to_numpy()) == want))
-            yield finish(batch)
+            yield finish(batch.filter(pa.array(~seen(words, column(batch, "tk").to_numpy()))))
 
     return run
 
 
-def itself(batch: pa.RecordBatch) -> pa.RecordBatch:
-    return batch
+def once(words: np.ndarray):
+    """One row (tk, text) per text and task of those that may be in the bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
+        for batch in batches:
+            keys = column(batch, "tk").to_numpy()
+            fresh = []
+            for i in np.flatnonzero(seen(words, keys)).tolist():
+                if (k := int(keys[i])) not in done:
+                    done.add(k)
+                    fresh.append(i)
+            if len(done) > 1_000_000:
+                done.clear()
+            yield batch.take(pa.array(fresh, pa.int32()))
+
+    return run
+
+
+def first_of_each(finish):
+    """`finish` on the first of neighbouring rows of one text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            keys = column(batch, "tk").to_numpy()
+            new = np.ones(len(keys), bool)
+            new[1:] = keys[1:] != keys[:-1]
+            if len(keys):
+                new[0] = keys[0] != last
+                last = keys[-1]
+            yield finish(batch.filter(pa.array(new)), "tk")
+
+    return run
 
 
 def finished(docs: DataFrame, finish, ddl: str, length: int, gram: int) -> DataFrame:
-    """`finish` on every document and its repeated ranges; only texts that may have some are moved."""
+    """`finish` on every document and its repeated ranges.
+
+    Texts that may have some are moved and cut once each, however many copies there are; the results
+    go back to the documents by the text's key.
+    """
     prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumn("tk", F.xxhash64("text"))
     spans = repeated_ranges(docs, length, gram)
     words = bitmap(spans, "tk")
-    moved = docs.mapInArrow(each(itself, words, True), docs.schema).join(spans, "tk", "left").select("doc_id", "text", "spans").mapInArrow(each(finish), ddl)
-    return moved.unionByName(docs.mapInArrow(each(finish, words, False), ddl))
+    moved = docs.select("tk", "text").mapInArrow(once(words), "tk long, text string").join(spans, "tk", "left")
+    done = table(moved.select("tk", "text", "spans").sortWithinPartitions("tk").mapInArrow(first_of_each(finish), f"tk long, {ddl}").dropDuplicates(["tk"]))
+    rest = docs.mapInArrow(each(finish, words), f"doc_id long, {ddl}")
+    return docs.select("doc_id", "tk").join(done, "tk").select(*rest.columns).unionByName(rest)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, removed (maximal byte ranges), kept (the remaining bytes)."""
-    return finished(docs, cut, "doc_id long, n_bytes long, removed array<struct<lo:int,hi:int>>, kept binary", length, gram)
+    return finished(docs, cut, "n_bytes long, removed array<struct<lo:int,hi:int>>, kept binary", length, gram)
 
 
 def report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    return finished(docs, digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", length, gram)
+    return finished(docs, digest, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", length, gram)

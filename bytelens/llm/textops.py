@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,13 @@ import pyarrow.compute as pc
 
 #: Bytes of text worked on at once; a longer document is a slice of its own.
 SLICE = 1 << 18
+#: Longer words are hashed one by one.
+LONG_WORD = 256
+#: A-Z to a-z, any other byte to itself.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+#: The first 0 to 8 bytes of an octet.
+MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
 
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 BASE = 0x9E3779B97F4A7C15
@@ -24,11 +32,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def byte_values(seed: int) -> np.ndarray:
-    """A random odd 64-bit value for each byte."""
-    return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE) + np.uint64(seed)) | np.uint64(1)
-
-
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and its inverse for i <= n, modulo 2**64."""
     have = max(_POWERS, default=0)
@@ -115,32 +118,62 @@ def word_counts(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> n
     return np.diff(np.searchsorted(starts, offsets))
 
 
-def folded(seed: int) -> np.ndarray:
-    """Byte values that are equal for A-Z and a-z."""
-    out = byte_values(seed)
-    out[65:91] = out[97:123]
-    return out
+def octets(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from every position on as one number; zeros follow the last byte."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
 
 
-def prefix_sums(data: np.ndarray, values: np.ndarray) -> np.ndarray:
+def prefix_sums(data: np.ndarray) -> np.ndarray:
+    """Sums over positions of a scrambled value of the 8 bytes from there on, times BASE**position.
+
+    A polynomial of bytes modulo 2**64 gives some different strings one hash, whatever its base; one
+    of scrambled octets has no such structure.
+    """
     n = len(data)
+    v = octets(data)[:n] * np.uint64(0xD6E8FEB86659FD93)
+    v ^= v >> np.uint64(32)
+    v *= np.uint64(0xA0761D6478BD642F)
+    v ^= v >> np.uint64(29)
+    v *= powers(n)[0][:n]
     out = np.empty(n + 1, dtype=np.uint64)
     out[0] = 0
-    np.cumsum(values[data] * powers(n)[0][:n], out=out[1:])
+    np.cumsum(v, out=out[1:])
     return out
 
 
-def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans: equal bytes, equal hash, wherever they stand."""
-    inverse = powers(len(sums))[1]
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+def span_sums(sums: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """What the bytes of spans of 8 bytes or more add up to, wherever they stand; not yet mixed."""
+    return (sums[hi - 7] - sums[lo]) * powers(len(sums))[1][lo]
 
 
-def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, values: np.ndarray):
-    """Hashes of all words, their starts and ends, and the index of each row's first word."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """64-bit hashes of words, 8 bytes a step; of words beyond `LONG_WORD` bytes by BLAKE2."""
+    size = (ends - starts).astype(np.uint64)
+    h = mix(size * np.uint64(BASE) + np.uint64(seed))
+    views = octets(data)
+    at, live = starts, None
+    while len(at):
+        rest = size if live is None else size[live] - done
+        piece = views[at] & MASKS[np.minimum(rest, np.uint64(8)).astype(np.int64)]
+        if live is None:
+            h = mix(h ^ piece)
+            live, done = np.flatnonzero((rest > 8) & (rest <= LONG_WORD)), np.uint64(0)
+        else:
+            h[live] = mix(h[live] ^ piece)
+            live = live[rest > 8]
+        done += np.uint64(8)
+        at = starts[live] + np.int64(done)
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little"))
+        h[i] = int.from_bytes(digest.digest(), "little")
+    return h
+
+
+def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, seed: int):
+    """Hashes of all words with A-Z as a-z, their starts and ends, and the index of each row's first word."""
     starts, ends = word_spans(data, offsets, is_word)
-    h = span_hashes(prefix_sums(data, values), starts, ends) if len(starts) else np.zeros(0, np.uint64)
-    return h, starts, ends, np.searchsorted(starts, offsets)
+    return word_hashes(LOWER[data], starts, ends, seed), starts, ends, np.searchsorted(starts, offsets)
 
 
 def window_hashes(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
@@ -167,9 +200,9 @@ def inside(bounds: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray, k: int, is_word: np.ndarray, values: np.ndarray) -> list[np.ndarray]:
+def shingles(data: np.ndarray, offsets: np.ndarray, k: int, is_word: np.ndarray, seed: int) -> list[np.ndarray]:
     """For each row its distinct shingles of k words, sorted; all words as one if there are fewer."""
-    h, _, _, bounds = words(data, offsets, is_word, values)
+    h, _, _, bounds = words(data, offsets, is_word, seed)
     win = window_hashes(h, k)
     out = []
     for i in range(len(offsets) - 1):
