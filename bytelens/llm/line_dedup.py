@@ -12,7 +12,9 @@ isn't paired with its like again.  The join runs in ranges of the token space, s
 files never lie on disk together.
 
 Lines without a token never match and stay; null texts stay null; null doc_ids rank last; rows of
-equal doc_id are one document with equal ranks; an empty table gives an empty result.
+equal doc_id and different texts are documents of their own, ranked by the hash of the text; of rows
+that are equal in both, one is first and the others lose all their lines with tokens; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,94 +24,116 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import aside, discard, sweep, table
+from .scratch import aside, discard, few, flag_twins, sweep, table
 
 THRESHOLD = (80, 100)
 #: The rarity sketch has 2**BUCKET_BITS buckets; its size is fixed, and any order of tokens gives the same result.
 BUCKET_BITS = 17
 RANGES = 8
 #: The ranges of each join; what the first joins decide isn't paired with its like in the later ones.
-JOINS = (((0,),), ((1, 2), (3, 4), (5, 6, 7)))
+JOINS = (((0,),), ((1, 2, 3), (4, 5, 6, 7)))
 #: Pairs of neighbouring rarest tokens under which near copies meet before the join, and at which
 #: places before itself each one meets there besides the earliest.
-KEYS, BEFORE = 5, (1, 2, 4, 16, 64)
-#: A side is broadcast up to so many rows of ids and numbers, and shuffled beyond.
-SMALL_ROWS = 400_000
+KEYS, BEFORE = 3, (1, 2, 4, 16, 64)
+#: Sets of more tokens have a signature of 128 bits, others one of 64.
+WIDE = 64
 LAST = (1 << 63) - 1
 
 
-def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """A broadcast hint for a written table, if it is small."""
-    return F.broadcast(df) if df.count() <= (SMALL_ROWS if rows is None else rows) else df
-
-
 def pieces(line: Column) -> Column:
     return F.array_remove(F.split(line, " "), "")
 
 
 def rarity(docs: DataFrame) -> str:
-    """The logarithm of the number of tokens in each bucket of token hashes, as text."""
-    lines = docs.select(F.explode(F.split("text", "\n")).alias("line"))
-    tokens = lines.select(F.explode(F.split("line", " ")).alias("t"))
+    """The logarithm of the number of tokens in each bucket of token hashes, as the upper 8 bits of numbers, as text."""
+    tokens = docs.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("t"))
     counts = tokens.groupBy(F.shiftrightunsigned(F.xxhash64("t"), 64 - BUCKET_BITS).alias("b")).agg(F.count("*").alias("n"))
     out = [0] * (1 << BUCKET_BITS)
     for b, n in counts.collect():  # one row a bucket at most
-        out[b] = int(math.log2(n) * 2)
+        out[b] = int(math.log2(n) * 2) << 56
     return ",".join(map(str, out))
 
 
 def ordered_tokens(line: Column, levels: str) -> Column:
     """The distinct token ids of a line, rarest first: 56 bits of hash under 8 bits of frequency."""
-    table_of = F.split(F.lit(levels), ",").cast("array<int>")  # folded to a constant by the optimizer
-    hashes = F.array_distinct(F.transform(pieces(line), lambda t: F.xxhash64(t)))
+    table_of = F.split(F.lit(levels), ",").cast("array<bigint>")  # folded to a constant by the optimizer
 
     def key(h: Column) -> Column:
         level = F.get(table_of, F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("int"))
-        return F.shiftleft(level.cast("bigint"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+        return F.coalesce(level, F.lit(0).cast("bigint")) + F.shiftrightunsigned(h, 8)  # without nulls, numbers are sorted as such
 
-    return F.sort_array(F.transform(hashes, key))
+    return F.sort_array(F.transform(F.array_distinct(F.transform(pieces(line), lambda t: F.xxhash64(t))), key))
 
 
-def parity(tokens: Column, word: int) -> Column:
-    """One of the two words of a signature of 128 bits: every token flips one bit of it."""
+def parity(tokens: Column) -> tuple[Column, Column]:
+    """A signature: every token flips one bit.  Of sets of up to `WIDE` tokens, the second word is null and the first one both XORed."""
     none, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    flip = lambda acc, t: acc.bitwiseXOR(F.call_function("shiftleft", one, t.bitwiseAND(F.lit(63)).cast("int")))
+    both = F.aggregate(tokens, none, flip)
+    upper = F.aggregate(F.filter(tokens, lambda t: t.bitwiseAND(F.lit(64)) != 0), none, flip)
+    wide = F.size(tokens) > WIDE
+    return F.when(wide, both.bitwiseXOR(upper)).otherwise(both), F.when(wide, upper)
 
-    def flip(acc: Column, t: Column) -> Column:
-        bit = F.call_function("shiftleft", one, t.bitwiseAND(F.lit(63)).cast("int"))
-        return F.when(F.shiftright(t, 6).bitwiseAND(F.lit(1)) == word, acc.bitwiseXOR(bit)).otherwise(acc)
 
-    return F.aggregate(tokens, none, flip)
+def differing(x: str, y: str) -> Column:
+    """The differing bits of two signatures; where one is of 64 bits, of both folded to that."""
+    x1, x2, y1, y2 = (F.col(f"{side}.{s}") for side in (x, y) for s in ("s1", "s2"))
+    none = F.lit(0).cast("bigint")
+    narrow = F.bit_count(x1.bitwiseXOR(y1).bitwiseXOR(F.coalesce(x2, none)).bitwiseXOR(F.coalesce(y2, none)))
+    return F.coalesce(F.bit_count(x1.bitwiseXOR(y1)) + F.bit_count(x2.bitwiseXOR(y2)), narrow)
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """rank, line_no, line of every line."""
-    return docs.select("rank", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    """rank, part, line_no, line of every line."""
+    return docs.select("rank", "part", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
 def prefix_size(n: Column, num: int, den: int) -> Column:
     return (n - F.ceil(n * num / den) + 1).cast("int")
 
 
+PLACE = ("rank", "part", "line_no")
+
+
+def ranked(docs: DataFrame) -> DataFrame:
+    """`docs` with _rank and _part, the rank of a document, and _twin.
+
+    _rank is the doc_id; _part is the hash of the text where different texts share that, or else 0;
+    _twin is true for all but one of the rows that are equal in both.
+    """
+    text = F.col("text").cast("string")
+    rows = docs.withColumns({"_rank": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_part": F.coalesce(F.xxhash64(text), F.lit(0))})
+    again = rows.groupBy("_rank").agg(F.count("*").alias("n"), F.min("_part").alias("lo"), F.max("_part").alias("hi")).filter("n > 1")
+    again = table(again.select("_rank", (F.col("lo") != F.col("hi")).alias("_shared")))
+    if again.isEmpty():
+        return rows.withColumns({"_part": F.lit(0).cast("long"), "_twin": F.lit(False)})
+    rows = rows.join(few(again), "_rank", "left").withColumn("_shared", F.coalesce("_shared", F.lit(False)))
+    rows = rows.withColumn("_part", F.when(F.col("_shared"), F.col("_part")).otherwise(F.lit(0))).drop("_shared")
+    return flag_twins(rows, "_rank", "_part")
+
+
 class Dedup:
     def __init__(self, docs: DataFrame, threshold: tuple[int, int] = THRESHOLD):
+        """`docs` as `ranked` gives them."""
         self.num, self.den = threshold
         self.spark = docs.sparkSession
-        self.docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("rank"), F.col("text").cast("string").alias("text"))
+        self.docs = docs.filter(~F.col("_twin")).select(F.col("_rank").alias("rank"), F.col("_part").alias("part"), F.col("text").cast("string").alias("text"))
 
     def entities(self) -> None:
-        """`lines` (rank, line_no, ent) and `ents`: the first rank, size, prefix and signature of each set."""
+        """`lines` (place, ent) and `ents`: the first place, size, prefix and signature of each set."""
         self.levels = rarity(self.docs)
         # computed columns are not filtered before they are written: a filter would compute them twice
-        rows = lines_of(self.docs).select("rank", "line_no", ordered_tokens(F.col("line"), self.levels).alias("ts"))
+        rows = lines_of(self.docs).select(*PLACE, ordered_tokens(F.col("line"), self.levels).alias("ts"))
+        s1, s2 = parity(F.col("ts"))
         rows = rows.select(
-            "rank", "line_no", F.xxhash64("ts").alias("ent"), F.size("ts").alias("n"), F.slice("ts", F.lit(1), prefix_size(F.size("ts"), self.num, self.den)).alias("pre"),
-            parity(F.col("ts"), 0).alias("s1"), parity(F.col("ts"), 1).alias("s2"),
+            *PLACE, F.xxhash64("ts").alias("ent"), F.size("ts").alias("n"), F.slice("ts", F.lit(1), prefix_size(F.size("ts"), self.num, self.den)).alias("pre"),
+            s1.alias("s1"), s2.alias("s2"),
         )
         rows = table(rows)
         full = rows.filter("n > 0")
-        self.lines = table(full.select("rank", "line_no", "ent"))
+        self.lines = table(full.select(*PLACE, "ent"))
         firsts = [F.first(c).alias(c) for c in ("n", "pre", "s1", "s2")]
-        self.ents = table(full.groupBy("ent").agg(F.min(F.struct("rank", "line_no")).alias("at"), *firsts))
+        self.ents = table(full.groupBy("ent").agg(F.min(F.struct(*PLACE)).alias("at"), *firsts))
         discard(rows)
         sweep(self.spark)
 
@@ -119,7 +143,7 @@ class Dedup:
         return length & (bits * (self.num + self.den) <= (xn + yn) * (self.den - self.num))
 
     def early(self) -> DataFrame:
-        """Pairs (a, b) of each entity and an earlier one with some equal rarest tokens.
+        """Pairs of each entity and an earlier one with some equal rarest tokens.
 
         Under each of a few keys an entity meets the earliest entity of the key and the one before
         itself, so that members of large groups of near copies are decided by few tests.
@@ -130,34 +154,37 @@ class Dedup:
         order = Window.partitionBy("k").orderBy("at")
         earliest = F.first("x").over(order.rowsBetween(Window.unboundedPreceding, 0))
         met = keyed.select("x", F.array(earliest, *(F.lag("x", d).over(order) for d in BEFORE)).alias("ys"))
-        met = met.select("x", F.explode("ys").alias("y")).filter("y.at < x.at")
-        bits = F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1"))) + F.bit_count(F.col("x.s2").bitwiseXOR(F.col("y.s2")))
-        return table(met.filter(self.near(F.col("x.n"), F.col("y.n"), bits)).select(F.col("x.ent").alias("a"), F.col("y.ent").alias("b")).distinct())
+        met = met.select("x", F.explode("ys").alias("y")).filter((F.col("y.at") < F.col("x.at")) & self.near(F.col("x.n"), F.col("y.n"), differing("x", "y")))
+        return table(met.select(F.col("x.ent").alias("a"), F.col("x.at").alias("at_a"), F.col("y.ent").alias("b"), F.col("y.at").alias("at_b")).distinct())
 
     def met(self, ranges: tuple[int, ...], shadowed: DataFrame) -> DataFrame:
-        """The pairs (a, b) of entities that pass all filters under tokens of some ranges.
+        """The pairs of entities, the later one first, that pass all filters under tokens of some ranges.
 
         A pair only matters if the later of the two isn't shadowed yet.
         """
         num, den = self.num, self.den
-        ents = self.ents.join(small(shadowed).withColumn("out", F.lit(True)), "ent", "left")  # moves the ids, not the prefixes
+        ents = self.ents.join(few(shadowed).withColumn("out", F.lit(True)), "ent", "left")  # moves the ids, not the prefixes
         # size and line number share a column, and so do position and whether the entity is open
         size = F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.col("at.line_no").cast("bigint")).alias("size")
-        flat = ents.select("ent", size, F.col("out").isNull().cast("int").alias("open"), F.col("at.rank").alias("rank"), "s1", "s2", F.posexplode("pre").alias("pos", "tok"))
+        flat = ents.select("ent", size, F.col("out").isNull().cast("int").alias("open"), "at.rank", "at.part", "s1", "s2", F.posexplode("pre").alias("pos", "tok"))
         flat = flat.filter(F.col("tok").bitwiseAND(F.lit(RANGES - 1)).isin(*ranges))
-        flat = flat.select("tok", "ent", "size", "rank", "s1", "s2", (F.col("pos") * 2 + F.col("open")).alias("pos"))
+        flat = flat.select("tok", "ent", "size", "rank", "part", "s1", "s2", (F.col("pos") * 2 + F.col("open")).alias("pos"))
         n = lambda side: F.shiftright(f"{side}.size", 32)
         pos = lambda side: F.shiftright(f"{side}.pos", 1)
-        line = lambda side: F.col(f"{side}.size").bitwiseAND(F.lit((1 << 32) - 1))
+        at = lambda side: F.struct(F.col(f"{side}.rank").alias("rank"), F.col(f"{side}.part").alias("part"), F.col(f"{side}.size").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("line_no"))
         own = F.shiftright("size", 32)
         x, y = flat.alias("x"), flat.filter(F.shiftright("pos", 1) < own - F.ceil(own * (2 * num) / (num + den)) + 1).alias("y")
         smaller = (n("y") < n("x")) | ((n("y") == n("x")) & (F.col("y.ent") < F.col("x.ent")))
         place = F.least(n("x") - pos("x"), n("y") - pos("y")) * (num + den) >= (n("x") + n("y")) * num
-        bits = F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1"))) + F.bit_count(F.col("x.s2").bitwiseXOR(F.col("y.s2")))
-        x_later = (F.col("x.rank") > F.col("y.rank")) | ((F.col("x.rank") == F.col("y.rank")) & (line("x") > line("y")))
+        less = lambda a, b: F.col(a) < F.col(b)
+        same = lambda a, b: F.col(a) == F.col(b)
+        line = lambda side: F.col(f"{side}.size").bitwiseAND(F.lit((1 << 32) - 1))
+        x_later = less("y.rank", "x.rank") | (same("x.rank", "y.rank") & (less("y.part", "x.part") | (same("x.part", "y.part") & (line("x") > line("y")))))
         matters = F.when(x_later, F.col("x.pos").bitwiseAND(F.lit(1)) == 1).otherwise(F.col("y.pos").bitwiseAND(F.lit(1)) == 1)
-        pairs = x.join(y, (F.col("x.tok") == F.col("y.tok")) & smaller & matters & place & self.near(n("x"), n("y"), bits))
-        return table(pairs.select(F.col("x.ent").alias("a"), F.col("y.ent").alias("b")).distinct())
+        pairs = x.join(y, (F.col("x.tok") == F.col("y.tok")) & smaller & matters & place & self.near(n("x"), n("y"), differing("x", "y")))
+        side = lambda of: F.struct(F.col(f"{of}.ent").alias("ent"), at(of).alias("at"))
+        pairs = pairs.select(F.when(x_later, side("x")).otherwise(side("y")).alias("a"), F.when(x_later, side("y")).otherwise(side("x")).alias("b"))
+        return table(pairs.select(F.col("a.ent").alias("a"), F.col("a.at").alias("at_a"), F.col("b.ent").alias("b"), F.col("b.at").alias("at_b")).distinct())
 
     def candidates(self, joins: tuple[tuple[int, ...], ...], shadowed: DataFrame) -> DataFrame:
         """The candidate pairs of some joins; the shuffle files of one are dropped before the next."""
@@ -175,19 +202,17 @@ class Dedup:
     def later(self, pairs: DataFrame) -> DataFrame:
         """ent: the later entity of every pair that reaches the threshold."""
         links = self.verified(pairs)
-        at = self.ents.select("ent", "at")
-        sides = links.join(at.select(F.col("ent").alias("a"), F.col("at").alias("at_a")), "a").join(at.select(F.col("ent").alias("b"), F.col("at").alias("at_b")), "b")
-        out = table(sides.filter("at_a != at_b").select(F.when(F.col("at_a") > F.col("at_b"), F.col("a")).otherwise(F.col("b")).alias("ent")).distinct())
+        out = table(links.select(F.col("a").alias("ent")).distinct())
         discard(pairs, links)
         sweep(self.spark)
         return out
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose whole sets reach the threshold."""
-        ids = pairs.select(F.col("a").alias("ent")).unionByName(pairs.select(F.col("b").alias("ent"))).distinct()
-        homes = table(self.ents.select("ent", "at").join(ids, "ent").select("ent", "at.*"))
-        docs = self.docs.join(small(homes.select("rank").distinct()), "rank", "left_semi")
-        rows = lines_of(docs).join(small(homes), ["rank", "line_no"])
+        ends = pairs.select(F.col("a").alias("ent"), "at_a.*").unionByName(pairs.select(F.col("b").alias("ent"), "at_b.*"))
+        homes = table(ends.distinct())
+        docs = self.docs.join(few(table(homes.select("rank", "part").distinct())), ["rank", "part"], "left_semi")
+        rows = lines_of(docs).join(few(homes), list(PLACE))
         sets = rows.select("ent", F.array_distinct(F.transform(pieces(F.col("line")), lambda t: F.xxhash64(t))).alias("ts"))
         sets = table(sets.groupBy("ent").agg(F.first("ts").alias("ts")))
         both = pairs.join(sets.select(F.col("ent").alias("a"), F.col("ts").alias("ta")), "a").join(sets.select(F.col("ent").alias("b"), F.col("ts").alias("tb")), "b")
@@ -198,7 +223,7 @@ class Dedup:
         return out
 
     def removed(self) -> DataFrame:
-        """rank and gone: for each document the bits, by 64, of the line numbers that go."""
+        """rank, part and gone: for each document the bits, by 64, of the line numbers that go."""
         self.entities()
         shadowed = self.later(self.early())
         for joins in JOINS:
@@ -206,10 +231,10 @@ class Dedup:
             both = table(shadowed.unionByName(more).distinct())
             discard(shadowed, more)
             shadowed = both
-        out = self.ents.select("ent", "at").join(small(shadowed).withColumn("out", F.lit(True)), "ent", "left")
-        gone = self.lines.join(out, "ent").filter(F.col("out").isNotNull() | (F.struct("rank", "line_no") > F.col("at")))
-        words = gone.groupBy("rank", F.shiftright("line_no", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, line_no & 63)")).alias("m"))
-        found = table(words.groupBy("rank").agg(F.map_from_entries(F.collect_list(F.struct("w", "m"))).alias("gone")))
+        out = self.ents.select("ent", "at").join(few(shadowed).withColumn("out", F.lit(True)), "ent", "left")
+        gone = self.lines.join(out, "ent").filter(F.col("out").isNotNull() | (F.struct(*PLACE) > F.col("at")))
+        words = gone.groupBy("rank", "part", F.shiftright("line_no", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, line_no & 63)")).alias("m"))
+        found = table(words.groupBy("rank", "part").agg(F.map_from_entries(F.collect_list(F.struct("w", "m"))).alias("gone")))
         discard(shadowed, self.ents, self.lines)
         sweep(self.spark)
         return found
@@ -217,18 +242,20 @@ class Dedup:
 
 def with_removed(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """`docs` with _kept (the remaining lines, null for a null text) and _gone (their number of removed lines)."""
-    found = Dedup(docs, threshold).removed()
-    rank = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    found = found.select(F.col("rank").alias("_rank"), F.col("gone").alias("_map"))
-    rows = docs.withColumn("_rank", rank).join(small(found), "_rank", "left")
-    lines = F.split(F.col("text").cast("string"), "\n")
+    rows = ranked(docs)
+    found = few(Dedup(rows, threshold).removed())
+    found = found.select(F.col("rank").alias("_rank"), F.col("part").alias("_part"), F.col("gone").alias("_map"))
+    text = F.col("text").cast("string")
+    rows = rows.join(found, ["_rank", "_part"], "left")
+    lines = F.split(text, "\n")
 
     def stays(_, i: Column) -> Column:
         word = F.coalesce(F.element_at("_map", F.shiftright(i, 6)), F.lit(0).cast("long"))
         return F.call_function("shiftright", word, i.bitwiseAND(F.lit(63))).bitwiseAND(F.lit(1)) == 0
 
-    kept = F.when(F.col("_map").isNull(), lines).otherwise(F.filter(lines, stays))
-    return rows.withColumn("_kept", kept).withColumn("_gone", F.size(lines) - F.size("_kept")).drop("_rank", "_map")
+    blank = F.filter(lines, lambda x: F.trim(x) == "")
+    kept = F.when(F.col("_twin"), blank).when(F.col("_map").isNull(), lines).otherwise(F.filter(lines, stays))
+    return rows.withColumn("_kept", kept).withColumn("_gone", F.size(lines) - F.size("_kept")).drop("_rank", "_part", "_map", "_twin")
 
 
 def report(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:

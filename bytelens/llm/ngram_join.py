@@ -7,9 +7,12 @@ documents meet under equal fragments, which unrelated documents hardly ever shar
 fragments depends on the size level of a document; near the border of two levels it has both.
 
 Equal sets are one entity, so copies never meet in pairs.  Members of a fragment group are first
-tested against one hub of the group, then, among entities that are still in different components,
-against all, so that no link that joins two components is lost although links within a component
-are not all listed.  A pair is tested by partial overlaps, counted fragment by fragment and summed.
+tested against one hub of the group.  Then every entity names the members of its groups that are in
+other components and whose sketches are close enough, the closest `CLOSEST` first; if any had more,
+that is repeated with more on what is still apart, until all are tested.  So no link that joins two
+components is lost, although links within a component are not all listed.  Groups are compared in
+blocks of bounded size, in place: what leaves a task are only pairs that the sketches let pass.  A
+pair is tested by partial overlaps, counted fragment by fragment and summed.
 
 Null texts and texts without words have no shingle and link with nothing; ties and repeated rows
 are equal sets; repeated or null doc_ids return one row per input row; an empty table gives none.
@@ -17,26 +20,29 @@ are equal sets; repeated or null doc_ids return one row per input row; an empty
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import bitmap, discard, prepare, seen, sweep, table
+from .scratch import aside, bitmap, discard, few, flag_twins, prepare, seen, sweep, table
 from .textops import NOT_SPACE, column, mix, part, shingles, slices, utf8
 
 SEED = 8
-#: Groups of more entities are thinned by hubs, so many times at most, before all their pairs are met.
-CROWD, HUB_ROUNDS = 4096, 6
+#: Partners that an entity names at once, and how many times more in the next round.
+CLOSEST, MORE = 4, 8
+#: A block of a group has at most so many entities and 64-bit words of sketches.
+BLOCK, BLOCK_WORDS = 4096, 1 << 20
+#: Pairs compared at once.
+CELLS = 1 << 20
 FRAGMENTS = 4
 #: Ranges of fragment keys that are grouped one after the other.
 RANGES = 4
-#: 64-bit words of the fixed-size sketch that travels with group rows.
-MARK = 8
-ROWS = "token long, ent long, n long, doc_id long, tk long, sketch array<long>, mark array<long>"
+ROWS = "token long, ent long, n long, doc_id long, tk long, sketch array<long>"
 
 
 def sets_of(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
@@ -61,14 +67,138 @@ def packed(bits: np.ndarray) -> np.ndarray:
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
-    """Bit i is the parity of the number of shingles that hash to i; then the same with half the bits.
+    """Bit i is the parity of the number of shingles that hash to i.
 
     Sets that differ in d shingles differ in d bits at most.  There are about as many bits as
-    shingles, a power of two, so that of two sets that may be similar one half or whole fits the other.
+    shingles, a power of two; the halves of a sketch, XORed, are the sketch with half the bits.
     """
-    size = max(256, 1 << int(len(s) - 1).bit_length())
-    odd = parities(s, size)
-    return packed(np.concatenate([odd, odd[: size // 2] ^ odd[size // 2 :]]))
+    return packed(parities(s, max(256, 1 << int(len(s) - 1).bit_length())))
+
+
+def folded(sketches: np.ndarray, width: int) -> np.ndarray:
+    """Sketches, one a row, with fewer words."""
+    while sketches.shape[1] > width:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
+def differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The number of differing bits of each row of x and each of y."""
+    out = np.zeros((len(x), len(y)), np.int32)
+    for k in range(x.shape[1]):
+        out += np.bitwise_count(x[:, k, None] ^ y[None, :, k])
+    return out
+
+
+def near(n: np.ndarray, comp: np.ndarray, block: np.ndarray, sketches: list[np.ndarray], num: int, den: int):
+    """Index pairs and differing bits of the members of two blocks (or one) that may be similar and are in different components."""
+    widths = np.array([len(x) for x in sketches])
+    sides = []
+    for w in np.unique(widths):
+        own = np.flatnonzero(widths == w)
+        own = own[np.argsort(n[own], kind="stable")]
+        sides.append((own, n[own], np.stack([sketches[i] for i in own])))
+    two = block.min() != block.max()
+    for p, (xs, xn, x) in enumerate(sides):
+        for q in range(p, len(sides)):
+            ys, yn, y = sides[q]
+            y = folded(y, x.shape[1])
+            step = max(1, CELLS // len(ys))
+            for a in range(0, len(xs), step):
+                i, ni = xs[a : a + step], xn[a : a + step]
+                lo, hi = np.searchsorted(yn, -(-ni[0] * num // den)), np.searchsorted(yn, ni[-1] * den // num, side="right")
+                if p == q:
+                    lo = max(lo, a)
+                if lo >= hi:
+                    continue
+                j, nj = ys[lo:hi], yn[lo:hi]
+                ok = comp[i][:, None] != comp[j][None, :]
+                if two:
+                    ok &= block[i][:, None] != block[j][None, :]
+                if not ok.any():
+                    continue
+                ok &= np.minimum(ni[:, None], nj) * den >= np.maximum(ni[:, None], nj) * num
+                if p == q:
+                    ok &= np.arange(a, a + len(i))[:, None] < np.arange(lo, hi)
+                bits = differing(x[a : a + step], y[lo:hi])
+                r, c = np.nonzero(ok & (bits.astype(np.int64) * (num + den) <= (ni[:, None] + nj) * (den - num)))
+                if len(r):
+                    yield i[r], j[c], bits[r, c]
+
+
+def closest(ents: np.ndarray, comp: np.ndarray, found, most: int):
+    """Of the found pairs, those that are among the `most` closest of the end that names them, and whether that end has more.
+
+    The end whose component has fewer members here names the pair, so that a large component
+    doesn't name a few strangers again and again.
+    """
+    _, inverse, size = np.unique(comp, return_inverse=True, return_counts=True)
+    size = size[inverse]
+    held = []
+
+    def cut(parts):
+        who, other, bits = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((ents[other], bits, who))
+        who, other, bits = who[order], other[order], bits[order]
+        first = np.concatenate([[True], who[1:] != who[:-1]])
+        rank = np.arange(len(who)) - np.flatnonzero(first)[np.cumsum(first) - 1]
+        keep = rank <= most  # one more than asked for tells that there are more
+        return who[keep], other[keep], bits[keep], rank[keep]
+
+    for i, j, bits in found:
+        flip = (size[j] < size[i]) | ((size[j] == size[i]) & (ents[j] < ents[i]))
+        held.append((np.where(flip, j, i), np.where(flip, i, j), bits))
+        if sum(len(x[0]) for x in held) > 4 * CELLS:
+            held = [cut(held)[:3]]
+    if not held:
+        return None
+    who, other, bits, rank = cut(held)
+    more = np.isin(who, who[rank == most])
+    return who[rank < most], other[rank < most], bits[rank < most], more[rank < most]
+
+
+def partners(num: int, den: int, most: int):
+    """Sorted rows of blocks (token, i, j, own, ent, n, comp, sketch) -> named pairs (a, an, b, bn, bits, more)."""
+    names = ["token", "i", "j", "own", "ent", "n", "comp"]
+
+    def group(rows):
+        n, comp, block, ents = (np.concatenate([r[k] for r in rows]) for k in (5, 6, 3, 4))
+        if len(n) < 2 or comp.min() == comp.max():
+            return None
+        got = closest(ents, comp, near(n, comp, block, [x for r in rows for x in r[7]], num, den), most)
+        if got is None:
+            return None
+        who, other, bits, more = got
+        return ents[who], n[who], ents[other], n[other], bits, more
+
+    def batch_of(parts):
+        kinds = [pa.int64()] * 4 + [pa.int32(), pa.bool_()]
+        columns = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [[]] * 6
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["a", "an", "b", "bn", "bits", "more"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+        for batch in batches:
+            cols = [column(batch, c).to_numpy() for c in names]
+            sk = column(batch, "sketch")
+            at, words = sk.offsets.to_numpy(), sk.values.to_numpy().view(np.uint64)
+            sketches = [words[x:y] for x, y in zip(at, at[1:])]
+            keys = np.stack(cols[:3])
+            new = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)])) if batch.num_rows else []
+            out = []
+            for a, b in zip(new, [*new[1:], batch.num_rows]):
+                key = tuple(keys[:, a].tolist())
+                if key != now:
+                    if held and (got := group(held)):
+                        out.append(got)
+                    held, now = [], key
+                held.append([*(c[a:b] for c in cols), sketches[a:b]])
+            yield batch_of(out)
+        out = [got] if held and (got := group(held)) else []
+        yield batch_of(out)
+
+    return run
 
 
 def levels(n: int, num: int, den: int) -> list[tuple[int, int, int]]:
@@ -113,7 +243,7 @@ def keyed(k: int, num: int, den: int):
             ids, keys = column(batch, "doc_id").cast(pa.int64()), column(batch, "tk")
             data, offsets = utf8(column(batch, "text"))
             sizes, entities = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            tokens, ents, ns, sketches, marks = [], [], [], [None] * batch.num_rows, [None] * batch.num_rows
+            tokens, ents, ns, sketches = [], [], [], [None] * batch.num_rows
             if len(done) > 1_000_000:
                 done.clear()
             for i, j in slices(offsets):
@@ -129,7 +259,6 @@ def keyed(k: int, num: int, den: int):
                     ents.append(np.full(len(tokens[-1]), e))
                     ns.append(np.full(len(tokens[-1]), n))
                     sketches[row] = sketch(s)
-                    marks[row] = packed(parities(s, 64 * MARK))
             m = sum(map(len, tokens))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -138,9 +267,9 @@ def keyed(k: int, num: int, den: int):
                     pa.array(np.concatenate([sizes, *ns]).astype(np.int64)),
                     pa.concat_arrays([ids, pa.nulls(m, pa.int64())]),
                     pa.concat_arrays([keys, pa.nulls(m, pa.int64())]),
-                    *(pa.concat_arrays([pa.array(x, pa.list_(pa.int64())), pa.nulls(m, pa.list_(pa.int64()))]) for x in (sketches, marks)),
+                    pa.concat_arrays([pa.array(sketches, pa.list_(pa.int64())), pa.nulls(m, pa.list_(pa.int64()))]),
                 ],
-                names=["token", "ent", "n", "doc_id", "tk", "sketch", "mark"],
+                names=["token", "ent", "n", "doc_id", "tk", "sketch"],
             )
 
     return run
@@ -153,6 +282,8 @@ def segments(k: int, fragments: int, words: np.ndarray):
         cuts = (np.arange(1, fragments, dtype=np.float64) / fragments * 2.0**64).astype(np.uint64)
         done: set[int] = set()
         for batch in batches:
+            if len(done) > 1_000_000:
+                done.clear()
             batch = batch.filter(pa.array(seen(words, column(batch, "tk").to_numpy())))
             data, offsets = utf8(column(batch, "text"))
             ents, frags, sets = [], [], []
@@ -201,8 +332,8 @@ class Join:
             self.groups = self.groups.unionByName(part_)
         self.written = parts
         live = self.groups.select("ent").distinct()
-        found = rows.filter("sketch is not null").select("ent", "tk", "sketch", "mark").join(live, "ent")
-        self.sketches = table(found.groupBy("ent").agg(*(F.first(c).alias(c) for c in ("tk", "sketch", "mark"))))
+        found = rows.filter("sketch is not null").select("ent", "tk", "sketch").join(live, "ent")
+        self.sketches = table(found.groupBy("ent").agg(*(F.first(c).alias(c) for c in ("tk", "sketch"))))
         discard(rows)
         sweep(self.spark)
 
@@ -215,12 +346,16 @@ class Join:
         sa = self.sketches.select(F.col("ent").alias("a"), F.col("sketch").alias("sa"))
         sb = self.sketches.select(F.col("ent").alias("b"), F.col("sketch").alias("sb"))
         both = pairs.join(sa, "a").join(sb, "b")
-        # of a sketch of 3 k words, k are the half; where the sizes differ, the half of one meets the whole of the other
-        whole = lambda s: F.slice(s, F.lit(1), (F.size(s) / 3 * 2).cast("int"))
-        half = lambda s: F.slice(s, (F.size(s) / 3 * 2 + 1).cast("int"), (F.size(s) / 3).cast("int"))
+        # where the sketches' sizes differ, the larger one is folded; sets that may be similar are at most a factor of den / num apart
         ha, hb = F.size("sa"), F.size("sb")
-        left = F.when(ha > hb, half(F.col("sa"))).otherwise(whole(F.col("sa")))
-        right = F.when(hb > ha, half(F.col("sb"))).otherwise(whole(F.col("sb")))
+
+        def fold(x: Column, w: Column) -> Column:
+            for _ in range(max(1, math.ceil(math.log2(self.den / self.num)))):
+                half = (F.size(x) / 2).cast("int")
+                x = F.when(F.size(x) > w, F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))).otherwise(x)
+            return x
+
+        left, right = fold(F.col("sa"), hb), fold(F.col("sb"), ha)
         bits = F.aggregate(F.zip_with(left, right, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
         close = bits * (self.num + self.den) <= (F.col("an") + F.col("bn")) * (self.den - self.num)
         return both.filter(close).select(*pairs.columns)
@@ -251,16 +386,12 @@ class Join:
         mixed = g.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("token")
         return g.join(mixed, "token")
 
-    def hub_pairs(self, groups: DataFrame, seed: int) -> DataFrame:
-        """Each entity with the hub of most of its groups, where that is in another component.
+    def hub_pairs(self, groups: DataFrame) -> DataFrame:
+        """Each entity with the hub of most of its groups.
 
-        The hub of a group is its member of most groups, which is the least changed of near copies;
-        in later rounds it is any.
+        The hub of a group is its member of most groups, which is the least changed of near copies.
         """
-        if seed:
-            groups = groups.withColumn("rank", F.xxhash64("ent", F.lit(seed)))
-        else:
-            groups = groups.join(groups.groupBy("ent").agg((-F.count("*")).alias("rank")), "ent")
+        groups = groups.join(groups.groupBy("ent").agg((-F.count("*")).alias("rank")), "ent")
         hubs = groups.groupBy("token").agg(F.min(F.struct("rank", "ent", "n", "comp")).alias("hub"))
         met = groups.join(hubs, "token").filter("comp != hub.comp")
         met = met.select(F.col("ent").alias("a"), F.col("n").alias("an"), F.col("hub.ent").alias("b"), F.col("hub.n").alias("bn"))
@@ -268,14 +399,23 @@ class Join:
         best = met.groupBy("a", "an").agg(F.max(F.struct("m", "b", "bn")).alias("x"))
         return best.select("a", "an", F.col("x.b").alias("b"), F.col("x.bn").alias("bn"))
 
-    def all_pairs(self, groups: DataFrame) -> DataFrame:
-        """Every pair of a group whose entities are in different components and may be similar."""
-        groups = groups.join(self.sketches.select("ent", *(F.col("mark")[i].alias(f"m{i}") for i in range(MARK))), "ent")
-        side = lambda e, n, c, m: groups.select("token", F.col("ent").alias(e), F.col("n").alias(n), F.col("comp").alias(c), *(F.col(f"m{i}").alias(f"{m}{i}") for i in range(MARK)))
-        bits = sum((F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"q{i}"))) for i in range(MARK)), F.lit(0))
-        close = bits * (self.num + self.den) <= (F.col("an") + F.col("bn")) * (self.den - self.num)
-        met = side("a", "an", "ac", "p").join(side("b", "bn", "bc", "q"), "token").filter((F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & self.fit("an", "bn") & close)
-        return self.sift(met.select("a", "an", "b", "bn").distinct())
+    def named(self, groups: DataFrame, most: int) -> tuple[DataFrame, bool]:
+        """Pairs of entities of different components that the sketches let pass, `most` an entity, and whether there are more."""
+        groups = groups.join(self.sketches.select("ent", "sketch"), "ent")
+        sizes = groups.groupBy("token").agg(F.count("*").alias("m"), F.sum(F.size("sketch")).alias("w"))
+        blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("w") / BLOCK_WORDS)).cast("int")
+        sizes = sizes.select("token", blocks.alias("blocks"))
+        own = F.pmod(F.xxhash64("ent"), F.col("blocks")).cast("int")
+        rows = groups.join(sizes, "token").withColumn("own", own)
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rows.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "ent", "n", "comp", "sketch")
+        rows = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+        found = rows.mapInArrow(partners(self.num, self.den, most), "a long, an long, b long, bn long, bits int, more boolean")
+        found = table(found.groupBy("a", "an", "b", "bn", "bits").agg(F.max("more").alias("more")))
+        rank = F.row_number().over(Window.partitionBy("a").orderBy("bits", "b"))
+        found = table(found.withColumn("rank", rank))
+        more = not found.filter(F.col("more") | (F.col("rank") > most)).isEmpty()
+        return found.filter(F.col("rank") <= most).select("a", "an", "b", "bn"), more
 
     def test(self, pairs: DataFrame) -> None:
         """Verify pairs that were not tested yet."""
@@ -292,20 +432,16 @@ class Join:
             self.edges = links if self.edges is None else self.edges.unionByName(links)
             self.found = components(self.edges)
 
-    def crowded(self, groups: DataFrame) -> bool:
-        return not groups.groupBy("token").agg(F.count("*").alias("m")).filter(F.col("m") > CROWD).isEmpty()
-
     def labels(self) -> DataFrame | None:
         """node (entity), component: only of entities with links."""
         self.candidates()
         self.edges = self.found = self.tested = None
-        self.test(self.hub_pairs(self.alive(None), 0))
-        for step in range(1, HUB_ROUNDS):
-            groups = self.alive(self.found)
-            if not self.crowded(groups):
-                break
-            self.test(self.hub_pairs(groups, step))
-        self.test(self.all_pairs(self.alive(self.found)))
+        self.test(self.hub_pairs(self.alive(None)))
+        most, more = CLOSEST, True
+        while more:
+            pairs, more = self.named(self.alive(self.found), most)
+            self.test(pairs)
+            most *= MORE
         discard(*self.written, self.sketches)
         sweep(self.spark)
         return self.found
@@ -333,15 +469,18 @@ def components_of(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80,
 
 
 def keep_one(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
-    """One document of each component, the least by doc_id (null last) and then by the hash of its text.
+    """One row of each component: the least by doc_id (null last), then by the hash of its text.
 
-    Rows without words all stay; so do rows that repeat both the doc_id and the text of the one that
-    stays, unless their doc_id is null.
+    Of rows that are equal in both, one stays.  Rows without words all stay.
     """
-    full = labelled(docs, k, threshold).filter("n > 0").withColumn("key", F.struct(F.col("doc_id").isNull(), "doc_id", "tk"))
+    key = ["_none", "_id", "_tk"]
+    full = labelled(docs, k, threshold).filter("n > 0").select("comp", F.struct(F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("tk").alias("_tk")).alias("key"))
     least = full.groupBy("comp").agg(F.min("key").alias("least"))
-    gone = full.join(least, "comp").filter("key != least").select(F.col("doc_id").alias("_gone"), F.col("tk").alias("_gone_tk"))
-    rows = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_tk": F.xxhash64(F.col("text").cast("string"))})
-    nameless = F.col("_id").isNull() & F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    rows = rows.filter(~nameless).unionByName(rows.filter(nameless).dropDuplicates(["_tk"]))
-    return rows.join(gone, F.col("_id").eqNullSafe(F.col("_gone")) & (F.col("_tk") == F.col("_gone_tk")), "left_anti").select(*docs.columns)
+    gone = table(full.join(least, "comp").filter("key != least").select("key.*").distinct())
+    plain, back = aside(docs, "doc_id", "text")
+    text = F.col("text").cast("string")
+    rows = plain.withColumns({"_none": F.col("doc_id").cast("long").isNull(), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_tk": F.xxhash64(text)})
+    words = F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    own = rows.filter(words).join(few(gone), key, "left_anti")
+    own = flag_twins(own, *key).filter(~F.col("_twin")).drop("_twin")
+    return back(own.unionByName(rows.filter(~words)))

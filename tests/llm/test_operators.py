@@ -60,7 +60,7 @@ def test_words_match_the_pattern():
     texts = [t for _, t, *_ in corpus()]
     data, offsets = textops.utf8(pa.array(texts, pa.string()))
     for table, pattern in ((textops.NOT_SPACE, rb"[^\x20\x09-\x0D]+"), (textops.ALNUM, rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")):
-        h, starts, ends, bounds = textops.words(data, offsets, table, textops.folded(1))
+        h, starts, ends, bounds = textops.words(data, offsets, table, 1)
         raw = data.tobytes()
         got = [[raw[a:b] for a, b in zip(starts[i:j], ends[i:j])] for i, j in zip(bounds, bounds[1:])]
         assert got == [re.findall(pattern, (t or "").encode()) for t in texts]
@@ -68,6 +68,42 @@ def test_words_match_the_pattern():
         assert len(set(flat)) == len(set(h.tolist())) == len(set(zip(flat, h.tolist())))
 
 
+def thue_morse(n, a, b):
+    """Two sequences of 2**n symbols that a polynomial hash modulo 2**64 can't tell apart."""
+    bits = np.array([0])
+    for _ in range(n):
+        bits = np.concatenate([bits, 1 - bits])
+    return [[(a, b)[x] for x in bits ^ flip] for flip in (0, 1)]
+
+
+@pytest.mark.parametrize("n", [10, 11, 12])
+def test_hashes_tell_structured_texts_apart(n):
+    one, two = ("".join(x) for x in thue_morse(n, "a", "b"))
+    data, offsets = textops.utf8(pa.array([one, two, one + "c", "x " + one], pa.string()))
+    h, *_ = textops.words(data, offsets, textops.NOT_SPACE, 1)
+    assert len(set(h.tolist())) == 4 and h[0] == h[4]
+    sums = textops.prefix_sums(data)
+    lo, hi = offsets[:3], offsets[:3] + len(one)
+    spans = textops.span_sums(sums, lo, hi)
+    assert spans[0] != spans[1] and spans[0] == spans[2]
+    seqs = np.array([int(x) for s in thue_morse(n, 17, 99) for x in s], np.uint64)
+    a = np.array([0, len(one)])
+    for d in unit_dedup.digests(textops.mix(seqs), a, a + len(one)):
+        assert d[0] != d[1]
+
+
+def test_structured_texts_stay(spark):
+    texts = [" ".join(x) for x in thue_morse(10, "alpha", "beta")] + ["".join(x) + " x y z" for x in thue_morse(10, "a", "b")] + ["".join(x) for x in thue_morse(8, "ab", "cd")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.n_removed for r in unit_dedup.remove_later(df).collect()} == {0}
+    words = spark.createDataFrame([(i, t) for i, t in enumerate(texts) if " " not in t or "x y" in t], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in ngram_join.components_of(words, 4, (85, 100)).collect()} == {i: i for i in range(2, 6)}
+    want = repeats([t.encode() for t in texts], 200)
+    assert sorted(tuple(r)[1:] for r in suffix_dedup.report(df).collect()) == sorted(want)
+    bench = spark.createDataFrame([(1, texts[2].split()[0])], "item_id long, text string")
+    assert [r.doc_id for r in decontaminate.report(df, bench).collect() if r.n_hit] == [2]
+
+
 def test_slices_cover_all_rows_once():
     offsets = np.array([0, 5, 5, 30, 31, 90])
     assert list(textops.slices(offsets, 10)) == [(0, 2), (2, 3), (3, 4), (4, 5)]
@@ -185,31 +221,30 @@ def unit_list(text, least=unit_dedup.SENTENCE_WORDS):
                 yield lo, hi, b" ".join(w).lower()
 
 
-def test_later_units_go(docs):
-    first = {}
-    rows = sorted({(r[0] if r[0] is not None else 1 << 62, r[1] or "") for r in corpus()})
-    for i, t in rows:
-        for lo, _, w in sorted(unit_list(t)):
-            first.setdefault(w, (i, lo))
-            first[w] = min(first[w], (i, lo))
-    got = unit_dedup.remove_later(docs).collect()
-    assert len(got) == len(corpus())
-    for r in got:
-        text = dict((x[0], x[1]) for x in corpus())[r.doc_id] if r.doc_id is not None else None
-        if r.doc_id is None:
-            continue
-        spans = sorted((lo, hi) for lo, hi, w in unit_list(text or "") if first[w] < (r.doc_id, lo))
-        merged = []
-        for lo, hi in spans:
+def test_later_units_go(docs, spark):
+    odd = [(None, "one line that repeats"), (None, "one line that repeats"), (5, "another line here"), (5, "another line here"), (5, "another line here"), (5, "One line that repeats"), (None, "alone")]
+    rows = [(r[0], r[1]) for r in corpus()] + odd
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id long, text string").repartition(3))
+    got = sorted(((r.doc_id, r.text or "", [[s.lo, s.hi] for s in r.removed]) for r in unit_dedup.remove_later(df).collect()), key=repr)
+    keys = F.xxhash64(F.coalesce("text", F.lit("")))
+    tk = {r.text: r.k for r in df.select("text", keys.alias("k")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, tk[r[1]]))
+    first, want = {}, []
+    for at, (i, t) in enumerate(order):
+        raw, spans, merged = (t or "").encode(), [], []
+        for lo, hi, w in sorted(unit_list(t or "")):
+            if first.setdefault(w, (at, lo)) != (at, lo):  # a line and its only sentence start at one place
+                spans.append((lo, hi))
+        for lo, hi in sorted(spans):
             if merged and lo <= merged[-1][1]:
                 merged[-1][1] = max(merged[-1][1], hi)
             else:
                 merged.append([lo, hi])
-        assert [[s.lo, s.hi] for s in r.removed] == merged
-        raw, out, at = (text or "").encode(), b"", 0
+        out, end = b"", 0
         for lo, hi in merged:
-            out, at = out + raw[at:lo], hi
-        assert (r.text or "").encode() == out + raw[at:] and (r.text is None) == (text is None)
+            out, end = out + raw[end:lo], hi
+        want.append((i, (out + raw[end:]).decode(), merged))
+    assert got == sorted(want, key=repr)
 
 
 def test_no_units_in_an_empty_table(empty):
@@ -245,6 +280,41 @@ def test_line_dedup_is_exact(docs, spark):
     assert all(r.n_removed == (0 if text[r.doc_id] is None else len(text[r.doc_id].split("\n")) - len(want[r.doc_id])) for r in got)
 
 
+def test_line_dedup_tells_rows_apart(spark):
+    rng = random.Random(14)
+    a, b, c, d, e = (prose(rng, 12, 5000) for _ in range(5))
+    rows = [(1, a), (None, a), (None, b), (None, b), (7, a + "\n" + c), (7, d), (7, d), (7, d), (7, d + " "), (9, e + "\n\n" + c), (9, e + "\n\n" + c), (None, None), (None, None), (8, ""), (8, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    tk = {r.text: r.k for r in df.select("text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("k")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, tk[r[1]]))
+    seen, want, stay = [], [], []
+    for i, t in order:
+        kept = []
+        for line in [] if t is None else t.split("\n"):
+            s = frozenset(x for x in line.split(" ") if x)
+            if not s or not any(100 * len(s & o) >= 80 * len(s | o) for o in seen):
+                kept.append(line)
+            if s:
+                seen.append(s)
+        want.append((i, None if t is None else "\n".join(kept)))
+        stay += [t or ""] if t is None else ["\n".join(kept)] if kept else []
+    got = line_dedup.report(df).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted(want, key=repr)
+    assert sum(r.n_removed for r in got) == sum(len(t.split("\n")) for _, t in rows if t is not None) - sum(r.n_lines - r.n_removed for r in got)
+    assert sorted((r.text or "") for r in line_dedup.drop_lines(df).collect()) == sorted(stay)
+
+
+def test_wide_and_narrow_signatures_bound_the_difference(spark):
+    rng = random.Random(15)
+    sets = [[rng.getrandbits(63) for _ in range(n)] for n in (10, 60, 64, 70, 150)]
+    sets += [s[: -len(s) // 8] + [rng.getrandbits(63) for _ in range(7)] for s in sets]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(sets)], "i long, ts array<long>")
+    s1, s2 = line_dedup.parity(F.col("ts"))
+    side = df.select(F.struct("i", s1.alias("s1"), s2.alias("s2")).alias("x"))
+    rows = side.crossJoin(side.withColumnRenamed("x", "y")).select("x.i", F.col("y.i").alias("j"), line_dedup.differing("x", "y").alias("d")).collect()
+    assert len(rows) == 100 and all(r.d <= len(set(sets[r.i]) ^ set(sets[r.j])) and (r.d == 0) == (r.i == r.j) for r in rows)
+
+
 def test_line_dedup_keeps_columns(docs, empty):
     out = line_dedup.drop_lines(docs)
     assert out.columns == docs.columns
@@ -386,9 +456,11 @@ def jaccard_components(rows, k, num, den):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("k,num,den,crowd", [(4, 85, 100, 64), (5, 80, 100, 64), (2, 50, 100, 64), (2, 50, 100, 1)])
-def test_components_of_similar_documents(spark, docs, monkeypatch, k, num, den, crowd):
-    monkeypatch.setattr(ngram_join, "CROWD", crowd)
+@pytest.mark.parametrize("k,num,den,block,most", [(4, 85, 100, 4096, 4), (5, 80, 100, 4096, 4), (2, 50, 100, 4096, 1), (2, 50, 100, 3, 1)])
+def test_components_of_similar_documents(spark, docs, monkeypatch, k, num, den, block, most):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "CLOSEST", most)
+    monkeypatch.setattr(ngram_join, "MORE", 2)
     rng = random.Random(8)
     base = prose(rng, 60).split()
     near = []
@@ -406,10 +478,30 @@ def test_one_of_each_group_stays(docs, empty):
     kept = ngram_join.keep_one(docs)
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.collect()]
-    assert {0, 1, 2, 9}.issubset(ids) and 21 not in ids and ids.count(9) == 2
+    assert {0, 1, 2, 9}.issubset(ids) and 21 not in ids and ids.count(9) == 1
     assert ngram_join.components_of(empty).collect() == []
 
 
+def test_sketches_name_every_close_pair():
+    rng = np.random.default_rng(4)
+    sets = []
+    for base in (rng.integers(0, 1 << 62, 250), rng.integers(0, 1 << 62, 700)):
+        for _ in range(12):
+            s = base.astype(np.uint64).copy()
+            s[rng.integers(0, len(s), rng.integers(0, len(s) // 6))] = rng.integers(0, 1 << 62)
+            sets.append(np.unique(np.concatenate([s, rng.integers(0, 1 << 62, rng.integers(0, 20)).astype(np.uint64)])))
+    n, sk = np.array([len(s) for s in sets]), [ngram_join.sketch(s).view(np.uint64) for s in sets]
+    none = np.zeros(len(sets), int)
+    found = {frozenset((int(a), int(b))) for i, j, _ in ngram_join.near(n, np.arange(len(sets)), none, sk, 80, 100) for a, b in zip(i, j)}
+    want = {frozenset((i, j)) for i in range(len(sets)) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
+    assert want <= found and len(want) > 20
+    own = np.arange(len(sets)) % 2
+    across = {frozenset((int(a), int(b))) for i, j, _ in ngram_join.near(n, np.arange(len(sets)), own, sk, 80, 100) for a, b in zip(i, j)}
+    assert across == {x for x in found if len({own[i] for i in x}) == 2}
+    got = ngram_join.closest(np.arange(len(sets)), np.arange(len(sets)), ngram_join.near(n, np.arange(len(sets)), none, sk, 80, 100), 2)
+    assert np.bincount(got[0]).max() == 2 and got[3].any()
+
+
 def test_one_stays_whatever_the_ids(spark):
     rng = random.Random(12)
     a, b, c, d = (prose(rng, 60) for _ in range(4))
