@@ -532,10 +532,11 @@ def hits(text, items):
 @pytest.mark.parametrize("block", [10**6, 20])
 def test_decontamination(spark, docs, monkeypatch, block):
     texts = {r[0]: r[1] for r in corpus()}
-    items = [(1, texts[9][40:200]), (2, "one"), (3, None), (4, ""), (5, texts[10].upper()), (10, texts[9][40:120] + " " + texts[12][:90]), (11, "ünïcode, WÖRDS!")]
+    items = [(1, texts[9][40:200]), (2, "one"), (3, None), (4, ""), (5, texts[10].upper()), (10, texts[9][40:120] + " " + texts[12][:90]), (11, "ünïcode, WÖRDS!"), (12, "document without")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
-    found = decontaminate.find_hits(docs.select("doc_id", "text"), bench, 13, block)
+    monkeypatch.setattr(decontaminate, "SENT_BYTES", block)
+    found = decontaminate.find_hits(docs.select("doc_id", "text"), bench, 13)
+    assert ("Join" in found._jdf.queryExecution().executedPlan().toString()) == (block == 20)
     got = {}
     for r in found.collect():
         got[r.doc_id if r.doc_id is not None else ("none", r.text)] = (r.n_words, r.n_hit, len(r["items"]), hashlib.sha256(",".join(r["items"]).encode()).hexdigest(), r.n_hit > 0 and 20 * r.n_hit >= r.n_words)
@@ -544,6 +545,8 @@ def test_decontamination(spark, docs, monkeypatch, block):
     assert {k: v for k, v in got.items() if isinstance(k, int)} == {i: hits(t, items) for i, t in texts.items() if i is not None}
     rep = {r.doc_id: tuple(r)[1:] for r in decontaminate.report(docs, bench).collect() if r.doc_id is not None}
     assert rep == {i: hits(t, items) for i, t in texts.items() if i is not None}
+    nameless = {r.doc_id: tuple(r)[1:] for r in decontaminate.report(docs.filter("doc_id is null and text is not null"), bench).collect()}
+    assert nameless == {None: hits("a document without a number", items)}
     kept = decontaminate.decontaminate(docs, bench)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= {i for i, t in texts.items() if i is not None and not hits(t, items)[-1]}
     cut = {r.doc_id: r.text for r in decontaminate.decontaminate(docs, bench, remove="spans").collect()}
