@@ -1,15 +1,19 @@
 """LM scoring by masked pseudo-likelihood, with a bidirectional window network in numpy.
 
 Every token is predicted from the tokens on both sides of it; the score of a document is the sum of
-its tokens' conditional log-probabilities.  Tokens are words, lower case, hashed to `FINE` buckets.
-The network sees `2 * SIDE` neighbours through embeddings and predicts the bucket's class by a
-hierarchical soft-max of two levels, starting from the corpus frequencies of the classes; the bucket
-within its class has its smoothed corpus frequency.
+its tokens' conditional log-probabilities.  Tokens are words, lower case, hashed to `FINE` buckets,
+which are ranked by their count in the corpus.  The network sees `2 * SIDE` neighbours through
+embeddings (the most frequent buckets have their own, the others share) and predicts the token's
+class by a hierarchical soft-max of two levels, starting from the corpus frequencies.  The most
+frequent buckets are a class each; the others share `SHARED` classes, within which a bucket has its
+smoothed corpus frequency.
 
 Counts cover every token of every document, and the network is trained on every one, in a single
-pass.  Each task trains from the same start, and the tasks' parameters are averaged, weighted by
-their tokens, block by block on the executors.  What is sent to the driver and back is the model
-and the counts, whose sizes are fixed; what is gathered grows with the corpus.
+pass.  The corpus is cut into shards by a hash of doc_id and text, as many as its tokens ask for
+(`SHARD_TOKENS`), each in the order of that hash: however the input is split, the model is the same
+but for rounding.  Each shard trains from the same start, and the parameters are averaged, weighted
+by tokens, block by block on the executors.  What is sent to the driver and back is the model and
+the counts, whose sizes are fixed; what is gathered grows with the corpus.
 
 Null, empty and blank texts have no token and score 0 (no mean); one token is predicted from empty
 sides; texts of any length are scored in full; repeated rows score alike; an empty table gives none.
@@ -28,8 +32,13 @@ from .scratch import prepare
 from .textops import NOT_SPACE, column, part, slices, utf8, words
 
 SIDE, VOCAB, DIM, HIDDEN, HEAD = 2, 8192, 16, 32, 32
-FINE = HEAD * HEAD * 256
-BATCH, RATE = 256, 0.15
+FINE = 1 << 18
+#: Classes that the rarer buckets share, of HEAD * HEAD.
+SHARED = 64
+#: Steps start with batches of the first size and end with the second, a `GROWTH`-th of the tokens seen.
+BATCH, GROWTH, RATE = (64, 1024), 64, 0.15
+#: Tokens of a shard, about.
+SHARD_TOKENS = 2_000_000
 BLOCK, CHUNK = 1024, 32768
 SEED = 5
 SHAPES = {"emb": (VOCAB + 1, DIM), "w1": (2 * SIDE * DIM, HIDDEN), "b1": (HIDDEN,), "top": (HIDDEN, HEAD), "low": (HEAD, HIDDEN, HEAD)}
@@ -42,15 +51,23 @@ def initial() -> dict[str, np.ndarray]:
     return {"emb": emb.astype(np.float32), "w1": w1.astype(np.float32)} | {k: np.zeros(SHAPES[k], np.float32) for k in ("b1", "top", "low")}
 
 
-class Prior:
-    """Smoothed corpus frequencies: log P(upper class), P(lower | upper), P(bucket | class)."""
+class Vocabulary:
+    """Buckets by corpus count: their input ids and classes, and the smoothed frequencies log P(upper), P(lower | upper), P(bucket | class)."""
 
     def __init__(self, counts: np.ndarray):
-        per = (counts + 1.0).reshape(HEAD, HEAD, 256)
-        low = per.sum(axis=2)
+        rank = np.empty(FINE, np.int64)
+        rank[np.argsort(-counts, kind="stable")] = np.arange(FINE)
+        half = VOCAB // 2
+        self.ids = np.where(rank < half, rank, half + (np.arange(FINE) & (half - 1))).astype(np.int32)
+        own = HEAD * HEAD - SHARED
+        place = np.where(rank < own, rank, own + rank % SHARED)
+        # neighbours in rank are under different upper classes, so that these weigh about the same
+        self.classes = (place % HEAD * HEAD + place // HEAD).astype(np.int32)
+        per = np.bincount(self.classes, counts + 1.0, HEAD * HEAD)
+        low = per.reshape(HEAD, HEAD)
         self.top = np.log(low.sum(axis=1) / low.sum()).astype(np.float32)
         self.low = np.log(low / low.sum(axis=1, keepdims=True)).astype(np.float32)
-        self.rest = np.log(per / low[:, :, None]).ravel().astype(np.float32)
+        self.rest = np.log((counts + 1.0) / per[self.classes]).astype(np.float32)
 
 
 def flat(params: dict[str, np.ndarray]) -> np.ndarray:
@@ -65,10 +82,10 @@ def shaped(values: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def tokens(data: np.ndarray, offsets: np.ndarray):
-    """Input ids, output buckets (class * 256 + rest) and each row's first token."""
+def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of all tokens and each row's first token."""
     h, _, _, bounds = words(data, offsets, NOT_SPACE, SEED)
-    return (h & np.uint64(VOCAB - 1)).astype(np.int32), ((h >> np.uint64(20)) & np.uint64(FINE - 1)).astype(np.int32), bounds
+    return (h & np.uint64(FINE - 1)).astype(np.int32), bounds
 
 
 def contexts(ids: np.ndarray, bounds: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -93,11 +110,11 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(axis=1, keepdims=True)
 
 
-def step(p: dict[str, np.ndarray], sums: dict[str, np.ndarray], prior: Prior, ctx: np.ndarray, bucket: np.ndarray) -> None:
-    """One Adagrad step on a batch."""
+def step(p: dict[str, np.ndarray], sums: dict[str, np.ndarray], prior: Vocabulary, ctx: np.ndarray, target: np.ndarray) -> None:
+    """One Adagrad step on a batch of contexts and target classes."""
     n, rows = len(ctx), np.arange(len(ctx))
     x, h = hidden(p, ctx)
-    upper, lower = bucket >> 13, (bucket >> 8) & (HEAD - 1)
+    upper, lower = target // HEAD, target % HEAD
     # tokens of one upper class stand together, in a block of rows that is as high as the largest class
     order = np.argsort(upper, kind="stable")
     edges = np.searchsorted(upper[order], np.arange(HEAD + 1))
@@ -138,40 +155,78 @@ def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = utf8(column(batch, "text"))
         for i, j in slices(offsets):
-            counts += np.bincount(tokens(*part(data, offsets, i, j))[1], minlength=FINE)
+            counts += np.bincount(tokens(*part(data, offsets, i, j))[0], minlength=FINE)
     at = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["bucket", "n"])
 
 
-def learner(prior: Prior):
-    """One task's parameters: block, weight (training tokens), float32 bytes."""
+def trained(slices_: Iterator[tuple[np.ndarray, np.ndarray]], vocabulary: Vocabulary) -> tuple[dict[str, np.ndarray], int]:
+    """Parameters trained on every token of slices (buckets, bounds), and their number."""
+    p = initial()
+    sums = {k: np.full_like(v, 1e-4) for k, v in p.items()}
+    seen, held = 0, []
+
+    def learn() -> None:
+        nonlocal seen
+        ctx, target = np.concatenate([c for c, _ in held]), np.concatenate([t for _, t in held])
+        held.clear()
+        order = np.random.default_rng(len(ctx)).permutation(len(ctx))
+        ctx, target = ctx[order], target[order]
+        i = 0
+        while i < len(ctx):
+            size = min(BATCH[1], max(BATCH[0], seen // GROWTH))
+            step(p, sums, vocabulary, ctx[i : i + size], target[i : i + size])
+            i += size
+            seen += size
+        seen -= i - len(ctx)
+
+    for bucket, bounds in slices_:
+        held.append((contexts(vocabulary.ids[bucket], bounds, np.arange(len(bucket))), vocabulary.classes[bucket]))
+        if sum(len(t) for _, t in held) >= 32 * BATCH[1]:
+            learn()
+    if held:
+        learn()
+    return p, seen
+
+
+def learner(counts: np.ndarray):
+    """The parameters of each shard of neighbouring rows: block, shard, weight (training tokens), float32 bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = initial()
-        sums = {k: np.full_like(v, 1e-4) for k, v in p.items()}
-        trained, held = 0, []
-
-        def learn(least: int) -> int:
-            n = sum(len(b) for _, b in held)
-            if n < least:
-                return 0
-            ctx, bucket = np.concatenate([c for c, _ in held]), np.concatenate([b for _, b in held])
-            order = np.random.default_rng(n).permutation(n)
-            for i in range(0, n, BATCH):
-                step(p, sums, prior, ctx[order[i : i + BATCH]], bucket[order[i : i + BATCH]])
-            held.clear()
-            return n
-
-        for batch in batches:
-            data, offsets = utf8(column(batch, "text"))
-            for i, j in slices(offsets):
-                ids, bucket, bounds = tokens(*part(data, offsets, i, j))
-                held.append((contexts(ids, bounds, np.arange(len(ids))), bucket))
-                trained += learn(32 * BATCH)
-        trained += learn(1)
-        values = flat(p)
-        parts = [values[i : i + BLOCK].tobytes() for i in range(0, len(values), BLOCK)] if trained else []
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([trained] * len(parts), pa.int64()), pa.array(parts, pa.binary())], names=["key", "n", "value"])
+        vocabulary = Vocabulary(counts)
+        waiting: list[tuple[int, np.ndarray, np.ndarray]] = []
+
+        def pieces() -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+            for batch in batches:
+                shards = column(batch, "shard").to_numpy()
+                data, offsets = utf8(column(batch, "text"))
+                cuts = [0, *(np.flatnonzero(shards[1:] != shards[:-1]) + 1).tolist(), batch.num_rows]
+                for a, b in zip(cuts, cuts[1:]):
+                    own, at = part(data, offsets, a, b)
+                    for i, j in slices(at) if b > a else ():
+                        yield int(shards[a]), *tokens(*part(own, at, i, j))
+
+        source = pieces()
+
+        def of(shard: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            while waiting or (got := next(source, None)):
+                item = waiting.pop() if waiting else got
+                if item[0] != shard:
+                    waiting.append(item)
+                    return
+                yield item[1], item[2]
+
+        while waiting or (got := next(source, None)):
+            if not waiting:
+                waiting.append(got)
+            shard = waiting[0][0]
+            p, n = trained(of(shard), vocabulary)
+            values = flat(p)
+            parts = [values[i : i + BLOCK].tobytes() for i in range(0, len(values), BLOCK)] if n else []
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(len(parts)), pa.int32()), pa.array([shard] * len(parts), pa.int64()), pa.array([n] * len(parts), pa.int64()), pa.array(parts, pa.binary())],
+                names=["key", "shard", "n", "value"],
+            )
 
     return run
 
@@ -189,27 +244,30 @@ def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
-def train(texts: DataFrame) -> tuple[dict[str, np.ndarray], Prior]:
-    """The corpus frequencies and the averaged parameters."""
+def train(docs: DataFrame) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The averaged parameters and the corpus counts of the buckets."""
     counts = np.zeros(FINE, np.int64)
-    got = texts.mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    got = docs.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     counts[got["bucket"].to_numpy()] = got["n"].to_numpy()
-    prior = Prior(counts)
-    found = texts.mapInArrow(learner(prior), "key int, n long, value binary")
-    blocks = found.repartition("key").mapInArrow(merged, "key int, value binary").toArrow()
+    shards = max(1, -(-int(counts.sum()) // SHARD_TOKENS))
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("h"), "text").withColumn("shard", F.pmod(F.col("h"), F.lit(shards)))
+    rows = rows.filter("text is not null").repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "h")
+    found = rows.select("shard", "text").mapInArrow(learner(counts), "key int, shard long, n long, value binary")
+    blocks = found.repartition("key").sortWithinPartitions("key", "shard").mapInArrow(merged, "key int, value binary").toArrow()
     parts = dict(zip(blocks["key"].to_pylist(), blocks["value"].to_pylist(), strict=True))
-    return shaped(np.frombuffer(b"".join(parts[k] for k in sorted(parts)), np.float32)) if parts else initial(), prior
+    return shaped(np.frombuffer(b"".join(parts[k] for k in sorted(parts)), np.float32)) if parts else initial(), counts
 
 
-def log_likelihoods(params: dict[str, np.ndarray], prior: Prior, ids: np.ndarray, bucket: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def log_likelihoods(params: dict[str, np.ndarray], prior: Vocabulary, bucket: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """log P(token | both sides) of all tokens."""
-    out = np.empty(len(ids), np.float64)
+    out = np.empty(len(bucket), np.float64)
+    ids, target = prior.ids[bucket], prior.classes[bucket]
     for a in range(0, len(ids), CHUNK):
         at = np.arange(a, min(a + CHUNK, len(ids)))
-        upper = bucket[at] >> 13
+        upper = target[at] // HEAD
         order = np.argsort(upper, kind="stable")
         at, upper = at[order], upper[order]
-        lower = (bucket[at] >> 8) & (HEAD - 1)
+        lower = target[at] % HEAD
         _, h = hidden(params, contexts(ids, bounds, at))
         z1, z2 = h @ params["top"] + prior.top, np.empty((len(at), HEAD), np.float32)
         edges = np.searchsorted(upper, np.arange(HEAD + 1))
@@ -224,14 +282,15 @@ def log_likelihoods(params: dict[str, np.ndarray], prior: Prior, ids: np.ndarray
     return out
 
 
-def scorer(params: dict[str, np.ndarray], prior: Prior):
+def scorer(params: dict[str, np.ndarray], counts: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prior = Vocabulary(counts)
         for batch in batches:
             data, offsets = utf8(column(batch, "text"))
             n, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
             for i, j in slices(offsets):
-                ids, bucket, bounds = tokens(*part(data, offsets, i, j))
-                sums = np.concatenate([[0], np.cumsum(log_likelihoods(params, prior, ids, bucket, bounds))])
+                bucket, bounds = tokens(*part(data, offsets, i, j))
+                sums = np.concatenate([[0], np.cumsum(log_likelihoods(params, prior, bucket, bounds))])
                 n[i:j] = np.diff(bounds)
                 total[i:j] = np.where(n[i:j] > 0, sums[bounds[1:]] - sums[bounds[:-1]], 0)
             mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
@@ -244,5 +303,5 @@ def score(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, pll (summed log-probability) and pll_per_token, by a model trained on `docs`."""
     prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    params, prior = train(docs.select("text"))
-    return docs.mapInArrow(scorer(params, prior), "doc_id long, n_tokens long, pll double, pll_per_token double")
+    params, counts = train(docs)
+    return docs.mapInArrow(scorer(params, counts), "doc_id long, n_tokens long, pll double, pll_per_token double")

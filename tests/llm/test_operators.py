@@ -342,21 +342,79 @@ def test_pseudo_likelihood(spark, docs, empty):
 
 def test_every_token_is_a_training_target():
     texts = pa.array([t for _, t, *_ in corpus()], pa.string())
-    batch = pa.RecordBatch.from_arrays([texts], names=["text"])
-    got = next(pseudo_lm.learner(pseudo_lm.Prior(np.zeros(pseudo_lm.FINE)))(iter([batch])))
-    assert set(got["n"].to_pylist()) == {sum(len((t or "").split()) for t in texts.to_pylist())}
+    shards = pa.array(sorted(i % 3 for i in range(len(texts))), pa.int64())
+    batches = [pa.RecordBatch.from_arrays([shards[i : i + 7], texts[i : i + 7]], names=["shard", "text"]) for i in range(0, len(texts), 7)]
+    want = {}
+    for k, t in zip(shards.to_pylist(), texts.to_pylist()):
+        want[k] = want.get(k, 0) + len((t or "").split())
+    got = {}
+    for b in pseudo_lm.learner(np.zeros(pseudo_lm.FINE))(iter(batches)):
+        assert set(b["key"].to_pylist()) == set(range(-(-sum(int(np.prod(x)) for x in pseudo_lm.SHAPES.values()) // pseudo_lm.BLOCK)))
+        got[b["shard"][0].as_py()] = b["n"][0].as_py()
+    assert got == want
+
+
+def test_scores_do_not_depend_on_the_split(spark, monkeypatch):
+    monkeypatch.setattr(pseudo_lm, "SHARD_TOKENS", 3000)
+    rng = random.Random(25)
+    rows = [(i if i % 5 else None, prose(rng, rng.randrange(0, 120), 300)) for i in range(200)] + [(None, None), (3, "same"), (3, "same")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one, eight = (sorted((r.doc_id or -1, r.n_tokens, r.pll) for r in pseudo_lm.score(d).collect()) for d in (df.coalesce(1), df.repartition(8)))
+    assert len(one) == len(rows) and np.allclose(one, eight, rtol=1e-4)
+
+
+def test_context_helps_on_held_out_text():
+    rng = random.Random(26)
+    pairs = [(f"k{i}", f"v{i}") for i in range(200)]
+    texts = pa.array([" ".join(w for _ in range(100) for w in rng.choice(pairs)) for _ in range(400)])
+    slices = [pseudo_lm.tokens(*textops.part(*textops.utf8(texts), i, i + 20)) for i in range(0, 400, 20)]
+    counts = np.bincount(np.concatenate([b for b, _ in slices[:16]]), minlength=pseudo_lm.FINE)
+    vocabulary = pseudo_lm.Vocabulary(counts)
+    params, n = pseudo_lm.trained(iter(slices[:16]), vocabulary)
+    assert n == 320 * 200
+    unigram = np.log((counts + 1) / (counts + 1).sum())
+    held = slices[16:]
+    assert np.mean([pseudo_lm.log_likelihoods(params, vocabulary, *s).mean() for s in held]) > np.mean([unigram[b].mean() for b, _ in held]) + 0.5
+
+
+def reference_log_likelihood(p, counts, ids, classes, bounds, bucket):
+    """Token by token, in plain terms."""
+    mass = {}
+    for k, c in enumerate(classes):
+        mass[c] = mass.get(c, 0) + counts[k] + 1
+    head, side = pseudo_lm.HEAD, pseudo_lm.SIDE
+    per = np.array([mass[c] for c in range(head * head)]).reshape(head, head)
+    out = []
+    for a, b in zip(bounds, bounds[1:]):
+        for t in range(a, b):
+            near = [t + d for d in (*range(-side, 0), *range(1, side + 1))]
+            x = np.concatenate([p["emb"][ids[bucket[q]] if a <= q < b else pseudo_lm.VOCAB] for q in near]).astype(float)
+            h = np.tanh(x @ p["w1"] + p["b1"])
+            u, v = divmod(int(classes[bucket[t]]), head)
+            z1 = h @ p["top"] + np.log(per.sum(axis=1) / per.sum())
+            z2 = h @ p["low"][u] + np.log(per[u] / per[u].sum())
+            out.append(z1[u] - np.log(np.exp(z1).sum()) + z2[v] - np.log(np.exp(z2).sum()) + np.log((counts[bucket[t]] + 1) / per[u, v]))
+    return np.array(out)
+
+
+def test_scores_match_a_plain_reference():
+    rng = np.random.default_rng(6)
+    counts = rng.integers(0, 50, pseudo_lm.FINE)
+    p = {k: rng.normal(size=s).astype(np.float32) * 0.3 for k, s in pseudo_lm.SHAPES.items()}
+    bucket, bounds = rng.integers(0, pseudo_lm.FINE, 40).astype(np.int32), np.array([0, 1, 1, 17, 40])
+    v = pseudo_lm.Vocabulary(counts)
+    assert np.allclose(pseudo_lm.log_likelihoods(p, v, bucket, bounds), reference_log_likelihood(p, counts, v.ids, v.classes, bounds, bucket), atol=1e-3)
 
 
 def test_steps_follow_the_gradient():
     rng = np.random.default_rng(3)
-    prior = pseudo_lm.Prior(rng.integers(0, 50, pseudo_lm.FINE))
+    v = pseudo_lm.Vocabulary(rng.integers(0, 50, pseudo_lm.FINE))
     p = {k: rng.normal(size=s).astype(np.float32) * 0.3 for k, s in pseudo_lm.SHAPES.items()}
-    ids, bucket = rng.integers(0, 20, 60).astype(np.int32), rng.integers(0, pseudo_lm.FINE, 60).astype(np.int32)
-    bounds = np.array([0, 25, 60])
-    mean = lambda q: pseudo_lm.log_likelihoods(q, prior, ids, bucket, bounds).mean()
-    new = {k: v.copy() for k, v in p.items()}
-    big = {k: np.full_like(v, 1e8) for k, v in p.items()}  # the step is then in proportion to the gradient
-    pseudo_lm.step(new, big, prior, pseudo_lm.contexts(ids, bounds, np.arange(60)), bucket)
+    bucket, bounds = rng.choice(rng.integers(0, pseudo_lm.FINE, 20), 60).astype(np.int32), np.array([0, 25, 60])
+    mean = lambda q: pseudo_lm.log_likelihoods(q, v, bucket, bounds).mean()
+    new = {k: x.copy() for k, x in p.items()}
+    big = {k: np.full_like(x, 1e8) for k, x in p.items()}  # the step is then in proportion to the gradient
+    pseudo_lm.step(new, big, v, pseudo_lm.contexts(v.ids[bucket], bounds, np.arange(60)), v.classes[bucket])
     for k in pseudo_lm.SHAPES:
         g = (p[k].astype(np.float64) - new[k]) * 1e4 / pseudo_lm.RATE
         assert np.count_nonzero(g), k
@@ -368,15 +426,13 @@ def test_steps_follow_the_gradient():
 
 
 def test_conditional_probabilities_sum_to_one():
-    prior = pseudo_lm.Prior(np.random.default_rng(0).integers(0, 50, pseudo_lm.FINE))
+    v = pseudo_lm.Vocabulary(np.random.default_rng(0).integers(0, 50, pseudo_lm.FINE))
     rng = np.random.default_rng(1)
     p = {k: rng.normal(size=s).astype(np.float32) * 0.3 for k, s in pseudo_lm.SHAPES.items()}
     n = pseudo_lm.FINE
-    ids = np.tile(np.array([3, 9, 0, 7, 1], np.int32), n)
-    bucket = np.zeros(5 * n, np.int32)
+    bucket = np.tile(np.array([3, 9, 0, 7, 1], np.int32), n)
     bucket[2::5] = np.arange(n)
-    bounds = np.arange(0, 5 * n + 1, 5)
-    ll = pseudo_lm.log_likelihoods(p, prior, ids, bucket, bounds)[2::5]
+    ll = pseudo_lm.log_likelihoods(p, v, bucket, np.arange(0, 5 * n + 1, 5))[2::5]
     assert abs(np.exp(ll).sum() - 1) < 1e-3
 
 
