@@ -5,7 +5,7 @@ a digest join with a media store, and come back to their place with their captio
 stored losslessly as 8-bit grey samples (binary PGM) and read back for their features, so that only
 digests and features, never payloads, go through the join.
 
-Null or empty html has no segments; a null payload is empty; unknown digests stay unresolved (null
+Null or empty html, and pages without text and media, have an empty sequence; a null payload is empty; unknown digests stay unresolved (null
 media columns); equal payloads are one media; repeated pages and clashing column names are kept
 apart (only the named columns are read); an empty table gives an empty result.
 """
@@ -33,10 +33,16 @@ SEGMENT = "struct<pos:int,kind:string,text:string,ref:string,caption:string>"
 
 
 class Sequence(HTMLParser):
-    """Text and media references of a page in their order; captions go with the media of their figure."""
+    """Text and media references of a page in their order; captions go with the media of their figure.
 
-    MEDIA = ("img", "video", "audio", "source", "embed")
-    SILENT = ("script", "style", "template", "noscript")
+    A caption belongs to all media of its figure, wherever it stands in it, and ends with the figure
+    at the latest; one that neither end closes is text.  What is in a template or noscript element is
+    left out if the element is closed.
+    """
+
+    MEDIA = ("img", "video", "audio", "source", "embed", "object")
+    SILENT = ("script", "style")
+    HIDDEN = ("template", "noscript")
     BLOCKS = frozenset("address article aside blockquote br dd div dl dt figcaption figure footer h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr title ul".split())
 
     def __init__(self) -> None:
@@ -44,7 +50,8 @@ class Sequence(HTMLParser):
         self.out: list[dict] = []
         self.held: list[str] = []
         self.silent = 0
-        self.figure: list[int] = []
+        self.hidden: list[tuple[str, int]] = []  # open elements and the segments before them
+        self.figures: list[dict] = []  # open figures: the segments before them, and their captions so far
         self.caption: list[str] | None = None
 
     def flush(self) -> None:
@@ -53,18 +60,42 @@ class Sequence(HTMLParser):
         if text:
             self.out.append({"kind": "text", "text": text, "ref": None, "caption": None})
 
+    def end_caption(self) -> None:
+        if self.caption is None:
+            return
+        text = " ".join("".join(self.caption).split())
+        self.caption = None
+        if self.figures:
+            self.figures[-1]["captions"].append(text)
+        elif text:
+            self.out.append({"kind": "text", "text": text, "ref": None, "caption": None})
+
+    def end_figure(self) -> None:
+        self.end_caption()
+        self.flush()
+        figure = self.figures.pop()
+        text = " ".join(c for c in figure["captions"] if c)
+        for segment in self.out[figure["first"] :]:
+            if segment["kind"] == "media" and text and not segment.get("done"):
+                segment |= {"caption": text, "done": True}
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in self.SILENT:
             self.silent += 1
-        if tag in self.BLOCKS:
+        if tag in self.BLOCKS and self.caption is None:
             self.flush()
-        if tag == "figure":
-            self.figure.append(len(self.out))
+        if tag in self.HIDDEN:
+            self.flush()
+            self.hidden.append((tag, len(self.out)))
+        elif tag == "figure":
+            self.end_caption()
+            self.figures.append({"first": len(self.out), "captions": []})
         elif tag == "figcaption":
+            self.end_caption()
             self.caption = []
         elif tag in self.MEDIA:
             have = dict(attrs)
-            ref = have.get("src") or have.get("data-src")
+            ref = have.get("src") or have.get("data-src") or have.get("data") or ((have.get("srcset") or "").replace(",", " ").split() or [None])[0]
             if ref:
                 self.flush()
                 self.out.append({"kind": "media", "text": None, "ref": ref, "caption": have.get("alt") or have.get("title")})
@@ -72,31 +103,39 @@ class Sequence(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in self.SILENT:
             self.silent = max(0, self.silent - 1)
-        if tag == "figcaption" and self.caption is not None:
-            text = " ".join("".join(self.caption).split())
-            self.caption = None
-            for segment in self.out[self.figure[-1] if self.figure else len(self.out) :]:
-                if segment["kind"] == "media":
-                    segment["caption"] = text or segment["caption"]
-        if tag == "figure" and self.figure:
+        elif tag == "figcaption":
+            self.end_caption()
+        elif tag == "figure" and self.figures:
+            self.end_figure()
+        elif tag in self.HIDDEN and any(t == tag for t, _ in self.hidden):
             self.flush()
-            self.figure.pop()
-        elif tag in self.BLOCKS:
+            while (last := self.hidden.pop())[0] != tag:
+                pass
+            del self.out[last[1] :]
+        elif tag in self.BLOCKS and self.caption is None:
             self.flush()
 
     def handle_data(self, data: str) -> None:
-        if self.silent:
-            return
-        (self.held if self.caption is None else self.caption).append(data)
+        if not self.silent:
+            (self.held if self.caption is None else self.caption).append(data)
+
+    def finish(self) -> list[dict]:
+        """All segments; what is still open ends here."""
+        self.close()
+        self.flush()
+        if self.caption is not None:  # never closed: it is the rest of the page
+            self.held, self.caption = self.caption, None
+            self.flush()
+        while self.figures:
+            self.end_figure()
+        return [{k: x[k] for k in ("kind", "text", "ref", "caption")} for x in self.out]
 
 
 def parse(html: str | None) -> list[dict]:
     """The segments of a page: pos, kind (text or media), text, ref, caption."""
     page = Sequence()
     page.feed(html or "")
-    page.close()
-    page.flush()
-    return [{"pos": i, **segment} for i, segment in enumerate(page.out)]
+    return [{"pos": i, **segment} for i, segment in enumerate(page.finish())]
 
 
 def parse_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,16 +221,25 @@ def interleave(pages: DataFrame, media: DataFrame) -> DataFrame:
     prepare(pages.sparkSession)
     keyed = pages.select(F.monotonically_increasing_id().alias("page_key"), F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html"))
     parsed = table(keyed.mapInArrow(parse_pages, f"page_key long, page_id long, segments array<{SEGMENT}>"))
-    flat = parsed.select("page_key", "page_id", F.explode("segments").alias("s")).select("page_key", "page_id", "s.*")
+    flat = parsed.select("page_key", "page_id", F.explode_outer("segments").alias("s")).select("page_key", "page_id", "s.*")
     rows = media.select("digest", F.struct(*media.columns).alias("media"))
     empty = F.lit(None).cast(rows.schema["media"].dataType).alias("media")
-    refers = (F.col("kind") == "media") & F.col("ref").startswith(SCHEME)
+    refers = F.coalesce((F.col("kind") == "media") & F.col("ref").startswith(SCHEME), F.lit(False))
     linked = flat.filter(refers).withColumn("digest", F.substring("ref", len(SCHEME) + 1, 1 << 20)).join(rows, "digest", "left").drop("digest")
     plain = flat.filter(~refers).withColumn("media", empty)  # kept out of the join, where they would all meet under one null key
-    segment = F.struct("pos", "kind", "text", "ref", "caption", "media")
+    segment = F.when(F.col("pos").isNotNull(), F.struct("pos", "kind", "text", "ref", "caption", "media"))  # null, and not collected, for a page without any
     return linked.unionByName(plain).groupBy("page_key", "page_id").agg(F.sort_array(F.collect_list(segment)).alias("segments"))
 
 
+def page_sequences(pages: DataFrame) -> DataFrame:
+    """page_id, number of segments and of media, and the text of every page of `pages`; nothing is resolved."""
+    none = pages.sparkSession.createDataFrame([], FEATURES)
+    rows = interleave(pages, none)
+    media = F.filter("segments", lambda s: s["kind"] == "media")
+    text = F.array_join(F.transform(F.filter("segments", lambda s: s["kind"] == "text"), lambda s: s["text"]), "\n")
+    return rows.select("page_id", F.size("segments").cast("long").alias("n_segments"), F.size(media).cast("long").alias("n_media"), text.alias("text"))
+
+
 def report(docs: DataFrame) -> DataFrame:
     """Each document as a page with its text as media: the resolved media of its sequence."""
     stored = store(docs.select(F.col("doc_id").alias("owner"), F.col("text").alias("payload")))

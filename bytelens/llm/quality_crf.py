@@ -6,8 +6,9 @@ score is their mean, weighted by length.  A line of a training document has the
 
 Null and empty texts are one empty line; lines of any length count in full; repeated rows are scored
 alike; without labels the score is the prior 0.5; an empty table gives an empty result.
-Features come from the text alone.  The only bound is on training: at most `TRAIN_DOCS` labelled
-documents, the first by hash of doc_id, of at most `TRAIN_LINES` lines each (scoring has none).
+Features come from the text alone.  The only bound is on training: labelled documents, the first by
+hash of doc_id, whole, up to `TRAIN_DOCS` of them and `TRAIN_LINES` lines in all (scoring has none).
+Rows that are equal in doc_id and text are learnt from once.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from .scratch import aside, prepare
 from .textops import NOT_SPACE, column, part, slices, utf8, words
 
 TRAIN_DOCS = 6000
-TRAIN_LINES = 200
+TRAIN_LINES = 400_000
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 5, 0
 STEPS, RATE, DECAY = 300, 0.1, 1e-3
@@ -186,13 +187,13 @@ def scores(data: np.ndarray, offsets: np.ndarray, model: dict[str, np.ndarray] |
 
 
 def line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Feature rows of the first `TRAIN_LINES` lines of training documents, as float32 bytes."""
+    """Feature rows of all lines of training documents, as float32 bytes."""
     for batch in batches:
         data, offsets = utf8(column(batch, "text"))
         out: list[bytes] = []
         for i, j in slices(offsets):
             x, _, first = features(*part(data, offsets, i, j))
-            out.extend(x[a : min(b, a + TRAIN_LINES)].astype(np.float32).tobytes() for a, b in zip(first, first[1:]))
+            out.extend(x[a:b].astype(np.float32).tobytes() for a, b in zip(first, first[1:]))
         yield pa.RecordBatch.from_arrays([column(batch, "label"), pa.array(out, pa.binary())], names=["label", "x"])
 
 
@@ -206,8 +207,20 @@ def train(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray] | None:
     rows = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (fold(F.col("doc_id")) != HELD_OUT))
     rows = rows.select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("label"))
     chosen = rows.orderBy(F.xxhash64("id"), "id", "label").limit(TRAIN_DOCS)
-    texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
-    got = texts.join(F.broadcast(chosen), "id").select("label", "text").mapInArrow(line_rows, "label int, x binary").toArrow()
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").alias("id"), text.alias("text"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("tk"))
+    lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(1))
+    keys = texts.join(F.broadcast(chosen), "id").select("id", "label", "tk", lines.alias("lines")).distinct()
+    taken, total = [], 0
+    for r in keys.orderBy(F.xxhash64("id"), "id", "label", "tk").limit(TRAIN_DOCS).collect():
+        total += r.lines
+        if taken and total > TRAIN_LINES:
+            break
+        taken.append((r.id, r.label, r.tk))
+    if not taken:
+        return None
+    wanted = docs.sparkSession.createDataFrame(taken, f"id {texts.schema['id'].dataType.simpleString()}, label int, tk long")
+    got = texts.join(F.broadcast(wanted), ["id", "tk"]).dropDuplicates(["id", "tk", "label"]).select("label", "text").mapInArrow(line_rows, "label int, x binary").toArrow()
     if not got.num_rows:
         return None
     order = sorted(range(got.num_rows), key=lambda i: (got["x"][i].as_py(), got["label"][i].as_py()))
