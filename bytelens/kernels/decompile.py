@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import os
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -367,24 +369,31 @@ def first_blocks(blocks: DataFrame) -> DataFrame:
     return blocks.join(blocks.groupBy("resource_id").agg(F.min("abc_id").alias("abc_id")), ["resource_id", "abc_id"])
 
 
-def write_tree(blocks: DataFrame, outdir: str) -> DataFrame:
-    """Write every class to a file under its package; returns path and error of each."""
-    rows = classes(blocks).filter("source is not null")
-
-    def put(batches):
-        import os
+def contained(outdir: str, folders: list[str], name: str) -> str:
+    """The path of a class below `outdir`, whatever the names of an untrusted file are."""
+    plain = [re.sub(r'[\\/:*?"<>|\0]', "_", p) for p in [*folders, name]]
+    plain = ["_" if p in ("", ".", "..") else p for p in plain]
+    path = os.path.join(outdir, *plain[:-1], f"{plain[-1]}.as")
+    if os.path.commonpath([os.path.realpath(outdir), os.path.realpath(path)]) != os.path.realpath(outdir):
+        raise ValueError(f"{path} is outside {outdir}")
+    return path
 
-        import pyarrow as pa
 
-        for batch in batches:
-            paths = []
-            for p, n, text in zip(batch["package"].to_pylist(), batch["name"].to_pylist(), batch["source"].to_pylist()):
-                folder = os.path.join(outdir, *p.split(".")) if p else outdir
-                os.makedirs(folder, exist_ok=True)
-                path = os.path.join(folder, f"{n}.as")
-                with open(path, "w", encoding="utf-8") as f:
-                    f.write(text)
-                paths.append(path)
-            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], names=["path"])
+def write_tree(blocks: DataFrame, outdir: str) -> DataFrame:
+    """Write every class to a file under its package, on this machine; returns the paths.
 
-    return rows.select("package", "name", "source").mapInArrow(put, "path string")
+    Rows arrive one partition after the other.  A class whose path another one has goes to a folder
+    of its resource and block.
+    """
+    rows = classes(blocks).filter("source is not null")
+    paths: dict[str, None] = {}
+    for r in rows.select("resource_id", "abc_id", "package", "name", "source").toLocalIterator():
+        folders = r.package.split(".") if r.package else []
+        path = contained(outdir, folders, r.name)
+        if path in paths:
+            path = contained(outdir, [f"resource_{r.resource_id}_{r.abc_id}", *folders], r.name)
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(path, "w", encoding="utf-8") as f:
+            f.write(r.source)
+        paths[path] = None
+    return blocks.sparkSession.createDataFrame([(x,) for x in paths], "path string")

@@ -214,6 +214,16 @@ def loops(g: Graph, idom: dict[int, int] | None = None) -> list[Loop]:
     return out
 
 
+def top_level(found: list[Loop]) -> list[Loop]:
+    """The loops that no other one holds."""
+    return [x for x in found if x.parent is None]
+
+
+def children(found: list[Loop], header: int) -> list[Loop]:
+    """The loops right within the one of that header."""
+    return [x for x in found if x.parent == header]
+
+
 def complexity(g: Graph) -> int:
     return max(1, sum(len(n.out) for n in g.nodes) - len(g.nodes) + 2)
 

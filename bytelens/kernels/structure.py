@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import ast as A
-from .graph import Graph, Loop, Node, immediate_dominators, immediate_postdominators, loops
+from .graph import Graph, Loop, Node, dominators, immediate_dominators, immediate_postdominators, loops
 from .simulate import Result
 
 
@@ -32,18 +32,42 @@ class Structurer:
         self.loops = {x.header: x for x in loops(g, immediate_dominators(g))}
         self.done: set[int] = set()
         self.wrapped: set[int] = set()
+        self.open: list[tuple[Loop, int | None]] = []  # the loops around, and where a break of each goes
+        self.within: dict[int, dict[int, int]] = {}
         self.catches = {h.target for n in g.nodes for h in (g.handlers[k] for k in n.handlers)}
 
     def body(self) -> A.BlockStmt:
         return A.BlockStmt(tuple(self.region(0, None)) if self.g.nodes else ())
 
     def merge(self, k: int) -> int | None:
+        """Where the ways from a block meet; in a loop, those of its ways that stay in the same round."""
+        if self.open:
+            p = self.same_round(self.open[-1][0]).get(k, -1)
+            return p if 0 <= p < len(self.g.nodes) else None
         p = self.post.get(k, -1)
         return p if p >= 0 else None
 
+    def same_round(self, loop: Loop) -> dict[int, int]:
+        """Immediate post-dominators within a loop's body: the way back to its header is the exit, ways out don't count."""
+        if loop.header not in self.within:
+            top = len(self.g.nodes)
+            ahead: list[list[int]] = [[] for _ in range(top + 1)]
+            back: list[list[int]] = [[] for _ in range(top + 1)]
+            for b in loop.body:
+                for x in {top if x == loop.header else x for x in self.g.nodes[b].out if x in loop.body}:
+                    ahead[b].append(x)
+                    back[x].append(b)
+            self.within[loop.header] = dominators(back, ahead, top)
+        return self.within[loop.header]
+
     def region(self, at: int | None, stop: int | None) -> list[A.Statement]:
         out: list[A.Statement] = []
-        while at is not None and at != stop and at not in self.done:
+        while at is not None and at != stop:
+            if self.open and at in (self.open[-1][1], self.open[-1][0].header) and self.open[-1][1] is not None:
+                out.append(A.BreakStmt() if at == self.open[-1][1] else A.ContinueStmt())
+                break
+            if at in self.done:
+                break
             node, r = self.g.nodes[at], self.results[at]
             new = [k for k in node.handlers if k not in self.wrapped and self.g.handlers[k].start == node.start]
             if new:
@@ -61,9 +85,17 @@ class Structurer:
                 break
             if r.ends == "if" and len(node.out) > 1:
                 meet = self.merge(at)
-                falls, jumps = self.region(node.out[0], meet), self.region(node.out[1], meet)
+                until = stop if meet is None and self.open else meet
+                falls, jumps = self.region(node.out[0], until), self.region(node.out[1], until)
                 cond, negated = bare(r.cond)
-                out.append(either(cond, falls, jumps) if negated else either(cond, jumps, falls))
+                yes, no = (falls, jumps) if negated else (jumps, falls)
+                leaves = [bool(x) and isinstance(x[-1], (A.BreakStmt, A.ContinueStmt)) for x in (yes, no)]
+                if leaves == [True, False]:
+                    out += [either(cond, yes, []), *no]
+                elif leaves == [False, True]:
+                    out += [either(A.UnaryOp("!", cond), no, []), *yes]
+                else:
+                    out.append(either(cond, yes, no))
                 at = meet
             elif r.ends == "switch":
                 out.append(self.switch(node, r))
@@ -81,21 +113,33 @@ class Structurer:
             cond, odd = bare(r.cond)
             if odd != (node.out[1] == away):  # the branch is taken to leave, or the test was negated
                 cond = A.UnaryOp("!", cond)
-            body = [*r.statements, *self.region(inside[0], loop.header)]
+            body = [*r.statements, *self.round(loop, away, inside[0])]
             return A.WhileStmt(cond, A.BlockStmt(tuple(body))), away
-        body = [*r.statements, *self.region(node.out[0] if node.out else None, loop.header)]
-        return A.WhileStmt(A.Literal(True), A.BlockStmt(tuple(body))), None
+        after = self.post.get(loop.header, -1)
+        after = after if after >= 0 and after not in loop.body else None
+        body = [*r.statements, *self.round(loop, after, node.out[0] if node.out else None)]
+        return A.WhileStmt(A.Literal(True), A.BlockStmt(tuple(body))), after
+
+    def round(self, loop: Loop, away: int | None, first: int | None) -> list[A.Statement]:
+        self.open.append((loop, away))
+        out = self.region(first, loop.header)
+        self.open.pop()
+        return out
 
     def switch(self, node: Node, r: Result) -> A.SwitchStmt:
         """Cases by position; of cases that share a target the first has the body; the default is last."""
         meet = self.merge(node.index)
         starts = {n.start: n.index for n in self.g.nodes}
         cases, seen = [], set()
+        if self.open:  # in a switch, a break is the switch's own
+            self.open.append((self.open[-1][0], None))
         for label, offset in [*((A.Literal(i), t) for i, t in enumerate(r.targets[1:])), (None, r.targets[0])]:
             if offset in starts:
                 body = () if offset in seen else tuple(self.region(starts[offset], meet))
                 seen.add(offset)
                 cases.append(A.SwitchCase(label, body))
+        if self.open:
+            self.open.pop()
         return A.SwitchStmt(r.cond if r.cond is not None else A.Identifier("_switch_value"), tuple(cases))
 
     def guarded(self, at: int, handlers: list[int]) -> tuple[A.Statement, int | None]:

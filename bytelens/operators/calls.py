@@ -74,6 +74,11 @@ def const_args(m: Model) -> DataFrame:
     return keyed.join(got, [*BODY, "seq"], "left").select(F.col("class_name").alias("source_class"), F.col("ca_name").alias("source_member"), "offset", "target", "arg_count", args.alias("args"))
 
 
+def observations_for(args: DataFrame, target: str) -> DataFrame:
+    """The call sites of one target."""
+    return args.filter(F.col("target") == target)
+
+
 def literal_key(x):
     """Literals that compare equal have one key: numbers and booleans by value, strings, null."""
     number = F.coalesce(x["d"], x["i"].cast("double"), x["b"].cast("int").cast("double"))

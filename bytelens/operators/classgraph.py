@@ -93,6 +93,22 @@ def dead_methods(m: Model, e: DataFrame | None = None) -> DataFrame:
     return rows.select("class_name", F.col("name").alias("method_name"), F.lit("no callgraph edge targets this name").alias("reason"), "is_override")
 
 
+def dead_code(m: Model, refs: DataFrame | None = None, e: DataFrame | None = None) -> DataFrame:
+    """kind (class or method), class_name, method_name (null for a class): both kinds of dead code."""
+    classes = dead_classes(m, refs).select(F.lit("class").alias("kind"), F.col("name").alias("class_name"), F.lit(None).cast("string").alias("method_name"))
+    return classes.unionByName(dead_methods(m, e).select(F.lit("method").alias("kind"), "class_name", "method_name"))
+
+
+def class_names(m: Model) -> DataFrame:
+    """name: every simple and qualified name of a loaded class, once."""
+    return m.classes.select(F.col("name")).unionByName(m.classes.select(F.col("qualified_name").alias("name"))).distinct()
+
+
+def package(m: Model, name: str) -> DataFrame:
+    """The row of `packages` of one package."""
+    return packages(m).filter(F.col("package") == name)
+
+
 def packages(m: Model) -> DataFrame:
     """package, classes (sorted simple names), class_count, interface_count."""
     return m.classes.groupBy("package").agg(F.array_sort(F.collect_list("name")).alias("classes"), F.count("*").alias("class_count"), F.count_if("is_interface").alias("interface_count"))

@@ -89,8 +89,8 @@ def liveness(accesses: DataFrame) -> DataFrame:
 
 
 def register_use(live: DataFrame) -> DataFrame:
-    """BODY, reg, is_write_only, is_read_only."""
-    return live.select(*BODY, "reg", ((F.col("writes") > 0) & (F.col("reads") == 0)).alias("is_write_only"), ((F.col("reads") > 0) & (F.col("writes") == 0)).alias("is_read_only"))
+    """BODY, reg, is_unused, is_write_only, is_read_only; only registers that some instruction names have a row."""
+    return live.select(*BODY, "reg", ((F.col("writes") == 0) & (F.col("reads") == 0)).alias("is_unused"), ((F.col("writes") > 0) & (F.col("reads") == 0)).alias("is_write_only"), ((F.col("reads") > 0) & (F.col("writes") == 0)).alias("is_read_only"))
 
 
 def bigrams(code: DataFrame, top: int = 15, category: str = "category") -> DataFrame:

@@ -6,6 +6,10 @@ cycle ends; each round is one join.  `closure_sql` is the same as one recursive
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +18,16 @@ from .model import Model
 
 def level(df: DataFrame) -> DataFrame:
     """The rows of one round, without their lineage: the plans of many rounds within each other grow too large."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="bytelens-checkpoints-")
+            atexit.register(shutil.rmtree, folder, True)
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
 
 
 def parents(m: Model) -> DataFrame:

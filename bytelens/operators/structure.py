@@ -75,6 +75,14 @@ def with_method_returning(m: Model, type_name: str) -> DataFrame:
     return m.classes.join(users, "qualified_name", "left_semi")
 
 
+def lookup(m: Model, name: str) -> DataFrame:
+    """The classes that a name may stand for: those of that qualified or simple name, else all whose qualified name contains it."""
+    rows = m.classes.withColumn("exact", (F.col("qualified_name") == name) | (F.col("name") == name))
+    rows = rows.filter(F.col("exact") | F.col("qualified_name").contains(name))
+    best = rows.agg(F.max("exact").alias("best"))
+    return rows.crossJoin(F.broadcast(best)).filter(F.col("exact") == F.col("best")).drop("exact", "best")
+
+
 def member(rows: DataFrame, class_name: str, name: str) -> DataFrame:
     """The first member of that name: instance before static, then by trait order."""
     return rows.filter((F.col("class_name") == class_name) & (F.col("name") == name)).orderBy("is_static", "trait_index").limit(1)

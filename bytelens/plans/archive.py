@@ -148,7 +148,7 @@ def swf_class_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = class_blocks(spark, sf_dir)
     sizes = blocks.mapInArrow(rows_of(lambda b, _: C.body_rows(b), files.BODIES), files.BODIES)
     methods = model(blocks).methods.select("resource_id", "abc_id", F.col("body_index").cast("long").alias("body_index"), "class_name")
-    return sizes.join(methods, ["resource_id", "abc_id", "body_index"]).groupBy("class_name").agg((F.sum("code_size") > 0).alias("has_code"), F.count("*").alias("bodies"))
+    return sizes.join(methods, ["resource_id", "abc_id", "body_index"]).groupBy("class_name").agg(F.sum("code_size").alias("code_size"), F.count("*").alias("bodies"))
 
 
 def swf_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,6 +182,44 @@ ORACLES = {
         "SELECT class_name, member_name, CAST(3 * (rn - 1) + 2 AS BIGINT), mnemonic || ' ' || target || CASE WHEN mnemonic IN ('callproperty', 'constructprop') THEN ', 2' ELSE '' END FROM items"
     ),
     "swf_names": "SELECT qualified_name AS full_name, name, package FROM classes WHERE starts_with(package, 'crm.')",
-    "swf_class_sizes": "SELECT class_name, true AS has_code, count(DISTINCT member_name) AS bodies FROM items GROUP BY class_name",
+    # the operands' sizes follow from their places in the pools, and these from the order in which names come up
+    "swf_class_sizes": """
+      SELECT class_name, CAST(sum(size) AS BIGINT) AS code_size, count(*) AS bodies FROM (
+        SELECT i.class_name, i.l_orderkey, sum(4 + CASE WHEN s.at < 128 THEN 1 WHEN s.at < 16384 THEN 2 ELSE 3 END + CASE WHEN t.at < 128 THEN 1 WHEN t.at < 16384 THEN 2 ELSE 3 END + CASE WHEN i.mnemonic IN ('callproperty', 'constructprop') THEN 1 ELSE 0 END) AS size
+        FROM placed i JOIN strs s ON s.block = i.block AND s.word = i.p_name JOIN names t ON t.block = i.block AND t.word = i.target GROUP BY i.class_name, i.l_orderkey
+      ) GROUP BY class_name""",
+    "swf_decompile": (
+        "SELECT package, name, 'package ' || package || chr(10) || '{' || chr(10) || '    import ' || super_qualified || ';' || chr(10) || chr(10) || '    public class ' || name || ' extends ' || super_name || ' implements ' || iface || chr(10) "
+        "|| '    {' || chr(10) || '        public function ' || name || '()' || chr(10) || '        {' || chr(10) || '            super();' || chr(10) || '        }' || chr(10) || coalesce(body, '') || '    }' || chr(10) || '}' || chr(10) AS source "
+        "FROM classes LEFT JOIN (SELECT m.class_name, string_agg(chr(10) || '        public function ' || m.name || '(_arg_1:' || param || '):' || coalesce(return_type, '*') || chr(10) || '        {' || chr(10) || coalesce(lines, '') || '        }' || chr(10), '' ORDER BY method_index) AS body "
+        "FROM methods m LEFT JOIN (SELECT l_orderkey, string_agg('            \"' || p_name || '\".' || target || ' = ' || qty || ';' || chr(10), '' ORDER BY rn) AS lines FROM items WHERE mnemonic = 'setproperty' GROUP BY l_orderkey) s ON s.l_orderkey = m.method_index GROUP BY m.class_name) b "
+        "ON b.class_name = qualified_name WHERE iface IS NOT NULL"
+    ),
     "swf_roundtrip": f"SELECT DISTINCT c_custkey // {CLASSES_PER_BLOCK} AS block, true AS same FROM customer",
 }
+POOLS = f""", placed AS (
+  SELECT i.*, o_custkey, o_custkey // {CLASSES_PER_BLOCK} AS block FROM items i JOIN orders ON o_orderkey = l_orderkey
+), words AS (
+  SELECT block, o_custkey AS a, l_orderkey AS b, 0 AS c, rn AS d, 0 AS e, target AS word, true AS is_name FROM placed
+  UNION ALL SELECT block, o_custkey, l_orderkey, 0, rn, 1, p_name, false FROM placed
+  UNION ALL SELECT o_custkey // {CLASSES_PER_BLOCK}, o_custkey, method_index, 1, 0, 0, param, true FROM methods JOIN orders ON o_orderkey = method_index
+  UNION ALL SELECT o_custkey // {CLASSES_PER_BLOCK}, o_custkey, method_index, 1, 0, 1, return_type, true FROM methods JOIN orders ON o_orderkey = method_index WHERE return_type IS NOT NULL
+  UNION ALL SELECT o_custkey // {CLASSES_PER_BLOCK}, o_custkey, method_index, 1, 0, 2, name, true FROM methods JOIN orders ON o_orderkey = method_index
+), strs AS (
+  SELECT block, word, row_number() OVER (PARTITION BY block ORDER BY first) AS at FROM (SELECT block, word, min(ROW(a, b, c, d, e)) AS first FROM words GROUP BY block, word)
+), names AS (
+  SELECT block, word, row_number() OVER (PARTITION BY block ORDER BY first) AS at FROM (SELECT block, word, min(ROW(a, b, c, d, e)) AS first FROM words WHERE is_name GROUP BY block, word)
+)"""
+ORACLES["swf_class_sizes"] = f"{POOLS} {ORACLES['swf_class_sizes']}"
+#: Follows the numbered blocks of the users' programs; a purchase goes on or back to the start, any other end leaves.
+LOOPS = f""", ends AS (
+  SELECT user_id, min(block) FILTER (WHERE last <> 'purchase') AS first_exit, max(block) FILTER (WHERE last <> 'purchase') AS last_exit FROM blocks GROUP BY user_id
+), ranked AS (
+  SELECT user_id, user_id // {USERS_PER_BLOCK} AS resource_id, row_number() OVER (PARTITION BY user_id // {USERS_PER_BLOCK} ORDER BY user_id) - 1 AS body_index FROM ends
+)
+SELECT resource_id, body_index, CAST(block AS BIGINT) AS block, CAST(CASE WHEN block > 0 AND (first_exit IS NULL OR block <= first_exit) THEN block - 1 ELSE block END AS BIGINT) AS idom,
+  CAST(CASE WHEN first_exit IS NULL THEN -1 WHEN last <> 'purchase' THEN block WHEN block < first_exit THEN block + 1 WHEN last_exit > block THEN -1 ELSE 0 END AS BIGINT) AS ipostdom,
+  CAST(CASE WHEN first_exit IS NULL OR block < first_exit THEN 0 END AS BIGINT) AS loop_header, CAST(NULL AS BIGINT) AS loop_parent
+FROM blocks JOIN ends USING (user_id) JOIN ranked USING (user_id)
+UNION ALL SELECT resource_id, n + k, 0, 0, 0, NULL, NULL FROM (SELECT resource_id, count(*) AS n FROM ranked GROUP BY resource_id), (VALUES (0), (1), (2)) t(k)
+"""

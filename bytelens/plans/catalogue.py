@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import fixed
 from ..operators import calls, classgraph, fields, flow, inheritance, references, strings, structure
 from ..operators.model import Model
-from . import archive, bridge
+from . import archive, bridge, movies
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -425,6 +425,70 @@ def pkg_group(m):
     return classgraph.packages(m).select("package", text("classes").alias("classes"), "class_count")
 
 
+@over_model(
+    "SELECT 'class' AS kind, q AS class_name, NULL AS method_name FROM (SELECT DISTINCT qualified_name AS q, name FROM classes) WHERE q NOT IN (SELECT target FROM refs WHERE target IS NOT NULL) AND name NOT IN (SELECT target FROM refs WHERE target IS NOT NULL) "
+    "AND q NOT IN (SELECT super_qualified FROM classes WHERE super_name <> 'Object') AND name NOT IN (SELECT super_qualified FROM classes WHERE super_name <> 'Object') "
+    "UNION ALL SELECT 'method', class_name, name FROM methods WHERE name NOT IN (SELECT target FROM edges)"
+)
+def ded_all(m):
+    return classgraph.dead_code(m)
+
+
+@over_model("SELECT package, string_agg(name, ',' ORDER BY name) AS classes, count(*) AS class_count FROM classes WHERE package = 'geo.asia' GROUP BY package")
+def pkg_lookup(m):
+    return classgraph.package(m, "geo.asia").select("package", text("classes").alias("classes"), "class_count")
+
+
+@over_model("SELECT name FROM classes UNION SELECT qualified_name FROM classes")
+def clg_names(m):
+    return classgraph.class_names(m)
+
+
+@over_model("SELECT qualified_name FROM classes WHERE contains(qualified_name, 'sia.NATION_1')")
+def flt_lookup(m):
+    return structure.lookup(m, "sia.NATION_1").select("qualified_name")
+
+
+@over_model("SELECT class_name, name, return_type, param FROM methods WHERE method_index = (SELECT min(method_index) FROM methods)")
+def flt_get_method(m):
+    first = m.methods.orderBy("method_index").select("class_name", "name").first()
+    return structure.member(m.methods, first.class_name, first.name).select("class_name", "name", "return_type", F.get("param_types", F.lit(0)).alias("param"))
+
+
+@over_model("SELECT class_name, name, type_name FROM fields WHERE class_name = (SELECT min(class_name) FROM fields) AND name = (SELECT min(name) FROM fields WHERE class_name = (SELECT min(class_name) FROM fields)) ORDER BY type_name LIMIT 1")
+def flt_get_field(m):
+    first = m.fields.orderBy("class_name", "name").select("class_name", "name").first()
+    found = structure.member(m.fields.orderBy("type_name").withColumn("trait_index", F.dense_rank().over(Window.partitionBy("class_name", "name").orderBy("type_name"))), first.class_name, first.name)
+    return found.select("class_name", "name", "type_name")
+
+
+@over_model("SELECT CASE WHEN name = 'ASIA' THEN 'geo.ASIA' END AS key FROM classes WHERE qualified_name = 'geo.ASIA'")
+def inh_resolve(m):
+    return inheritance.resolve(m, "ASIA")
+
+
+@over_model(
+    "SELECT repeat('  ', d) || q AS line FROM (SELECT qualified_name AS q, 1 AS d FROM classes WHERE super_qualified = 'geo.ASIA' "
+    "UNION ALL SELECT c.qualified_name, 2 FROM classes c JOIN classes p ON c.super_qualified = p.qualified_name WHERE p.super_qualified = 'geo.ASIA')"
+)
+def inh_tree(m):
+    return inheritance.tree_lines(m, "geo.ASIA").select("line")
+
+
+@over_model("SELECT class_name AS source_class, class_name || '.' || member_name AS source_member, target FROM items WHERE mnemonic IN ('callproperty', 'constructprop') AND target = (SELECT min(p_type) FROM part)")
+def ca_for_target(m):
+    least = m.code.filter("mnemonic = 'callproperty'").agg(F.min("target")).first()[0]
+    return calls.observations_for(calls.const_args(m), least).select("source_class", "source_member", "target")
+
+
+@over_model("SELECT min(class_name) AS key FROM acc")
+def fld_resolve(m):
+    acc = fields.accesses(m)
+    keys = acc.select(F.col("class_name").alias("key"), F.lit(0).alias("first_seq")).distinct()
+    least = acc.agg(F.min("class_name")).first()[0]
+    return fields.resolve_key(keys, least.split(".", 1)[1]).select("key")
+
+
 # --- sequences ----------------------------------------------------------------------------------
 
 
@@ -465,6 +529,16 @@ def liv_registers(e):
     return flow.liveness(rows).select(F.col("body_index").alias("user_id"), "reg", "reads", "writes", "first_write", "last_read")
 
 
+@over_events(
+    "SELECT user_id, event_type AS reg, false AS is_unused, count(*) FILTER (WHERE seq % 2 = 1) > 0 AND count(*) FILTER (WHERE seq % 2 = 0) = 0 AS is_write_only, "
+    "count(*) FILTER (WHERE seq % 2 = 0) > 0 AND count(*) FILTER (WHERE seq % 2 = 1) = 0 AS is_read_only FROM events_seq GROUP BY user_id, event_type"
+)
+def liv_use(e):
+    even = F.col("seq") % 2 == 0
+    rows = e.select("resource_id", "abc_id", "body_index", "seq", F.col("seq").alias("offset"), F.col("event_type").alias("reg"), even.alias("is_read"), (~even).alias("is_write"))
+    return flow.register_use(flow.liveness(rows)).select(F.col("body_index").alias("user_id"), "reg", "is_unused", "is_write_only", "is_read_only")
+
+
 def event_program(e: DataFrame) -> DataFrame:
     """Events as a program: `error` returns, `purchase` jumps back to the body's first instruction."""
     name = F.when(F.col("event_type") == "error", "returnvoid").when(F.col("event_type") == "purchase", "iftrue").otherwise("nop")
@@ -510,4 +584,7 @@ def cpx_methods(e):
 
 QUERIES.update(archive.QUERIES)
 ORACLES.update({name: f"WITH {bridge.SQL.strip()} {sql}" for name, sql in archive.ORACLES.items()})
+QUERIES.update(movies.QUERIES)
+ORACLES.update({name: f"WITH {bridge.SQL.strip()} {sql}" for name, sql in movies.ORACLES.items()})
+ORACLES["swf_loops"] = f"WITH {bridge.SQL.strip()} {BLOCKS} {archive.LOOPS}"
 ORACLES["swf_flow"] = ORACLES["cpx_methods"].replace("SELECT b.user_id, count(*) AS n_blocks, coalesce(max(e.n), 0) AS n_edges,", "SELECT b.user_id, count(*) AS n_blocks,")

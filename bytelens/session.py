@@ -88,9 +88,10 @@ class Workspace:
     def class_summaries(self) -> DataFrame:
         """One row a class: its place, names, superclass and number of traits."""
         m = self.model
-        traits = m.fields.select("class_name").unionByName(m.methods.select("class_name")).groupBy("class_name").agg(F.count("*").alias("trait_count"))
-        rows = m.classes.join(traits, F.col("qualified_name") == F.col("class_name"), "left")
-        return rows.select("class_idx", "name", "package", F.col("qualified_name").alias("full_name"), F.col("super_qualified").alias("super"), "is_interface", F.coalesce("trait_count", F.lit(0)).alias("trait_count"))
+        key = ["resource_id", "abc_id", "class_name"]
+        traits = m.fields.select(*key).unionByName(m.methods.select(*key)).groupBy(*key).agg(F.count("*").alias("trait_count"))
+        rows = m.classes.withColumn("class_name", F.col("qualified_name")).join(traits, key, "left")
+        return rows.select("resource_id", "abc_id", "class_idx", "name", "package", F.col("qualified_name").alias("full_name"), F.col("super_qualified").alias("super"), "is_interface", F.coalesce("trait_count", F.lit(0)).alias("trait_count"))
 
     # indexes
 
@@ -115,15 +116,15 @@ class Workspace:
     def string_usages(self) -> DataFrame:
         return strings.usages(self.model)
 
-    def _class_key(self, names: DataFrame, name: str) -> str:
-        """The qualified name that `name` stands for among the distinct values of a column."""
-        hit = names.toDF("key").distinct().filter((F.col("key") == name) | F.col("key").endswith("." + name))
+    def _class_key(self, name: str) -> str:
+        """The qualified name of the loaded class that `name` stands for."""
+        hit = self.model.classes.select(F.col("qualified_name").alias("key")).filter((F.col("key") == name) | F.col("key").endswith("." + name)).distinct()
         first = hit.orderBy((F.col("key") != name).cast("int"), "key").first()
         return first.key if first else name
 
     def strings_in_class(self, name: str) -> DataFrame:
         rows = strings.in_class(self.model)
-        return rows.filter(F.col("class_name") == self._class_key(rows.select("class_name"), name)).select("string")
+        return rows.filter(F.col("class_name") == self._class_key(name)).select("string")
 
     def classes_using_string(self, text: str) -> DataFrame:
         return strings.classes_using(self.model).filter(F.col("string") == text).select("class_name")
@@ -141,19 +142,36 @@ class Workspace:
         return references.instantiators(self.references, name)
 
     def field_writers(self, class_name: str, field: str) -> DataFrame:
-        key = self._class_key(self.accesses.select("class_name"), class_name)
+        key = self._class_key(class_name)
         return fields.writers(self.accesses.filter((F.col("class_name") == key) & (F.col("field_name") == field)))
 
     def field_readers(self, class_name: str, field: str) -> DataFrame:
-        key = self._class_key(self.accesses.select("class_name"), class_name)
+        key = self._class_key(class_name)
         return fields.readers(self.accesses.filter((F.col("class_name") == key) & (F.col("field_name") == field)))
 
+    def fields_read_by(self, class_name: str, method: str) -> DataFrame:
+        """field_name of the fields that a method reads."""
+        return self._touched(class_name, method, "read")
+
+    def fields_written_by(self, class_name: str, method: str) -> DataFrame:
+        return self._touched(class_name, method, "written")
+
+    def _touched(self, class_name: str, method: str, how: str) -> DataFrame:
+        rows = fields.by_method(self.accesses.filter(F.col("class_name") == self._class_key(class_name)))
+        return rows.filter(F.col("method_name") == method).select(F.explode(how).alias("field_name"))
+
+    def constructor_reads(self, class_name: str) -> DataFrame:
+        return fields.constructor_reads(self.accesses.filter(F.col("class_name") == self._class_key(class_name)))
+
+    def field_access_count(self, class_name: str, field: str) -> int:
+        return self.accesses.filter((F.col("class_name") == self._class_key(class_name)) & (F.col("field_name") == field)).count()
+
     def field_summary(self, class_name: str) -> DataFrame:
-        key = self._class_key(self.accesses.select("class_name"), class_name)
+        key = self._class_key(class_name)
         return fields.summary(self.accesses.filter(F.col("class_name") == key))
 
     def constructor_assignments(self, class_name: str) -> DataFrame:
-        key = self._class_key(self.accesses.select("class_name"), class_name)
+        key = self._class_key(class_name)
         return fields.constructor_assignments(self.accesses.filter(F.col("class_name") == key))
 
     def callers(self, target: str) -> DataFrame:
@@ -182,6 +200,35 @@ class Workspace:
         rows = inheritance.implementors(self.model).filter((F.col("interface") == interface) | F.col("interface").endswith("." + interface))
         return rows.orderBy((F.col("interface") != interface).cast("int"), "interface").limit(1)
 
+    def get_superclass(self, name: str) -> DataFrame:
+        """parent of the class that `name` stands for."""
+        return inheritance.parents(self.model).join(inheritance.resolve(self.model, name), F.col("name") == F.col("key")).select("parent")
+
+    def get_subclasses(self, name: str) -> DataFrame:
+        """name of the direct subclasses, in order."""
+        return inheritance.child_edges(self.model).join(inheritance.resolve(self.model, name), F.col("parent") == F.col("key")).select("name").orderBy("name")
+
+    def lookup(self, name: str):
+        """The class row that `name` stands for; a name of several classes raises a ValueError that lists some of them."""
+        found = structure.lookup(self.model, name).orderBy("qualified_name").limit(20).collect()
+        if len(found) > 1:
+            raise ValueError(f"ambiguous: {', '.join(r.qualified_name for r in found)}")
+        if not found:
+            raise KeyError(name)
+        return found[0]
+
+    def summary(self) -> dict[str, int]:
+        """Counts of what is loaded."""
+        m = self.model
+        kinds = m.classes.agg(F.count("*").alias("classes"), F.count_if("is_interface").alias("interfaces"), F.count_distinct("package").alias("packages")).first()
+        return kinds.asDict() | {"resources": self.resources.count(), "fields": m.fields.count(), "methods": m.methods.count(), "strings": m.pool_strings.count()}
+
+    def dead_code(self) -> DataFrame:
+        return classgraph.dead_code(self.model, self.references, self.edges)
+
+    def observations_for(self, target: str) -> DataFrame:
+        return calls.observations_for(self.const_args, target)
+
     def roots(self) -> DataFrame:
         return inheritance.roots(self.model)
 
@@ -236,6 +283,38 @@ class Workspace:
 
         return classes(self.files.blocks)
 
+    @cached_property
+    def _sources(self) -> dict[tuple, str]:
+        return {}
+
+    def decompile_class(self, name: str) -> str:
+        """The source of one class; kept for later requests."""
+        return self._source(name, None)
+
+    def decompile_method(self, class_name: str, method: str) -> str:
+        """The source of one method; kept for later requests."""
+        return self._source(class_name, method)
+
+    def decompile_scripts(self) -> DataFrame:
+        from .kernels.decompile import scripts
+
+        return scripts(self.files.blocks)
+
+    def _source(self, name: str, method: str | None) -> str:
+        from .kernels import decompile as D
+
+        if (name, method) not in self._sources:
+            c = self.lookup(name)
+            own = self.files.blocks.filter((F.col("resource_id") == c.resource_id) & (F.col("abc_id") == c.abc_id))
+            if method is None:
+                row = D.classes(own).filter((F.col("name") == c["name"]) & (F.col("package") == c.package)).select("source").first()
+            else:
+                row = D.methods(own).filter((F.col("class_name") == c.qualified_name) & (F.col("method_name") == method)).select("source").first()
+            if row is None:
+                raise KeyError((name, method))
+            self._sources[name, method] = row.source
+        return self._sources[name, method]
+
     def add(self, *paths: str) -> Workspace:
         """A workspace with more files; resources are numbered anew by path."""
         known = [r.path for r in self.files.resources.select("path").collect()]

@@ -25,9 +25,14 @@ ROWS = "resource_id long, abc_id int, kind string, idx long, ints array<bigint>,
 BODIES = "resource_id long, abc_id int, body_index long, method_index long, code_size long, max_stack long, local_count long, exception_count long"
 HANDLERS = "resource_id long, abc_id int, body_index long, seq long, from_offset long, to_offset long, target long, exc_type string, var_name string"
 NAMES = "resource_id long, abc_id int, idx long, name string, package string, full_name string, kind int, ns_kind int"
+SYMBOL_ROWS = "resource_id long, tag_seq int, pos int, char_id int, class_name string"
 STRINGS = "resource_id long, abc_id int, idx long, string string"
 #: Classes of one block keep their order under this many to a block, blocks under as many to a file.
 LOAD_STEP = 1 << 20
+#: Numbered files beyond so many repeat load orders, which then breaks no tie; hashed ids of streams do so anyway.
+FILES = 1 << 22
+#: The paths of so many files at most are sent to every task.
+FEW_FILES = 200_000
 ROWS_AT_ONCE = 4096
 
 
@@ -106,7 +111,7 @@ def rows_of(make: Callable[[B.Block, int], Iterator[dict]], ddl: str):
                         block = B.parse(r["data"])
                     except BytelensError:
                         continue
-                    base = (r["resource_id"] * LOAD_STEP + r["abc_id"]) * LOAD_STEP
+                    base = (r["resource_id"] % FILES * LOAD_STEP + r["abc_id"]) * LOAD_STEP
                     for row in make(block, base):
                         yield key | row
 
@@ -127,6 +132,16 @@ def errors_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from batched(rows(), "resource_id long, abc_id int, error string")
 
 
+def symbols_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows():
+        for batch in batches:
+            for r in batch.to_pylist():
+                for pos, (char, name) in enumerate(container.symbols(r["payload"] or b"")):
+                    yield {"resource_id": r["resource_id"], "tag_seq": r["tag_seq"], "pos": pos, "char_id": char, "class_name": name}
+
+    yield from batched(rows(), SYMBOL_ROWS)
+
+
 def raw_rows(block: B.Block, _: int) -> Iterator[dict]:
     for kind, idx, ints, s, d, raw in B.to_rows(block):
         yield {"kind": kind, "idx": idx, "ints": ints, "s": s, "d": d, "raw": raw}
@@ -161,11 +176,13 @@ class Files:
 
     @classmethod
     def at(cls, spark: SparkSession, *paths: str) -> Files:
-        """Files, folders or globs; resources are numbered by path."""
+        """Files, folders or globs; resources are numbered by path, or, if there are very many, have the path's hash."""
         found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
-        # numbers need the paths alone; the contents don't go through the sort
-        ids = found.select("path").withColumn("resource_id", (F.row_number().over(Window.orderBy("path")) - 1).cast("long"))
-        return cls(found.select("path", "content").join(ids, "path"))
+        paths = found.select("path")
+        if paths.count() <= FEW_FILES:  # numbers need the paths alone; the contents aren't moved
+            ids = paths.withColumn("resource_id", (F.row_number().over(Window.orderBy("path")) - 1).cast("long"))
+            return cls(found.select("path", "content").join(F.broadcast(ids), "path"))
+        return cls(found.select(F.xxhash64("path").alias("resource_id"), "path", "content"))
 
     @classmethod
     def of_bytes(cls, spark: SparkSession, *contents: tuple[str, bytes]) -> Files:
@@ -208,11 +225,8 @@ class Files:
     @property
     def symbols(self) -> DataFrame:
         """Characters and their classes; character 0 is the document's."""
-        split = lambda s: [(c, n) for c, n in container.symbols(bytes(s or b""))]
-        flat = F.udf(split, "array<struct<char_id:int,class_name:string>>")
-        rows = self.tags.filter(F.col("tag_type") == container.SYMBOLS)
-        rows = rows.select("resource_id", "tag_seq", F.posexplode(flat("payload")).alias("pos", "x"))
-        return rows.select("resource_id", "tag_seq", "pos", "x.char_id", "x.class_name", (F.col("x.char_id") == 0).alias("is_document"))
+        rows = self.tags.filter(F.col("tag_type") == container.SYMBOLS).select("resource_id", "tag_seq", "payload")
+        return rows.mapInArrow(symbols_of, SYMBOL_ROWS).withColumn("is_document", F.col("char_id") == 0)
 
     def model(self) -> Model:
         return Model(

@@ -13,7 +13,7 @@ BINARY_FILE = "path string, modificationTime timestamp, length long, content bin
 def content(spark: SparkSession, path: str, files_at_once: int = 1000) -> DataFrame:
     """resource_id (a hash of the path), path, content of the files that arrive in a folder."""
     stream = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("maxFilesPerTrigger", files_at_once).load(path)
-    return stream.select(F.abs(F.xxhash64("path") % (1 << 20)).alias("resource_id"), "path", "content")
+    return stream.select(F.xxhash64("path").alias("resource_id"), "path", "content")
 
 
 def tables(spark: SparkSession, path: str, files_at_once: int = 1000) -> files.Files:

@@ -175,3 +175,40 @@ def test_bad_code_is_a_comment():
     assert D.method_body(b, b.bodies[0].method) == ""
     b.methods.clear()
     assert D.class_source(b, 2)
+
+
+def calls_of(b, name):
+    return [("getlocal_0"), ("callpropvoid", b.qname(name), 0)]
+
+
+@pytest.mark.parametrize(
+    "body,want",
+    [
+        # while (a) { if (b) break; f(); } g();
+        ([":top", "getlocal_1", ("iffalse", ":end"), "getlocal_2", ("iftrue", ":end"), "F", ("jump", ":top"), ":end", "G", "returnvoid"], "{ while (_loc1_) { if (_loc2_) { break; } f(); } g(); }"),
+        # while (a) { if (b) continue; f(); } g();
+        ([":top", "getlocal_1", ("iffalse", ":end"), "getlocal_2", ("iftrue", ":top"), "F", ("jump", ":top"), ":end", "G", "returnvoid"], "{ while (_loc1_) { if (_loc2_) { } else { f(); } } g(); }"),
+        # while (a) { if (b) { f(); break; } g(); } g();
+        ([":top", "getlocal_1", ("iffalse", ":end"), "getlocal_2", ("iffalse", ":go"), "F", ("jump", ":end"), ":go", "G", ("jump", ":top"), ":end", "G", "returnvoid"], "{ while (_loc1_) { if (_loc2_) { f(); break; } g(); } g(); }"),
+        # while (a) { if (b) { f(); } else if (c) { break; } g(); } g();
+        (
+            [":top", "getlocal_1", ("iffalse", ":end"), "getlocal_2", ("iffalse", ":else"), "F", ("jump", ":meet"), ":else", "getlocal_3", ("iftrue", ":end"), ":meet", "G", ("jump", ":top"), ":end", "G", "returnvoid"],
+            "{ while (_loc1_) { if (_loc2_) { f(); } else if (_loc3_) { break; } g(); } g(); }",
+        ),
+    ],
+)
+def test_loops_are_left_where_they_are_left(body, want):
+    b = BlockBuilder()
+    steps = []
+    for x in body:
+        steps += calls_of(b, x.lower()) if x in ("F", "G") else [x]
+    b.member("run", assemble(*steps))
+    b.klass("T")
+    got = " ".join(show(D.method_tree(B.parse(b.build()), 0)).split()).replace("this.", "").replace(" return; }", " }")
+    assert got == want
+
+
+def test_written_paths_stay_inside(tmp_path):
+    for folders, name in ((["..", ".."], "x"), (["/etc"], "passwd"), ([], "../../x"), (["a", ""], ".."), (["a"], "b/c")):
+        path = D.contained(str(tmp_path), folders, name)
+        assert path.startswith(str(tmp_path)) and ".." not in path[len(str(tmp_path)) :].replace("_..", "").split("/")
