@@ -2,6 +2,8 @@
 
 Null or empty texts have size 0, a null source is a source of its own (the last), an empty table
 gives an empty result, repeated rows are each a document. A source without words gets target 0.
+Documents are put in order by a seeded digest of the doc_id, null ones by their text's digest, then
+by size; which of several equal rows is taken once more is arbitrary.
 """
 
 from __future__ import annotations
@@ -13,28 +15,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import prepare, table
+from .scratch import few, prepare, table
 from .textops import NOT_SPACE, column, part, slices, utf8, word_counts
 
 MAX_EPOCHS = 3
 #: Fine buckets of the seeded order within a source: hexadecimal digits of the order key.
 BUCKET_DIGITS = 3
-SIZES = "doc_id long, source string, size long"
+SIZES = "doc_id long, source string, name string, size long"
 
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches with `_size`, the number of words of `_text`, instead of `_text`."""
     for batch in batches:
-        data, offsets = utf8(column(batch, "text"))
+        data, offsets = utf8(column(batch, "_text"))
         size = np.zeros(batch.num_rows, np.int64)
         for i, j in slices(offsets):
             size[i:j] = word_counts(*part(data, offsets, i, j), NOT_SPACE)
-        yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "source"), pa.array(size)], names=["doc_id", "source", "size"])
+        rest = [n for n in batch.schema.names if n != "_text"]
+        yield pa.RecordBatch.from_arrays([*(column(batch, n) for n in rest), pa.array(size)], names=[*rest, "_size"])
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source and the number of words of every whole text."""
+def sized_rows(docs: DataFrame, *keep: str) -> DataFrame:
+    """_source, _name (what orders the row) and _size of every whole text, and the columns to keep."""
     prepare(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")).mapInArrow(count_words, SIZES)
+    text, doc_id = F.col("text").cast("string"), F.col("doc_id").cast("string")
+    name = F.coalesce(doc_id, F.concat(F.lit("null:"), F.md5(F.coalesce(text, F.lit("")))))
+    rows = docs.select(*keep, F.col("source").cast("string").alias("_source"), name.alias("_name"), text.alias("_text"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
+    return rows.mapInArrow(count_words, f"{kinds}, _size long")
+
+
+def sizes(docs: DataFrame) -> DataFrame:
+    """doc_id, source, name and the number of words of every whole text."""
+    rows = sized_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text"), "doc_id")
+    return rows.select("doc_id", F.col("_source").alias("source"), F.col("_name").alias("name"), F.col("_size").alias("size"))
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -62,38 +76,66 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs:
     return per.select("source", "source_size", F.when(full, F.col("cap").cast("double")).otherwise(level * F.col("w")).alias("target"))
 
 
-def order_key(seed: str):
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+def order_key(name, seed: str):
+    return F.md5(F.concat(F.lit(f"{seed}:"), name))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = MAX_EPOCHS, seed: str = "mix") -> DataFrame:
-    """Per document: size, its source's size and target, and the words taken, repeats counted.
-
-    Every document is taken floor(target / source size) times; then documents in a seeded order
-    are taken once more until the rest of the target is met to the nearest document.  The order is
-    cut by fine buckets first, so that only one bucket of a source is sorted.
-    """
-    sized = table(sizes(docs))
-    aim = targets(sized, weights, max_epochs)
-    rows = sized.withColumn("key", order_key(seed)).withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
+def bucket_plan(sized: DataFrame, aim: DataFrame, seed: str) -> DataFrame:
+    """source, bucket and what is taken of it: the whole repeats, the rest, and the words in and before the bucket."""
+    rows = sized.withColumn("bucket", F.substring(order_key(F.col("name"), seed), 1, BUCKET_DIGITS))
     buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.withColumn("before", F.coalesce(F.sum("in_bucket").over(before), F.lit(0)))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    plan = (
+    return (
         buckets.alias("b")
         .join(aim.alias("a"), F.col("b.source").eqNullSafe(F.col("a.source")))
         .select("b.source", "bucket", "in_bucket", "before", "source_size", "target", whole.cast("long").alias("whole"))
         .withColumn("extra", F.col("target") - F.col("whole") * F.col("source_size"))
     )
-    rows = (
-        rows.alias("r")
-        .join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.bucket") == F.col("p.bucket")))
-        .select("doc_id", "r.source", "r.bucket", "key", "size", "source_size", "target", "whole", "extra", "before", "in_bucket")
-    )
-    cut = (F.col("before") < F.col("extra")) & (F.col("before") + F.col("in_bucket") > F.col("extra"))
-    inner = Window.partitionBy("source", "bucket").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
-    clear = rows.filter(~cut).withColumn("more", (F.col("before") + F.col("in_bucket") <= F.col("extra")).cast("long"))
-    edge = rows.filter(cut).withColumn("passed", F.col("before") + F.coalesce(F.sum("size").over(inner), F.lit(0)))
-    edge = edge.withColumn("more", (2 * F.col("passed") + F.col("size") < 2 * F.col("extra")).cast("long")).drop("passed")
-    return clear.unionByName(edge).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * (F.col("whole") + F.col("more"))).alias("taken"))
+
+
+def taken(rows: DataFrame, plan: DataFrame, seed: str) -> DataFrame:
+    """`rows` (_source, _name, _size, ...) with source_size, target and _repeats; of a source, only rows of one bucket are moved."""
+    plan = plan.select(F.col("source").alias("_s"), F.col("bucket").alias("_b"), *(F.col(c).alias(f"_{c}") for c in ("in_bucket", "before", "source_size", "target", "whole", "extra")))
+    key = order_key(F.col("_name"), seed)
+    rows = rows.withColumn("_key", key).join(few(table(plan)), F.col("_source").eqNullSafe(F.col("_s")) & (F.substring(key, 1, BUCKET_DIGITS) == F.col("_b")))
+    cut = (F.col("_before") < F.col("_extra")) & (F.col("_before") + F.col("_in_bucket") > F.col("_extra"))
+    inner = Window.partitionBy("_source", "_b").orderBy("_key", "_size").rowsBetween(Window.unboundedPreceding, -1)
+    clear = rows.filter(~cut).withColumn("_more", ((F.col("_extra") > 0) & (F.col("_before") + F.col("_in_bucket") <= F.col("_extra"))).cast("long"))
+    edge = rows.filter(cut).withColumn("_passed", F.col("_before") + F.coalesce(F.sum("_size").over(inner), F.lit(0)))
+    edge = edge.withColumn("_more", (2 * F.col("_passed") + F.col("_size") < 2 * F.col("_extra")).cast("long")).drop("_passed")
+    return clear.unionByName(edge).withColumn("_repeats", F.col("_whole") + F.col("_more"))
+
+
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = MAX_EPOCHS, seed: str = "mix") -> DataFrame:
+    """Per document: size, its source's size and target, and the words taken, repeats counted.
+
+    Every document is taken floor(target / source size) times; then documents in a seeded order
+    are taken once more until the rest of the target is met to the nearest document.  The order is
+    cut by fine buckets first, so that only one bucket of a source is sorted.
+    """
+    sized = table(sizes(docs))
+    plan = bucket_plan(sized, targets(sized, weights, max_epochs), seed)
+    rows = taken(sized.select("doc_id", "source", F.col("source").alias("_source"), F.col("name").alias("_name"), F.col("size").alias("_size")), plan, seed)
+    return rows.select("doc_id", "source", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_repeats")).alias("taken"))
+
+
+def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = MAX_EPOCHS, seed: str = "mix") -> DataFrame:
+    """`docs` with size, source_size, target, taken and repeats, how often the mix takes the document (0 to `max_epochs`).
+
+    Columns of `docs` of these names are replaced.  `repeat_documents` makes the copies.
+    """
+    sized = table(sizes(docs))
+    plan = bucket_plan(sized, targets(sized, weights, max_epochs), seed)
+    names = [c for c in docs.columns if c.lower() not in ("size", "source_size", "target", "taken", "repeats")]
+    rows = taken(sized_rows(docs, *(F.col(c).alias(f"_c{i}") for i, c in enumerate(names))), plan, seed)
+    return rows.select(
+        *(F.col(f"_c{i}").alias(c) for i, c in enumerate(names)), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
+        (F.col("_size") * F.col("_repeats")).alias("taken"), F.col("_repeats").alias("repeats"),
+    )
+
+
+def repeat_documents(mixed: DataFrame) -> DataFrame:
+    """As many rows of every document as its `repeats`, numbered by `epoch` from 0."""
+    return mixed.filter("repeats > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("repeats") - 1)))

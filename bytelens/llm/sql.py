@@ -2,7 +2,7 @@
 
 OP10 = """
 WITH sized AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, ''))) AS name, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents
 ), per AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
 ), ranked AS (
@@ -19,7 +19,7 @@ WITH sized AS (
   SELECT source, source_size, target, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM aim
 ), placed AS (
   SELECT s.doc_id, s.size, p.source_size, p.target, p.whole, p.target - p.whole * p.source_size AS extra,
-    coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY md5('mix:' || coalesce(CAST(s.doc_id AS VARCHAR), 'null')), s.size
+    coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY md5('mix:' || s.name), s.size
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS passed
   FROM sized s JOIN parts p ON s.source IS NOT DISTINCT FROM p.source
 )

@@ -678,5 +678,9 @@ def test_mixing(docs, empty):
     for s in sizes:
         assert abs(taken[s] - aim[s]) <= max(size(r[1]) for r in rows if r[3] == s) / 2 + 1e-6
     assert mixing.mix_sources(empty).collect() == []
+    whole = mixing.mix_documents(docs.withColumn("taken", F.lit("clash"))).collect()
+    assert sorted(((r.doc_id, r.source, r.size, r.source_size, r.target, r.taken) for r in whole), key=repr) == sorted((tuple(r) for r in got), key=repr)
+    assert sorted((r.text or "" for r in whole)) == sorted(r[1] or "" for r in rows) and all(r.taken == r.size * r.repeats and 0 <= r.repeats <= 3 for r in whole)
+    assert mixing.repeat_documents(mixing.mix_documents(docs)).count() == sum(r.repeats for r in whole)
     blank = mixing.mix_sources(docs.filter("doc_id < 3")).collect()
     assert {r.taken for r in blank} == {0}
