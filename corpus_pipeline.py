@@ -29,8 +29,8 @@ def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes."""
-    return mixing.mix_sources(docs)
+    """The documents, with how often the mix takes each, and its words."""
+    return mixing.mix_documents(docs)
 
 
 STAGES = [
