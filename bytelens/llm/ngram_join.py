@@ -34,11 +34,13 @@ from .textops import NOT_SPACE, column, mix, part, shingles, slices, utf8
 
 SEED = 8
 #: Partners that an entity names at once, and how many times more in the next round.
-CLOSEST, MORE = 4, 8
+CLOSEST, MORE = 16, 8
 #: A block of a group has at most so many entities and 64-bit words of sketches.
 BLOCK, BLOCK_WORDS = 4096, 1 << 20
 #: Pairs compared at once.
 CELLS = 1 << 20
+#: Ranges of fragment keys whose groups are compared one after the other.
+PASSES = 2
 FRAGMENTS = 4
 #: Ranges of fragment keys that are grouped one after the other.
 RANGES = 4
@@ -69,10 +71,10 @@ def packed(bits: np.ndarray) -> np.ndarray:
 def sketch(s: np.ndarray) -> np.ndarray:
     """Bit i is the parity of the number of shingles that hash to i.
 
-    Sets that differ in d shingles differ in d bits at most.  There are about as many bits as
-    shingles, a power of two; the halves of a sketch, XORed, are the sketch with half the bits.
+    Sets that differ in d shingles differ in d bits at most.  There are two to four bits a shingle,
+    in all a power of two; the halves of a sketch, XORed, are the sketch with half the bits.
     """
-    return packed(parities(s, max(256, 1 << int(len(s) - 1).bit_length())))
+    return packed(parities(s, max(512, 1 << int(2 * len(s) - 1).bit_length())))
 
 
 def folded(sketches: np.ndarray, width: int) -> np.ndarray:
@@ -121,10 +123,16 @@ def near(n: np.ndarray, comp: np.ndarray, block: np.ndarray, sketches: list[np.n
                 ok &= np.minimum(ni[:, None], nj) * den >= np.maximum(ni[:, None], nj) * num
                 if p == q:
                     ok &= np.arange(a, a + len(i))[:, None] < np.arange(lo, hi)
-                bits = differing(x[a : a + step], y[lo:hi])
-                r, c = np.nonzero(ok & (bits.astype(np.int64) * (num + den) <= (ni[:, None] + nj) * (den - num)))
-                if len(r):
-                    yield i[r], j[c], bits[r, c]
+                most = (ni[:, None] + nj) * (den - num) // (num + den)
+                half = x.shape[1] // 2  # most pairs differ too much in half of their bits already
+                bits = differing(x[a : a + step, :half], y[lo:hi, :half])
+                r, c = np.nonzero(ok & (bits <= most))
+                for at in range(0, len(r), max(1, CELLS // half)):
+                    i_, j_ = r[at : at + max(1, CELLS // half)], c[at : at + max(1, CELLS // half)]
+                    all_bits = bits[i_, j_] + np.bitwise_count(x[a + i_, half:] ^ y[lo + j_, half:]).sum(axis=1, dtype=np.int32)
+                    near_ = all_bits <= most[i_, j_]
+                    if near_.any():
+                        yield i[i_[near_]], j[j_[near_]], all_bits[near_]
 
 
 def closest(ents: np.ndarray, comp: np.ndarray, found, most: int):
@@ -401,17 +409,22 @@ class Join:
 
     def named(self, groups: DataFrame, most: int) -> tuple[DataFrame, bool]:
         """Pairs of entities of different components that the sketches let pass, `most` an entity, and whether there are more."""
-        groups = groups.join(self.sketches.select("ent", "sketch"), "ent")
-        sizes = groups.groupBy("token").agg(F.count("*").alias("m"), F.sum(F.size("sketch")).alias("w"))
-        blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("w") / BLOCK_WORDS)).cast("int")
-        sizes = sizes.select("token", blocks.alias("blocks"))
-        own = F.pmod(F.xxhash64("ent"), F.col("blocks")).cast("int")
-        rows = groups.join(sizes, "token").withColumn("own", own)
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = rows.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "ent", "n", "comp", "sketch")
-        rows = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-        found = rows.mapInArrow(partners(self.num, self.den, most), "a long, an long, b long, bn long, bits int, more boolean")
-        found = table(found.groupBy("a", "an", "b", "bn", "bits").agg(F.max("more").alias("more")))
+        parts = []
+        for r in range(PASSES):  # the sketches of one range of the keys after the other are moved
+            rows = groups.filter(F.shiftright("token", 8).bitwiseAND(F.lit(PASSES - 1)) == r).join(self.sketches.select("ent", "sketch"), "ent")
+            sizes = rows.groupBy("token").agg(F.count("*").alias("m"), F.sum(F.size("sketch")).alias("w"))
+            blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("w") / BLOCK_WORDS)).cast("int")
+            rows = rows.join(sizes.select("token", blocks.alias("blocks")), "token").withColumn("own", F.pmod(F.xxhash64("ent"), F.col("blocks")).cast("int"))
+            rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            rows = rows.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "ent", "n", "comp", "sketch")
+            rows = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+            found = rows.mapInArrow(partners(self.num, self.den, most), "a long, an long, b long, bn long, bits int, more boolean")
+            parts.append(table(found.groupBy("a", "an", "b", "bn", "bits").agg(F.max("more").alias("more"))))
+            sweep(self.spark)
+        found = parts[0]
+        for part_ in parts[1:]:
+            found = found.unionByName(part_)
+        found = found.groupBy("a", "an", "b", "bn", "bits").agg(F.max("more").alias("more"))
         rank = F.row_number().over(Window.partitionBy("a").orderBy("bits", "b"))
         found = table(found.withColumn("rank", rank))
         more = not found.filter(F.col("more") | (F.col("rank") > most)).isEmpty()
