@@ -40,7 +40,7 @@ BLOCK, BLOCK_WORDS = 4096, 1 << 20
 #: Pairs compared at once.
 CELLS = 1 << 20
 #: Ranges of fragment keys whose groups are compared one after the other.
-PASSES = 2
+PASSES = 1
 FRAGMENTS = 4
 #: Ranges of fragment keys that are grouped one after the other.
 RANGES = 4
