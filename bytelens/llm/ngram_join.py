@@ -71,10 +71,10 @@ def packed(bits: np.ndarray) -> np.ndarray:
 def sketch(s: np.ndarray) -> np.ndarray:
     """Bit i is the parity of the number of shingles that hash to i.
 
-    Sets that differ in d shingles differ in d bits at most.  There are two to four bits a shingle,
-    in all a power of two; the halves of a sketch, XORed, are the sketch with half the bits.
+    Sets that differ in d shingles differ in d bits at most.  There are one to two bits a shingle,
+    512 at least, in all a power of two; the halves of a sketch, XORed, are the sketch with half the bits.
     """
-    return packed(parities(s, max(512, 1 << int(2 * len(s) - 1).bit_length())))
+    return packed(parities(s, max(512, 1 << int(len(s) - 1).bit_length())))
 
 
 def folded(sketches: np.ndarray, width: int) -> np.ndarray:
