@@ -29,13 +29,11 @@ def over_model(sql: str) -> Callable[[Callable[[Model], DataFrame]], None]:
 
 
 def over_texts(sql: str) -> Callable[[Callable[[DataFrame], DataFrame]], None]:
-    """Register a function of the bridged strings, and, with `_all`, of the whole string corpus."""
+    """Register a function of the whole string corpus."""
 
     def put(f: Callable[[DataFrame], DataFrame]) -> None:
         QUERIES[f.__name__] = lambda spark, sf_dir: f(bridge.texts(spark, sf_dir))
         ORACLES[f.__name__] = f"WITH {bridge.SQL.strip()} {sql}"
-        QUERIES[f"{f.__name__}_all"] = lambda spark, sf_dir: f(bridge.corpus(spark, sf_dir))
-        ORACLES[f"{f.__name__}_all"] = f"WITH {bridge.CORPUS_SQL.strip()} {sql}"
 
     return put
 
