@@ -33,14 +33,14 @@ from .scratch import aside, bitmap, discard, few, flag_twins, prepare, seen, swe
 from .textops import NOT_SPACE, column, mix, part, shingles, slices, utf8
 
 SEED = 8
+#: The bits of a sketch at least.
+SKETCH = 512
 #: Partners that an entity names at once, and how many times more in the next round.
 CLOSEST, MORE = 16, 8
 #: A block of a group has at most so many entities and 64-bit words of sketches.
 BLOCK, BLOCK_WORDS = 4096, 1 << 20
 #: Pairs compared at once.
 CELLS = 1 << 20
-#: Ranges of fragment keys whose groups are compared one after the other.
-PASSES = 1
 FRAGMENTS = 4
 #: Ranges of fragment keys that are grouped one after the other.
 RANGES = 4
@@ -72,9 +72,9 @@ def sketch(s: np.ndarray) -> np.ndarray:
     """Bit i is the parity of the number of shingles that hash to i.
 
     Sets that differ in d shingles differ in d bits at most.  There are one to two bits a shingle,
-    512 at least, in all a power of two; the halves of a sketch, XORed, are the sketch with half the bits.
+    `SKETCH` at least, in all a power of two; the halves of a sketch, XORed, are the sketch with half the bits.
     """
-    return packed(parities(s, max(512, 1 << int(len(s) - 1).bit_length())))
+    return packed(parities(s, max(SKETCH, 1 << int(len(s) - 1).bit_length())))
 
 
 def folded(sketches: np.ndarray, width: int) -> np.ndarray:
@@ -385,14 +385,12 @@ class Join:
         sweep(self.spark)
         return out
 
-    def alive(self, labels: DataFrame | None) -> DataFrame:
-        """The groups (token, ent, n, comp) that still hold more than one component."""
-        if labels is None:
+    def labelled_groups(self) -> DataFrame:
+        """The groups (token, ent, n, comp)."""
+        if self.found is None:
             return self.groups.withColumn("comp", F.col("ent"))
-        g = self.groups.join(labels.withColumnRenamed("node", "ent"), "ent", "left")
-        g = table(g.select("token", "ent", "n", F.coalesce("component", "ent").alias("comp")))
-        mixed = g.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("token")
-        return g.join(mixed, "token")
+        g = self.groups.join(self.found.withColumnRenamed("node", "ent"), "ent", "left")
+        return table(g.select("token", "ent", "n", F.coalesce("component", "ent").alias("comp")))
 
     def hub_pairs(self, groups: DataFrame) -> DataFrame:
         """Each entity with the hub of most of its groups.
@@ -407,27 +405,27 @@ class Join:
         best = met.groupBy("a", "an").agg(F.max(F.struct("m", "b", "bn")).alias("x"))
         return best.select("a", "an", F.col("x.b").alias("b"), F.col("x.bn").alias("bn"))
 
-    def named(self, groups: DataFrame, most: int) -> tuple[DataFrame, bool]:
-        """Pairs of entities of different components that the sketches let pass, `most` an entity, and whether there are more."""
-        parts = []
-        for r in range(PASSES):  # the sketches of one range of the keys after the other are moved
-            rows = groups.filter(F.shiftright("token", 8).bitwiseAND(F.lit(PASSES - 1)) == r).join(self.sketches.select("ent", "sketch"), "ent")
-            sizes = rows.groupBy("token").agg(F.count("*").alias("m"), F.sum(F.size("sketch")).alias("w"))
-            blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("w") / BLOCK_WORDS)).cast("int")
-            rows = rows.join(sizes.select("token", blocks.alias("blocks")), "token").withColumn("own", F.pmod(F.xxhash64("ent"), F.col("blocks")).cast("int"))
-            rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            rows = rows.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "ent", "n", "comp", "sketch")
-            rows = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-            found = rows.mapInArrow(partners(self.num, self.den, most), "a long, an long, b long, bn long, bits int, more boolean")
-            parts.append(table(found.groupBy("a", "an", "b", "bn", "bits").agg(F.max("more").alias("more"))))
-            sweep(self.spark)
-        found = parts[0]
-        for part_ in parts[1:]:
-            found = found.unionByName(part_)
+    def named(self, groups: DataFrame, most: int, open_: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """Pairs of entities of different components that the sketches let pass, `most` an entity, and the entities that have more.
+
+        Every pair that wasn't named has an end in `open_`, so groups without one are done.
+        """
+        words = F.expr(f"greatest({SKETCH // 64}, cast(power(2, length(bin(n - 1)) - 6) as bigint))")  # of a sketch
+        sized = groups.withColumn("open", F.lit(True)) if open_ is None else groups.join(open_.withColumn("open", F.lit(True)), "ent", "left")
+        sums = [F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("open").alias("open"), F.count("*").alias("m"), F.sum(words).alias("w")]
+        sizes = sized.groupBy("token").agg(*sums).filter("lo != hi and open")
+        blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("w") / BLOCK_WORDS)).cast("int")
+        thin = groups.join(sizes.select("token", blocks.alias("blocks")), "token").withColumn("own", F.pmod(F.xxhash64("ent"), F.col("blocks")).cast("int"))
+        # sketches are joined last, so that they are moved once with their ids and once to their blocks
+        rows = thin.join(self.sketches.select("ent", "sketch"), "ent").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rows.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "ent", "n", "comp", "sketch")
+        rows = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+        found = rows.mapInArrow(partners(self.num, self.den, most), "a long, an long, b long, bn long, bits int, more boolean")
         found = found.groupBy("a", "an", "b", "bn", "bits").agg(F.max("more").alias("more"))
         rank = F.row_number().over(Window.partitionBy("a").orderBy("bits", "b"))
         found = table(found.withColumn("rank", rank))
-        more = not found.filter(F.col("more") | (F.col("rank") > most)).isEmpty()
+        more = table(found.filter(F.col("more") | (F.col("rank") > most)).select(F.col("a").alias("ent")).distinct())
+        sweep(self.spark)
         return found.filter(F.col("rank") <= most).select("a", "an", "b", "bn"), more
 
     def test(self, pairs: DataFrame) -> None:
@@ -449,10 +447,10 @@ class Join:
         """node (entity), component: only of entities with links."""
         self.candidates()
         self.edges = self.found = self.tested = None
-        self.test(self.hub_pairs(self.alive(None)))
-        most, more = CLOSEST, True
-        while more:
-            pairs, more = self.named(self.alive(self.found), most)
+        self.test(self.hub_pairs(self.labelled_groups()))
+        most, more = CLOSEST, None
+        while more is None or not more.isEmpty():
+            pairs, more = self.named(self.labelled_groups(), most, None if more is None else few(more))
             self.test(pairs)
             most *= MORE
         discard(*self.written, self.sketches)
