@@ -385,11 +385,15 @@ class Join:
         sweep(self.spark)
         return out
 
-    def labelled_groups(self) -> DataFrame:
-        """The groups (token, ent, n, comp)."""
+    def labelled_groups(self, undecided: DataFrame | None = None) -> DataFrame:
+        """The groups (token, ent, n, comp), or those of them that hold an undecided entity, whole."""
+        groups = self.groups
+        if undecided is not None:
+            tokens = table(groups.join(few(undecided), "ent", "left_semi").select("token").distinct())
+            groups = groups.join(few(tokens), "token", "left_semi")
         if self.found is None:
-            return self.groups.withColumn("comp", F.col("ent"))
-        g = self.groups.join(self.found.withColumnRenamed("node", "ent"), "ent", "left")
+            return groups.withColumn("comp", F.col("ent"))
+        g = groups.join(self.found.withColumnRenamed("node", "ent"), "ent", "left")
         return table(g.select("token", "ent", "n", F.coalesce("component", "ent").alias("comp")))
 
     def hub_pairs(self, groups: DataFrame) -> DataFrame:
@@ -405,15 +409,14 @@ class Join:
         best = met.groupBy("a", "an").agg(F.max(F.struct("m", "b", "bn")).alias("x"))
         return best.select("a", "an", F.col("x.b").alias("b"), F.col("x.bn").alias("bn"))
 
-    def named(self, groups: DataFrame, most: int, open_: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    def named(self, groups: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
         """Pairs of entities of different components that the sketches let pass, `most` an entity, and the entities that have more.
 
-        Every pair that wasn't named has an end in `open_`, so groups without one are done.
+        Every pair that wasn't named has an end that has more, so groups without such an entity are done.
         """
         words = F.expr(f"greatest({SKETCH // 64}, cast(power(2, length(bin(n - 1)) - 6) as bigint))")  # of a sketch
-        sized = groups.withColumn("open", F.lit(True)) if open_ is None else groups.join(open_.withColumn("open", F.lit(True)), "ent", "left")
-        sums = [F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("open").alias("open"), F.count("*").alias("m"), F.sum(words).alias("w")]
-        sizes = sized.groupBy("token").agg(*sums).filter("lo != hi and open")
+        sums = [F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.sum(words).alias("w")]
+        sizes = groups.groupBy("token").agg(*sums).filter("lo != hi")
         blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("w") / BLOCK_WORDS)).cast("int")
         thin = groups.join(sizes.select("token", blocks.alias("blocks")), "token").withColumn("own", F.pmod(F.xxhash64("ent"), F.col("blocks")).cast("int"))
         # sketches are joined last, so that they are moved once with their ids and once to their blocks
@@ -450,7 +453,7 @@ class Join:
         self.test(self.hub_pairs(self.labelled_groups()))
         most, more = CLOSEST, None
         while more is None or not more.isEmpty():
-            pairs, more = self.named(self.labelled_groups(), most, None if more is None else few(more))
+            pairs, more = self.named(self.labelled_groups(more), most)
             self.test(pairs)
             most *= MORE
         discard(*self.written, self.sketches)
