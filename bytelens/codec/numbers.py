@@ -9,6 +9,8 @@ from .errors import BlockError
 
 def read_u30(data: bytes, at: int) -> tuple[int, int]:
     """Little-endian groups of 7 bits, at most five bytes; the value isn't masked."""
+    if at < len(data) and data[at] < 0x80:  # most numbers are one byte
+        return data[at], at + 1
     value = 0
     for k in range(5):
         if at >= len(data):
@@ -31,7 +33,12 @@ def read_s32(data: bytes, at: int) -> tuple[int, int]:
     return value, at
 
 
+SMALL = tuple(bytes([value]) for value in range(0x80))
+
+
 def write_u30(value: int) -> bytes:
+    if 0 <= value < 0x80:
+        return SMALL[value]
     out = bytearray()
     while value > 0x7F:
         out.append(value & 0x7F | 0x80)

@@ -259,15 +259,9 @@ class Workspace:
 
     def fingerprints(self) -> DataFrame:
         """Of all methods and constructors; constructors come first and are named <constructor>."""
-        m = self.model
-        own = m.methods.select("resource_id", "abc_id", "class_name", F.col("name").alias("method_name"), F.lit(False).alias("is_constructor"), "param_types", "return_type", "is_static", "is_getter", "is_setter", "body_index")
-        bodies = m.bodies
-        iinit = m.classes.select("resource_id", "abc_id", F.col("qualified_name").alias("class_name"), F.col("constructor_index").alias("method_index")).join(bodies.select("resource_id", "abc_id", "method_index", "body_index"), ["resource_id", "abc_id", "method_index"])
-        made = iinit.select(
-            "resource_id", "abc_id", "class_name", F.lit("<constructor>").alias("method_name"), F.lit(True).alias("is_constructor"), F.array().cast("array<string>").alias("param_types"), F.lit("void").alias("return_type"),
-            *(F.lit(False).alias(c) for c in ("is_static", "is_getter", "is_setter")), "body_index",
-        )
-        return flow.fingerprints(m.code, made.unionByName(own), bodies.drop("method_index"))
+        from .kernels.fingerprint import fingerprints
+
+        return fingerprints(self.files.blocks)
 
     def disassemble(self, class_name: str, method: str) -> DataFrame:
         """offset, mnemonic, text of a method (also <init> and <cinit>), operands resolved."""

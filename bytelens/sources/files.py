@@ -28,6 +28,8 @@ NAMES = "resource_id long, abc_id int, idx long, name string, package string, fu
 SYMBOL_ROWS = "resource_id long, tag_seq int, pos int, char_id int, class_name string"
 STRINGS = "resource_id long, abc_id int, idx long, string string"
 #: Classes of one block keep their order under this many to a block, blocks under as many to a file.
+SUMMARIES = "resource_id long, abc_id int, class_idx int, name string, package string, full_name string, super string, is_interface boolean, trait_count long"
+BIGRAMS = "array<struct<rank:int,a:string,b:string,n:bigint>>"
 LOAD_STEP = 1 << 20
 #: Numbered files beyond so many repeat load orders, which then breaks no tie; hashed ids of streams do so anyway.
 FILES = 1 << 22
@@ -38,9 +40,11 @@ ROWS_AT_ONCE = 4096
 
 ARROW = {
     "long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(),
-    "array<string>": pa.list_(pa.string()), "array<bigint>": pa.list_(pa.int64()),
+    "array<string>": pa.list_(pa.string()), "array<bigint>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64()),
     LITERAL: pa.struct([("kind", pa.string()), ("s", pa.string()), ("i", pa.int64()), ("d", pa.float64()), ("b", pa.bool_())]),
 }
+    f"array<{LITERAL}>": pa.list_(pa.struct([("kind", pa.string()), ("s", pa.string()), ("i", pa.int64()), ("d", pa.float64()), ("b", pa.bool_())])),
+    BIGRAMS: pa.list_(pa.struct([("rank", pa.int32()), ("a", pa.string()), ("b", pa.string()), ("n", pa.int64())])),
 
 
 def arrow_schema(ddl: str) -> pa.Schema:
