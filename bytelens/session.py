@@ -7,10 +7,11 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .codec.classes import summary_rows
 from .functions import columns as C
 from .operators import calls, classgraph, fields, flow, inheritance, references, strings, structure
 from .operators.model import BODY, Model
-from .sources.files import Files
+from .sources.files import SUMMARIES, Files
 
 
 TABLES = ("classes", "fields", "methods", "code", "pool_strings")
@@ -87,11 +88,7 @@ class Workspace:
 
     def class_summaries(self) -> DataFrame:
         """One row a class: its place, names, superclass and number of traits."""
-        m = self.model
-        key = ["resource_id", "abc_id", "class_name"]
-        traits = m.fields.select(*key).unionByName(m.methods.select(*key)).groupBy(*key).agg(F.count("*").alias("trait_count"))
-        rows = m.classes.withColumn("class_name", F.col("qualified_name")).join(traits, key, "left")
-        return rows.select("resource_id", "abc_id", "class_idx", "name", "package", F.col("qualified_name").alias("full_name"), F.col("super_qualified").alias("super"), "is_interface", F.coalesce("trait_count", F.lit(0)).alias("trait_count"))
+        return self.files.table(summary_rows, SUMMARIES)
 
     # indexes
 

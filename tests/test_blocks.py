@@ -48,3 +48,15 @@ def test_customers_of_one_name_are_classes_of_their_own(spark, tmp_path):
     bridge.read(spark, SF, "customer").withColumn("c_name", F.lit("Same")).write.parquet(str(tmp_path / "customer.parquet"))
     calls_of = lambda folder: archive.swf_const_args(spark, folder).count()
     assert calls_of(str(tmp_path)) == calls_of(SF) > 0
+
+
+def test_class_summaries_are_those_of_the_tables_and_move_nothing(spark):
+    ws = workspace(spark)
+    m, key = ws.model, ["resource_id", "abc_id", "class_name"]
+    traits = m.fields.select(*key).unionByName(m.methods.select(*key)).groupBy(*key).agg(F.count("*").alias("trait_count"))
+    want = m.classes.withColumn("class_name", F.col("qualified_name")).join(traits, key, "left").select(
+        "resource_id", "abc_id", "class_idx", "name", "package", F.col("qualified_name").alias("full_name"), F.col("super_qualified").alias("super"), "is_interface", F.coalesce("trait_count", F.lit(0)).alias("trait_count")
+    )
+    got = ws.class_summaries()
+    assert got.columns == want.columns and same(want, got) and got.count() == 6
+    assert "Exchange" not in plan(got)
