@@ -51,9 +51,14 @@ def stats(e: DataFrame) -> DataFrame:
 def const_args(m: Model) -> DataFrame:
     """source_class, source_member, offset, target, arg_count, args (null: unknown) of every call site.
 
-    The arguments are the pushes right before the call, as far as they run without a break.  Windows
-    over the body find the run: the last instruction that is no push, and the literals since then.
+    The arguments are the pushes right before the call, as far as they run without a break.  In
+    blocks they are found as the code is read; without blocks, windows over the body find the run: the
+    last instruction that is no push, and the literals since then.
     """
+    unknown = F.struct(F.lit("unknown").alias("kind"), F.lit(None).cast("string").alias("s"), F.lit(None).cast("long").alias("i"), F.lit(None).cast("double").alias("d"), F.lit(None).cast("boolean").alias("b"))
+    blank = lambda n: F.array_repeat(unknown, (F.col("arg_count") - n).cast("int"))
+    if m.sites is not None:
+        return m.sites.select(F.col("class_name").alias("source_class"), F.col("ca_name").alias("source_member"), "offset", "target", "arg_count", F.concat(blank(F.size("known")), "known").alias("args"))
     order = Window.partitionBy(*BODY).orderBy("seq")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     code = m.code.select(*BODY, "seq", "offset", "mnemonic", "target", "arg_count", "literal", "class_name", "ca_name")
@@ -67,10 +72,9 @@ def const_args(m: Model) -> DataFrame:
     wanted = keyed.select(F.col("seq").alias("site"), *BODY, F.explode(F.when(F.col("take") > 0, F.sequence(F.col("n") - F.col("take"), F.col("n") - 1)).otherwise(F.array().cast("array<bigint>"))).alias("n"))
     pushed = code.filter(pushes).select(*BODY, "n", "literal")
     got = wanted.join(pushed, [*BODY, "n"]).groupBy(*BODY, F.col("site").alias("seq")).agg(F.array_sort(F.collect_list(F.struct("n", "literal"))).alias("xs"))
-    unknown = F.struct(F.lit("unknown").alias("kind"), F.lit(None).cast("string").alias("s"), F.lit(None).cast("long").alias("i"), F.lit(None).cast("double").alias("d"), F.lit(None).cast("boolean").alias("b"))
     known = F.transform("xs", lambda x: x["literal"])
-    blank = F.array_repeat(unknown, (F.col("arg_count") - F.greatest(F.col("take"), F.lit(0))).cast("int"))
-    args = F.when(F.col("xs").isNull(), blank).otherwise(F.concat(blank, known))
+    missing = blank(F.greatest(F.col("take"), F.lit(0)))
+    args = F.when(F.col("xs").isNull(), missing).otherwise(F.concat(missing, known))
     return keyed.join(got, [*BODY, "seq"], "left").select(F.col("class_name").alias("source_class"), F.col("ca_name").alias("source_member"), "offset", "target", "arg_count", args.alias("args"))
 
 

@@ -55,7 +55,7 @@ class Workspace:
         """A saved workspace."""
         read = lambda name: spark.read.parquet(f"{path}/{name}")
         files = Files.of_tables(read("parts"), read("blocks"))
-        return cls(files, model=Model(*(read(name) for name in TABLES), read("bodies"), {name: read(name) for name in ("handlers", "names")}))
+        return cls(files, model=Model(*(read(name) for name in TABLES), read("bodies"), {name: read(name) for name in ("handlers", "names")}, files.sites))
 
     # what was loaded
 

@@ -235,7 +235,7 @@ class Files:
     def model(self) -> Model:
         return Model(
             self.table(C.class_rows, CLASSES), self.table(C.field_rows, FIELDS), self.table(C.method_rows, METHODS), self.table(lambda b, _: C.code_rows(b), CODE),
-            self.table(lambda b, _: C.string_rows(b), STRINGS), self.bodies, {"handlers": self.handlers, "names": self.names},
+            self.table(lambda b, _: C.string_rows(b), STRINGS), self.bodies, {"handlers": self.handlers, "names": self.names}, self.sites,
         )
 
 
@@ -257,6 +257,10 @@ def rebuild(parts: DataFrame, blocks: DataFrame | None = None, compress: bool =
         found = sorted((r for batch in group for r in batch.to_pylist()), key=lambda r: r["seq"])
         tags = []
         for r in found[1:]:
+    @property
+    def sites(self) -> DataFrame:
+        return self.table(lambda b, _: C.site_rows(b), SITES)
+
             payload = r["payload"]
             if r["new"] is not None:
                 old = container.block_of(container.Tag(r["tag_type"], payload, r["name"]))

@@ -60,3 +60,13 @@ def test_class_summaries_are_those_of_the_tables_and_move_nothing(spark):
     got = ws.class_summaries()
     assert got.columns == want.columns and same(want, got) and got.count() == 6
     assert "Exchange" not in plan(got)
+
+
+def test_constant_arguments_of_blocks_are_those_of_the_tables_and_move_nothing(spark):
+    blocks = archive.class_blocks(spark, SF).limit(2).localCheckpoint()
+    m = archive.model(blocks)
+    got, want = calls.const_args(m), calls.const_args(replace(m, sites=None))
+    assert same(want, got) and got.count() > 0
+    ws = workspace(spark)
+    assert same(calls.const_args(replace(ws.model, sites=None)), calls.const_args(ws.model))
+    assert "Window" not in plan(got) and "Exchange" not in plan(got)
