@@ -70,3 +70,15 @@ def test_constant_arguments_of_blocks_are_those_of_the_tables_and_move_nothing(s
     ws = workspace(spark)
     assert same(calls.const_args(replace(ws.model, sites=None)), calls.const_args(ws.model))
     assert "Window" not in plan(got) and "Exchange" not in plan(got)
+
+
+def test_sibling_spans_sum_up_the_pairs_without_making_them(spark):
+    m = bridge.model(spark, SF)
+    got = inheritance.sibling_spans(m)
+    want = inheritance.siblings(m).groupBy("name").agg(F.count("*").alias("n"), F.min("sibling").alias("first"), F.max("sibling").alias("last"))
+    assert same(want, got) and got.count() > 0
+    for made in ([("a", "p"), ("b", "p"), ("c", "q"), (None, "p"), ("b", "q")], [("x", "p")]):
+        rows = spark.createDataFrame([(n, p, i, "s") for i, (n, p) in enumerate(made)], "qualified_name string, super_qualified string, load_seq long, super_name string")
+        odd = replace(m, classes=rows)
+        want = inheritance.siblings(odd).groupBy("name").agg(F.count("*").alias("n"), F.min("sibling").alias("first"), F.max("sibling").alias("last"))
+        assert same(want, inheritance.sibling_spans(odd))
