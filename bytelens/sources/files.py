@@ -17,7 +17,8 @@ from ..codec import block as B
 from ..codec import classes as C
 from ..codec import container
 from ..codec.errors import BytelensError
-from ..operators.model import CLASSES, CODE, FIELDS, LITERAL, METHODS, Model
+from ..operators.inheritance import level
+from ..operators.model import CLASSES, CODE, FIELDS, LITERAL, METHODS, SITES, Model
 
 PARTS = "resource_id long, path string, kind string, seq int, tag_type int, type_name string, name string, version int, length long, error string, payload binary"
 BLOCKS = "resource_id long, abc_id int, path string, name string, data binary"
@@ -27,9 +28,9 @@ HANDLERS = "resource_id long, abc_id int, body_index long, seq long, from_offset
 NAMES = "resource_id long, abc_id int, idx long, name string, package string, full_name string, kind int, ns_kind int"
 SYMBOL_ROWS = "resource_id long, tag_seq int, pos int, char_id int, class_name string"
 STRINGS = "resource_id long, abc_id int, idx long, string string"
-#: Classes of one block keep their order under this many to a block, blocks under as many to a file.
 SUMMARIES = "resource_id long, abc_id int, class_idx int, name string, package string, full_name string, super string, is_interface boolean, trait_count long"
 BIGRAMS = "array<struct<rank:int,a:string,b:string,n:bigint>>"
+#: Classes of one block keep their order under this many to a block, blocks under as many to a file.
 LOAD_STEP = 1 << 20
 #: Numbered files beyond so many repeat load orders, which then breaks no tie; hashed ids of streams do so anyway.
 FILES = 1 << 22
@@ -42,9 +43,9 @@ ARROW = {
     "long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(),
     "array<string>": pa.list_(pa.string()), "array<bigint>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64()),
     LITERAL: pa.struct([("kind", pa.string()), ("s", pa.string()), ("i", pa.int64()), ("d", pa.float64()), ("b", pa.bool_())]),
-}
     f"array<{LITERAL}>": pa.list_(pa.struct([("kind", pa.string()), ("s", pa.string()), ("i", pa.int64()), ("d", pa.float64()), ("b", pa.bool_())])),
     BIGRAMS: pa.list_(pa.struct([("rank", pa.int32()), ("a", pa.string()), ("b", pa.string()), ("n", pa.int64())])),
+}
 
 
 def arrow_schema(ddl: str) -> pa.Schema:
@@ -146,9 +147,10 @@ def symbols_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from batched(rows(), SYMBOL_ROWS)
 
 
-def raw_rows(block: B.Block, _: int) -> Iterator[dict]:
+def raw_rows(block: B.Block, _: int, kinds: tuple[str, ...] = ()) -> Iterator[dict]:
     for kind, idx, ints, s, d, raw in B.to_rows(block):
-        yield {"kind": kind, "idx": idx, "ints": ints, "s": s, "d": d, "raw": raw}
+        if not kinds or kind in kinds:
+            yield {"kind": kind, "idx": idx, "ints": ints, "s": s, "d": d, "raw": raw}
 
 
 def serialized(pdf_rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,6 +164,26 @@ def serialized(pdf_rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pylist([out], arrow_schema("resource_id long, abc_id int, data binary"))
 
 
+def place_of(row: B.Row) -> tuple:
+    """What tells the rows of a block apart: kind and index, and the owner of what is numbered within one."""
+    kind, idx, ints = row[:3]
+    return (kind, idx, *(ints[:1] if kind == "exception" else ints[:2] if kind == "trait" else ()))
+
+
+def patched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks to rows, those in `rows` in the place of the old ones, rows to blocks."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            new = [(x["kind"], x["idx"], x["ints"], x["s"], x["d"], x["raw"]) for x in r["rows"]]
+            rows = {place_of(row): row for row in B.to_rows(B.parse(r["data"]))} | {place_of(row): row for row in new}
+            out = {"resource_id": r["resource_id"], "abc_id": r["abc_id"], "data": B.serialize(B.from_rows(list(rows.values())))}
+            yield pa.RecordBatch.from_pylist([out], arrow_schema("resource_id long, abc_id int, data binary"))
+
+
+def blocks_in(parts: DataFrame) -> DataFrame:
+    return parts.filter(F.col("tag_type").isin(container.DO_ABC, container.DO_ABC2)).mapInArrow(blocks_of, BLOCKS)
+
+
 class Files:
     """Containers and the tables read from them; nothing runs before a table is used."""
 
@@ -169,7 +191,7 @@ class Files:
         """`content`: resource_id, path, content."""
         self.spark = content.sparkSession
         self.parts = content.select("resource_id", "path", "content").mapInArrow(unpack, PARTS)
-        self.blocks = self.parts.filter(F.col("tag_type").isin(container.DO_ABC, container.DO_ABC2)).mapInArrow(blocks_of, BLOCKS)
+        self.blocks = blocks_in(self.parts)
 
     @classmethod
     def of_tables(cls, parts: DataFrame, blocks: DataFrame) -> Files:
@@ -202,6 +224,11 @@ class Files:
         tags = self.parts.filter("seq >= 0 and kind = 'swf'")
         return tags.select("resource_id", F.col("seq").alias("tag_seq"), "tag_type", "type_name", "name", F.length("payload").alias("size"), "payload")
 
+    def kept(self) -> Files:
+        """The same with the containers' parts written once to the folder of checkpoints, for several tables or when a container is costly to make."""
+        parts = level(self.parts)
+        return Files.of_tables(parts, blocks_in(parts))
+
     def table(self, make, ddl: str) -> DataFrame:
         return self.blocks.mapInArrow(rows_of(make, ddl), ddl)
 
@@ -210,6 +237,10 @@ class Files:
         """All blocks as rows (see `codec.block`)."""
         return self.table(raw_rows, ROWS)
 
+    def rows_of(self, *kinds: str) -> DataFrame:
+        """The rows of some kinds."""
+        return self.table(lambda b, _: raw_rows(b, _, kinds), ROWS)
+
     @property
     def block_errors(self) -> DataFrame:
         return self.blocks.mapInArrow(errors_of, "resource_id long, abc_id int, error string")
@@ -226,6 +257,10 @@ class Files:
     def handlers(self) -> DataFrame:
         return self.table(lambda b, _: C.handler_rows(b), HANDLERS)
 
+    @property
+    def sites(self) -> DataFrame:
+        return self.table(lambda b, _: C.site_rows(b), SITES)
+
     @property
     def symbols(self) -> DataFrame:
         """Characters and their classes; character 0 is the document's."""
@@ -244,6 +279,16 @@ def serialize(rows: DataFrame) -> DataFrame:
     return rows.groupBy("resource_id", "abc_id").applyInArrow(serialized, "resource_id long, abc_id int, data binary")
 
 
+def patch(blocks: DataFrame, rows: DataFrame) -> DataFrame:
+    """resource_id, abc_id, data: the blocks that `rows` (as in `Files.rows`) change, with these in the place of the old ones or beside them.
+
+    As `serialize` of all rows, of which only the changed ones are moved; other blocks stay as they are and aren't given.
+    """
+    key = ["resource_id", "abc_id"]
+    found = rows.groupBy(*key).agg(F.collect_list(F.struct("kind", "idx", "ints", "s", "d", "raw")).alias("rows"))
+    return blocks.select(*key, "data").join(found, key).mapInArrow(patched, "resource_id long, abc_id int, data binary")
+
+
 def rebuild(parts: DataFrame, blocks: DataFrame | None = None, compress: bool = True) -> DataFrame:
     """resource_id, path, data: whole movies from their parts, with blocks put in where given."""
     rows = parts.filter("kind = 'swf' and error is null").select("resource_id", "path", "seq", "tag_type", "name", "payload")
@@ -257,10 +302,6 @@ def rebuild(parts: DataFrame, blocks: DataFrame | None = None, compress: bool =
         found = sorted((r for batch in group for r in batch.to_pylist()), key=lambda r: r["seq"])
         tags = []
         for r in found[1:]:
-    @property
-    def sites(self) -> DataFrame:
-        return self.table(lambda b, _: C.site_rows(b), SITES)
-
             payload = r["payload"]
             if r["new"] is not None:
                 old = container.block_of(container.Tag(r["tag_type"], payload, r["name"]))

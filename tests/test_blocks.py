@@ -82,3 +82,22 @@ def test_sibling_spans_sum_up_the_pairs_without_making_them(spark):
         odd = replace(m, classes=rows)
         want = inheritance.siblings(odd).groupBy("name").agg(F.count("*").alias("n"), F.min("sibling").alias("first"), F.max("sibling").alias("last"))
         assert same(want, inheritance.sibling_spans(odd))
+
+
+def test_patched_blocks_are_those_serialised_from_all_rows(spark):
+    f = workspace(spark).files
+    changed = F.when(F.col("s") == "myField", F.lit("other")).otherwise(F.col("s"))
+    key = ["resource_id", "abc_id"]
+    whole = files.serialize(f.rows.withColumn("s", changed))
+    got = files.patch(f.blocks, f.rows_of("string").filter("s = 'myField'").withColumn("s", F.lit("other")))
+    assert got.count() == 1  # of two
+    assert same(whole.join(got.select(*key), key), got)
+    # rows within owners are told apart, and new ones are put in beside the others
+    assert same(f.blocks.select(*key, "data"), files.patch(f.blocks, f.rows_of("trait", "exception", "body")))
+
+
+def test_edited_movies_are_made_once(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(movies, "movies", lambda *a, f=movies.movies: made.append(a) or f(*a))
+    out = movies.mov_edit(spark, SF)
+    assert len(made) == 1 and "packed" not in plan(out) and out.filter("qualified_name = 'changed.Extra'").count() > 0
