@@ -105,9 +105,22 @@ def hidden(p: dict[str, np.ndarray], ctx: np.ndarray) -> tuple[np.ndarray, np.nd
     return x, np.tanh(x @ p["w1"] + p["b1"])
 
 
+ONES = np.ones((HEAD, 1), np.float32)
+
+
+def highest(z: np.ndarray) -> np.ndarray:
+    """The largest of each of many short rows, column by column, which is several times as fast as row by row."""
+    out = np.empty((len(z), 1), z.dtype)
+    for i in range(0, len(z), BLOCK):  # as many rows as the nearest cache holds
+        np.max(np.ascontiguousarray(z[i : i + BLOCK].T), axis=0, out=out[i : i + BLOCK, 0])
+    return out
+
+
 def softmax(z: np.ndarray) -> np.ndarray:
-    z = np.exp(z - z.max(axis=1, keepdims=True))
-    return z / z.sum(axis=1, keepdims=True)
+    z = z - highest(z)
+    np.exp(z, out=z)
+    z /= z @ ONES
+    return z
 
 
 def step(p: dict[str, np.ndarray], sums: dict[str, np.ndarray], prior: Vocabulary, ctx: np.ndarray, target: np.ndarray) -> None:
@@ -136,11 +149,9 @@ def step(p: dict[str, np.ndarray], sums: dict[str, np.ndarray], prior: Vocabular
     dx = dh @ p["w1"].T
     order = np.argsort(ctx, axis=None)
     ids = ctx.ravel()[order]
-    new = np.concatenate([[True], ids[1:] != ids[:-1]])
-    which, inverse = ids[new], np.empty(len(ids), np.int64)
-    inverse[order] = np.cumsum(new) - 1
-    cells = (inverse * DIM)[:, None] + np.arange(DIM)
-    de = np.bincount(cells.ravel(), dx.ravel(), len(which) * DIM).reshape(-1, DIM).astype(np.float32)
+    new = np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1])
+    which = ids[new]
+    de = np.add.reduceat(dx.reshape(-1, DIM).take(order, axis=0), new, axis=0)
     for k, g in (("w1", x.T @ dh), ("b1", dh.sum(axis=0)), ("top", h.T @ d1), ("low", dlow)):
         sums[k] += g * g
         p[k] -= RATE * g / np.sqrt(sums[k] + 1e-8)
@@ -277,8 +288,9 @@ def log_likelihoods(params: dict[str, np.ndarray], prior: Vocabulary, bucket: np
         rows = np.arange(len(at))
         out[at] = prior.rest[bucket[at]]
         for z, k in ((z1, upper), (z2, lower)):
-            z -= z.max(axis=1, keepdims=True)
-            out[at] += z[rows, k] - np.log(np.exp(z).sum(axis=1))
+            z -= highest(z)
+            found = z[rows, k]
+            out[at] += found - np.log(np.exp(z, out=z) @ ONES).ravel()
     return out
 
 
