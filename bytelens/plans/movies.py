@@ -135,6 +135,7 @@ def mov_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mov_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks to rows, strings changed there, rows to blocks, blocks into the movies, movies to classes."""
     f = Files(movies(spark, sf_dir)).kept()
+    files.sweep(spark)
     blocks = files.patch(f.blocks, f.rows_of("string").filter(F.col("s") == "extra").withColumn("s", F.lit("changed")))
     again = Files(files.rebuild(f.parts, blocks).withColumnRenamed("data", "content"))
     return paths(again.model().classes.select("resource_id", "qualified_name"), f)

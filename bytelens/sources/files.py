@@ -7,6 +7,7 @@ error in the `resources` table instead of failing the job.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -274,6 +275,12 @@ class Files:
         )
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of what is kept and no longer used."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def serialize(rows: DataFrame) -> DataFrame:
     """resource_id, abc_id, data: blocks from their (possibly edited) rows."""
     return rows.groupBy("resource_id", "abc_id").applyInArrow(serialized, "resource_id long, abc_id int, data binary")
