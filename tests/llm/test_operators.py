@@ -315,6 +315,20 @@ def test_wide_and_narrow_signatures_bound_the_difference(spark):
     assert len(rows) == 100 and all(r.d <= len(set(sets[r.i]) ^ set(sets[r.j])) and (r.d == 0) == (r.i == r.j) for r in rows)
 
 
+def test_line_dedup_evaluates_arrays_once(spark):
+    """Distinct hashes are a column of their own, not below a lambda; a text is split once for its result."""
+    text = "a b a  c\n\n \nb c a\n" + " ".join(f"w{i}" for i in range(100))
+    df = spark.createDataFrame([(1, text), (2, "a c b\nx"), (3, None), (4, "")], "doc_id long, text string")
+    plan = lambda rows: rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(line_dedup.report(df)).count("split(") == 1
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in line_dedup.report(df).collect()}
+    assert got == {1: (5, 1, text.replace("\nb c a\n", "\n")), 2: (2, 1, "x"), 3: (0, 0, None), 4: (1, 0, "")}
+    dedup = line_dedup.Dedup(line_dedup.ranked(df))
+    dedup.levels = line_dedup.rarity(dedup.docs)
+    assert "transform(array_" not in plan(dedup.sets())
+    assert sorted((r.n, r.s2 is None) for r in dedup.sets().collect()) == [(0, True)] * 3 + [(1, True)] + [(3, True)] * 3 + [(100, False)]
+
+
 def test_line_dedup_keeps_columns(docs, empty):
     out = line_dedup.drop_lines(docs)
     assert out.columns == docs.columns
