@@ -5,7 +5,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from bytelens.operators import calls, flow, inheritance
-from bytelens.plans import archive, bridge, movies
+from bytelens.plans import archive, bridge, catalogue, movies
 from bytelens.session import Workspace
 from bytelens.sources import files
 
@@ -84,6 +84,27 @@ def test_sibling_spans_sum_up_the_pairs_without_making_them(spark):
         assert same(want, inheritance.sibling_spans(odd))
 
 
+def test_siblings_are_listed_for_every_class_and_summed_up_from_the_lists(spark, monkeypatch):
+    """Numbers and ends were reckoned from each superclass's number and ends of children; no class was set against its siblings."""
+    m = bridge.model(spark, SF)
+    rows = [(r.qualified_name, r.super_qualified) for r in m.classes.collect()]
+    want = sorted((a, b) for a, p in rows for b, q in rows if p == q and a != b)
+    found = {a: [b for k, b in want if k == a] for a, _ in want}
+    assert max(map(len, found.values())) > 3
+    for size in (inheritance.LIST, 3):
+        monkeypatch.setattr(inheritance, "LIST", size)
+        lists = inheritance.sibling_lists(m).collect()
+        assert sorted((r.name, s) for r in lists for s in r.siblings) == want and all(r.siblings == sorted(r.siblings) for r in lists)
+        assert sorted(map(tuple, inheritance.siblings(m).select("name", "sibling").collect())) == want
+        got = catalogue.QUERIES["inh_siblings"](spark, SF)
+        assert sorted(map(tuple, got.select("name", "n", "first", "last").collect())) == [(a, len(x), x[0], x[-1]) for a, x in sorted(found.items())]
+        assert "array_remove" in plan(got)
+    # of equal names the class loaded last says whose children are its siblings; nulls are no siblings
+    made = [("a", "p"), ("b", "p"), ("c", "q"), (None, "p"), ("b", "q"), ("d", None)]
+    odd = replace(m, classes=spark.createDataFrame([(n, p, i, "s") for i, (n, p) in enumerate(made)], "qualified_name string, super_qualified string, load_seq long, super_name string"))
+    assert sorted(map(tuple, inheritance.siblings(odd).collect())) == [("a", "b"), ("b", "c"), ("c", "b")]
+
+
 def test_patched_blocks_are_those_serialised_from_all_rows(spark):
     f = workspace(spark).files
     changed = F.when(F.col("s") == "myField", F.lit("other")).otherwise(F.col("s"))
